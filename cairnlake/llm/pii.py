@@ -151,6 +151,17 @@ def _clean(texts: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([_cover(t, [(x["kind"], x["start"], x["end"]) for x in s]) if len(s) else t for t, s in zip(texts, spans, strict=True)])
 
 
+def _marks(held):  # noqa: ANN001, ANN202
+    """A function that finds the words of the broadcast set held."""
+
+    @F.pandas_udf(SPANS)
+    def mark(texts: pd.Series) -> pd.Series:
+        known = held.value
+        return pd.Series([[{"kind": "term", "start": m.start(), "end": m.end()} for m in _WORD.finditer(x) if m[0].lower() in known] for x in texts])
+
+    return mark
+
+
 def find(docs: DataFrame, **limits: float) -> DataFrame:
     """docs with base and spans (arrays of kind, start, end) and clean added: the text with base
     matches generalised to their kind and disclosing terms to [TERM].
@@ -167,12 +178,7 @@ def find(docs: DataFrame, **limits: float) -> DataFrame:
         some = terms.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == k)
         held = docs.sparkSession.sparkContext.broadcast(frozenset(r.term for r in some.collect()))  # about TERMS_PER_PASS words
 
-        @F.pandas_udf(SPANS)
-        def mark(texts: pd.Series, held=held) -> pd.Series:  # noqa: ANN001
-            known = held.value
-            return pd.Series([[{"kind": "term", "start": m.start(), "end": m.end()} for m in _WORD.finditer(x) if m[0].lower() in known] for x in texts])
-
-        more = F.concat(more, mark("text_"))
+        more = F.concat(more, _marks(held)("text_"))
     free = F.filter(more, lambda x: ~F.exists("base", lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"])))
     free = F.array_sort(free, lambda x, y: F.when(x["start"] < y["start"], -1).when(x["start"] > y["start"], 1).otherwise(0)) if passes > 1 else free
     out = out.withColumn("spans", F.concat("base", free) if passes else F.col("base"))
