@@ -159,7 +159,7 @@ def _marks(held):  # noqa: ANN001, ANN202
         known = held.value
         return pd.Series([[{"kind": "term", "start": m.start(), "end": m.end()} for m in _WORD.finditer(x) if m[0].lower() in known] for x in texts])
 
-    return mark
+    return mark.asNondeterministic()  # so that no plan evaluates it twice
 
 
 def find(docs: DataFrame, **limits: float) -> DataFrame:
@@ -172,7 +172,7 @@ def find(docs: DataFrame, **limits: float) -> DataFrame:
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     terms = materialise(disclosing(d, **limits), "disclosing")
     n = terms.count()
-    out = docs.withColumn("text_", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("base", _base("text_"))
+    out = docs.withColumn("text_", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("base", _base.asNondeterministic()("text_"))
     more, passes = F.array().cast(SPANS), -(-n // TERMS_PER_PASS)
     for k in range(passes):
         some = terms.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == k)
@@ -181,14 +181,14 @@ def find(docs: DataFrame, **limits: float) -> DataFrame:
         more = F.concat(more, _marks(held)("text_"))
     free = F.filter(more, lambda x: ~F.exists("base", lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"])))
     free = F.array_sort(free, lambda x, y: F.when(x["start"] < y["start"], -1).when(x["start"] > y["start"], 1).otherwise(0)) if passes > 1 else free
-    out = out.withColumn("spans", F.concat("base", free) if passes else F.col("base"))
-    return out.withColumn("clean", F.when(F.size("spans") == 0, F.col("text_")).otherwise(_clean("text_", "spans"))).drop("text_")
+    out = out.withColumn("spans", F.concat("base", free) if passes else F.col("base")).withColumn("cover_", _clean.asNondeterministic()("text_", "spans"))
+    return out.withColumn("clean", F.when(F.size("spans") == 0, F.col("text_")).otherwise(F.col("cover_"))).drop("text_", "cover_")
 
 
 def digests(found: DataFrame) -> DataFrame:
     """The counts and spans of find(), a row per row."""
     text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [(F.size("base.kind") - F.size(F.array_remove("base.kind", k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"))
 
 
