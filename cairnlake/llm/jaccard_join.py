@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from .common import materialise, maybe_broadcast
 from .regions import fetch_from, resolve
-from .shingles import shingle_set
+from .shingles import bitmap, shingle_set
 
 #: Documents whose shingles are counted to tell which ones are frequent: only the order of
 #: pivots, and so the speed, depends on it, never the result.
 SAMPLE_DOCS = 20_000
 #: A shingle in so many documents of the sample is frequent.
-FREQUENT = 3
+FREQUENT = 2
 
 
 def _signatures(batches: Iterator[pd.DataFrame], frequent: np.ndarray, percent: int) -> Iterator[pd.DataFrame]:
@@ -35,8 +35,8 @@ def _signatures(batches: Iterator[pd.DataFrame], frequent: np.ndarray, percent:
                 pivots = np.concatenate([s[~common], s[common]])[:window] if common.any() else s[:window]
             else:
                 pivots = s[:window]
-            out.append((doc_id, n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), pivots.view(np.int64)))
-        yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "digest", "pivots"])
+            out.append((doc_id, n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), pivots.view(np.int64), bitmap(s)))
+        yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "digest", "pivots", "bits"])
 
 
 def jaccard_join(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,12 +68,13 @@ def jaccard_join(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", tex
     counted = texts.mapInPandas(sampled, "t long").groupBy("t").count().where(f"count >= {FREQUENT}").select("t")
     frequent = np.sort(counted.toPandas()["t"].to_numpy(np.int64).view(np.uint64))
     held = spark.sparkContext.broadcast(frequent)
-    signed = d.mapInPandas(lambda batches: _signatures(batches, held.value, percent), "doc_id long, n_shingles long, digest binary, pivots array<long>")
+    signed = d.mapInPandas(lambda batches: _signatures(batches, held.value, percent), "doc_id long, n_shingles long, digest binary, pivots array<long>, bits binary")
     signed = materialise(signed, "signed")
     first = signed.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = signed.select("digest", F.col("doc_id").alias("rep"), "n_shingles", "pivots").join(first, ["digest", "rep"]).dropDuplicates(["digest", "rep"])
+    reps = signed.select("digest", F.col("doc_id").alias("rep"), "n_shingles", "pivots", "bits").join(first, ["digest", "rep"]).dropDuplicates(["digest", "rep"])
     members = reps.select(F.explode("pivots").alias("region"), F.col("rep").alias("item"), F.col("n_shingles").alias("n"))
-    roots = resolve(members, fetch_from(d.withColumnRenamed("doc_id", "id")), percent)
+    items = reps.select(F.col("rep").alias("item"), F.col("n_shingles").alias("n"), "bits")
+    roots = resolve(members, items, fetch_from(d.withColumnRenamed("doc_id", "id")), percent)
     # ids that stand on several rows tie their texts' components together only through links
     rooted = first.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
     rows = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest"))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, materialise, maybe_broadcast
-from .shingles import shingle_set, similar
+from .shingles import fold, shingle_set, similar
 
 #: Items checked against one copy of a pivot's text in one task.
 PER_GROUP = 128
@@ -17,13 +18,35 @@ PER_GROUP = 128
 PIVOTS = 48
 
 
-def checked(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def screened(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """pairs(a, b) without those whose bitmaps alone show that they can't link; items(item, n, bits).
+
+    A bit that a has and b hasn't stands for an element at least that b lacks, so the
+    intersection is at most n_a less the number of such bits, and likewise for b."""
+    side = lambda x: items.select(F.col("item").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+
+    def screen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keep = np.zeros(len(batch), bool)
+            for i, (n, m, x, y) in enumerate(zip(batch.n_a, batch.n_b, batch.bits_a, batch.bits_b, strict=True)):
+                p, q, k = int.from_bytes(x, "little"), int.from_bytes(y, "little"), 8 * min(len(x), len(y))
+                p, q = fold(p, 8 * len(x), k), fold(q, 8 * len(y), k)
+                most = min(n - (p & ~q).bit_count(), m - (q & ~p).bit_count())
+                keep[i] = 100 * most >= percent * (n + m - most)
+            yield batch.loc[keep, ["a", "b"]]
+
+    return rows.mapInPandas(screen, "a long, b long")
+
+
+def checked(pairs: DataFrame, items: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """The pairs(a, b) whose texts have a Jaccard similarity of percent/100 at least, on word
-    shingles. fetch(need) adds the column text (binary) to need(id, ...).
+    shingles, after a screening by bitmaps. fetch(need) adds the column text (binary) to need(id, ...).
 
     b is a pivot with any number of partners: its partners are dealt into groups of about
     PER_GROUP, each with a copy of b's text, so that no task gathers all of them."""
     spark = pairs.sparkSession
+    pairs = materialise(screened(pairs, items, percent), "screened")
     parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / PER_GROUP).cast("int").alias("n"))
     need = pairs.join(parts, "b").select(F.col("a").alias("id"), "b", F.pmod(F.xxhash64("a"), "n").cast("int").alias("part"), F.lit(False).alias("pivot"))
     need = need.unionByName(parts.select(F.col("b").alias("id"), "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"), F.lit(True).alias("pivot")))
@@ -45,9 +68,9 @@ def checked(pairs: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent:
     return rows.mapInPandas(check, "a long, b long")
 
 
-def resolve(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def resolve(members: DataFrame, items: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """(node, root) of the graph of all linked pairs that share a region; members(region, item, n),
-    n the size of the item's set. Items without a link are left out.
+    items(item, n, bits), n the size of the item's set, bits its bitmap. Items without a link are left out.
 
     Round 1 checks each item of a region against the region's pivot (its smallest item) alone.
     Items that are then in one component need no more checks: what is left are regions with
@@ -59,7 +82,7 @@ def resolve(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent
     w = Window.partitionBy("region").orderBy("n", "item")
     m = members.select("region", "item", "n", F.first("item").over(w).alias("p"), F.first("n").over(w).alias("pn"), F.lead("item").over(w).alias("next"))
     live = materialise(m.where("p <> item or next is not null"), "live")
-    links = checked(live.where(f"p <> item and 100 * pn >= {percent} * n").select(F.col("item").alias("a"), F.col("p").alias("b")).distinct(), fetch, percent)
+    links = checked(live.where(f"p <> item and 100 * pn >= {percent} * n").select(F.col("item").alias("a"), F.col("p").alias("b")).distinct(), items, fetch, percent)
     links = materialise(links, "links")
     done = live.where(f"p <> item and 100 * pn >= {percent} * n").select(F.col("item").alias("a"), F.col("p").alias("b")).distinct()
     live = live.where("p <> item").select("region", "item", "n")
@@ -75,7 +98,7 @@ def resolve(members: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent
         pairs = live.join(pivots, "region").where(f"root <> pr and (n > pn or n = pn and item > p) and 100 * pn >= {percent} * n")
         pairs = pairs.select(F.col("item").alias("a"), F.col("p").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
-        links = materialise(links.unionByName(checked(pairs, fetch, percent)), "links")
+        links = materialise(links.unionByName(checked(pairs, items, fetch, percent)), "links")
         done = done.unionByName(pairs)
         live = live.join(pivots.select("region", F.col("p").alias("item")), ["region", "item"], "left_anti").select("region", "item", "n")
 

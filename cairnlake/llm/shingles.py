@@ -59,3 +59,20 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
         return False
     both = len(x) + len(y) - len(np.union1d(x, y))
     return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def bitmap(s: np.ndarray) -> bytes:
+    """A bit for each low part of the hashes of a set; the least power of two of bits that is twice
+    its size or more, and 64 at least."""
+    size = max(64, 1 << (2 * len(s) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(s & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def fold(bits: int, size: int, to: int) -> int:
+    """The bitmap of `to` bits that follows from one of size bits, both powers of two."""
+    while size > to:
+        size //= 2
+        bits = (bits & ((1 << size) - 1)) | (bits >> size)
+    return bits
