@@ -61,8 +61,9 @@ def jaccard_join(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", tex
 
     def sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            held = [shingle_set(x) for x in batch.text]
-            yield pd.DataFrame({"t": np.concatenate([*held, np.zeros(0, np.uint64)]).view(np.int64)})
+            for at in range(0, len(batch), 256):
+                held = [shingle_set(x) for x in batch.text.iloc[at : at + 256]]
+                yield pd.DataFrame({"t": np.concatenate(held).view(np.int64)})
 
     texts = d.join(F.broadcast(sample), "doc_id", "left_semi").select("text")  # at most SAMPLE_DOCS ids
     counted = texts.mapInPandas(sampled, "t long").groupBy("t").count().where(f"count >= {FREQUENT}").select("t")

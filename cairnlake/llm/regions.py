@@ -14,8 +14,8 @@ from .shingles import fold, shingle_set, similar
 
 #: Items checked against one copy of a pivot's text in one task.
 PER_GROUP = 128
-#: Pivots for each region in the rounds after the first.
-PIVOTS = 48
+#: Pivots for each region in the second round, and how many times as many in each later one.
+PIVOTS, GROWTH = 64, 16
 
 
 def screened(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
@@ -74,33 +74,35 @@ def resolve(members: DataFrame, items: DataFrame, fetch: Callable[[DataFrame], D
 
     Round 1 checks each item of a region against the region's pivot (its smallest item) alone.
     Items that are then in one component need no more checks: what is left are regions with
-    items of two components or more. There, further rounds take up to PIVOTS new pivots each,
-    contract again, and drop the pivots, of which every pair is decided. A region ends when
-    one component or one item is left: no pair is skipped but those of unlike size, which
-    can't link, and those already connected. Each round makes a bounded number of rows per
-    row of its input, whatever the size of a region."""
+    items of two components or more. There, further rounds take new pivots, GROWTH times as many
+    in each round, contract again, and drop the pivots, of which every pair is decided. A region
+    ends when one component or one item is left: no pair is skipped but those of unlike size,
+    which can't link, and those already connected. A round's rows are bounded by its number of
+    pivots per row of its input, so that the few large regions left last don't hold up the rest."""
     w = Window.partitionBy("region").orderBy("n", "item")
     m = members.select("region", "item", "n", F.first("item").over(w).alias("p"), F.first("n").over(w).alias("pn"), F.lead("item").over(w).alias("next"))
     live = materialise(m.where("p <> item or next is not null"), "live")
-    links = checked(live.where(f"p <> item and 100 * pn >= {percent} * n").select(F.col("item").alias("a"), F.col("p").alias("b")).distinct(), items, fetch, percent)
-    links = materialise(links, "links")
-    done = live.where(f"p <> item and 100 * pn >= {percent} * n").select(F.col("item").alias("a"), F.col("p").alias("b")).distinct()
-    live = live.where("p <> item").select("region", "item", "n")
+    pairs = live.where(f"p <> item and 100 * pn >= {percent} * n").select(F.col("item").alias("a"), F.col("p").alias("b")).distinct()
+    roots = materialise(components(checked(pairs, items, fetch, percent)), "roots")
+    live, most = live.where("p <> item").select("region", "item", "n"), PIVOTS
     while True:
-        roots = materialise(components(links), "roots")
         labelled = live.join(roots.withColumnRenamed("node", "item"), "item", "left").select("region", "item", "n", F.coalesce("root", "item").alias("root"))
         open_ = labelled.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("region")
         live = materialise(labelled.join(open_, "region", "left_semi"), "live")
         if live.isEmpty():
             return roots
-        rank = F.row_number().over(w)
-        pivots = live.withColumn("rk", rank).where(F.col("rk") <= PIVOTS).select("region", F.col("item").alias("p"), F.col("n").alias("pn"), F.col("root").alias("pr"))
+        ranked = live.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= most)
+        pivots = materialise(ranked.select("region", F.col("item").alias("p"), F.col("n").alias("pn"), F.col("root").alias("pr")), "pivots")
         pairs = live.join(pivots, "region").where(f"root <> pr and (n > pn or n = pn and item > p) and 100 * pn >= {percent} * n")
-        pairs = pairs.select(F.col("item").alias("a"), F.col("p").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        links = materialise(links.unionByName(checked(pairs, items, fetch, percent)), "links")
-        done = done.unionByName(pairs)
+        links = materialise(checked(pairs.select(F.col("item").alias("a"), F.col("p").alias("b")).distinct(), items, fetch, percent), "links")
+        if not links.isEmpty():
+            ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
+            known = roots.unionByName(ends)
+            side = lambda x, y: known.select(F.col("node").alias(x), F.col("root").alias(y))  # noqa: B023, E731
+            up = components(links.join(side("a", "u"), "a").join(side("b", "v"), "b").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct())
+            roots = materialise(known.join(up.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").select("node", F.coalesce("up", "root").alias("root")), "roots")
         live = live.join(pivots.select("region", F.col("p").alias("item")), ["region", "item"], "left_anti").select("region", "item", "n")
+        most *= GROWTH
 
 
 def fetch_from(texts: DataFrame) -> Callable[[DataFrame], DataFrame]:

@@ -35,7 +35,7 @@ def shingle_list(text: bytes | None) -> np.ndarray:
     """A hash for each shingle, in order and with repeats. A-Z are lower-cased, words are runs of
     bytes other than 9-13 and 32; fewer than five words are one shingle, no word none."""
     words = (text or b"").lower().split()
-    if len(_words) > 400_000:
+    if len(_words) > 200_000:
         _words.clear()
     a = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     if not len(a):

@@ -84,6 +84,7 @@ def test_jaccard_join_rounds(spark, monkeypatch):
     from cairnlake.llm import regions
 
     monkeypatch.setattr(regions, "PIVOTS", 3)
+    monkeypatch.setattr(regions, "GROWTH", 1)
     common = words(rng, 60)
     texts = [" ".join(common + words(rng, k % 5 + 9)) for k in range(40)]
     got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(docs_of(spark, texts)).collect()}
