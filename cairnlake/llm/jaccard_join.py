@@ -16,9 +16,11 @@ from .shingles import bitmap, shingle_set
 
 #: Documents whose shingles are counted to tell which ones are frequent: only the order of
 #: pivots, and so the speed, depends on it, never the result.
-SAMPLE_DOCS = 20_000
+SAMPLE_DOCS = 128_000
+#: Of the sample, only shingles whose hashes are below this are counted: others are seldom pivots.
+LOW = np.uint64(int(0.3 * 2**64))
 #: A shingle in so many documents of the sample is frequent.
-FREQUENT = 2
+FREQUENT = 3
 
 
 def _signatures(batches: Iterator[pd.DataFrame], frequent: np.ndarray, percent: int) -> Iterator[pd.DataFrame]:
@@ -62,8 +64,8 @@ def jaccard_join(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", tex
     def sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 256):
-                held = [shingle_set(x) for x in batch.text.iloc[at : at + 256]]
-                yield pd.DataFrame({"t": np.concatenate(held).view(np.int64)})
+                held = np.concatenate([(s := shingle_set(x))[: np.searchsorted(s, LOW)] for x in batch.text.iloc[at : at + 256]])
+                yield pd.DataFrame({"t": held.view(np.int64)})
 
     texts = d.join(F.broadcast(sample), "doc_id", "left_semi").select("text")  # at most SAMPLE_DOCS ids
     counted = texts.mapInPandas(sampled, "t long").groupBy("t").count().where(f"count >= {FREQUENT}").select("t")
@@ -73,7 +75,7 @@ def jaccard_join(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", tex
     signed = materialise(signed, "signed")
     first = signed.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = signed.select("digest", F.col("doc_id").alias("rep"), "n_shingles", "pivots", "bits").join(first, ["digest", "rep"]).dropDuplicates(["digest", "rep"])
-    members = reps.select(F.explode("pivots").alias("region"), F.col("rep").alias("item"), F.col("n_shingles").alias("n"))
+    members = reps.select(F.posexplode("pivots").alias("pos", "region"), F.col("rep").alias("item"), F.col("n_shingles").alias("n"))
     items = reps.select(F.col("rep").alias("item"), F.col("n_shingles").alias("n"), "bits")
     roots = resolve(members, items, fetch_from(d.withColumnRenamed("doc_id", "id")), percent)
     # ids that stand on several rows tie their texts' components together only through links

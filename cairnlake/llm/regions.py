@@ -69,31 +69,37 @@ def checked(pairs: DataFrame, items: DataFrame, fetch: Callable[[DataFrame], Dat
 
 
 def resolve(members: DataFrame, items: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """(node, root) of the graph of all linked pairs that share a region; members(region, item, n),
-    items(item, n, bits), n the size of the item's set, bits its bitmap. Items without a link are left out.
+    """(node, root) of the graph of all linked pairs that share a region; members(region, item, n,
+    pos), items(item, n, bits): n the size of the item's set, bits its bitmap, pos how many elements
+    of the set precede this region's in an order that all items share (0 if there is none). Items without a link are left out.
 
     Round 1 checks each item of a region against the region's pivot (its smallest item) alone.
     Items that are then in one component need no more checks: what is left are regions with
     items of two components or more. There, further rounds take new pivots, GROWTH times as many
     in each round, contract again, and drop the pivots, of which every pair is decided. A region
-    ends when one component or one item is left: no pair is skipped but those of unlike size,
-    which can't link, and those already connected. A round's rows are bounded by its number of
+    ends when one component or one item is left: no pair is skipped but those of which sizes
+    and positions show that they don't link or meet in an earlier region, and those already
+    connected. A round's rows are bounded by its number of
     pivots per row of its input, so that the few large regions left last don't hold up the rest."""
-    w = Window.partitionBy("region").orderBy("n", "item")
-    m = members.select("region", "item", "n", F.first("item").over(w).alias("p"), F.first("n").over(w).alias("pn"), F.lead("item").over(w).alias("next"))
+    w = Window.partitionBy("region").orderBy("n", "item", "pos")
+    first = F.first(F.struct("item", "n", "pos")).over(w)
+    m = members.select("region", "item", "n", "pos", first.alias("f"), F.lead("item").over(w).alias("next"))
+    m = m.select("region", "item", "n", "pos", F.col("f.item").alias("p"), F.col("f.n").alias("pn"), F.col("f.pos").alias("ppos"), "next")
+    # in the first region that two linked items share, what follows in either set must suffice
+    fits = f"least(n - pos, pn - ppos) * {100 + percent} >= {percent} * (n + pn)"
     live = materialise(m.where("p <> item or next is not null"), "live")
-    pairs = live.where(f"p <> item and 100 * pn >= {percent} * n").select(F.col("item").alias("a"), F.col("p").alias("b")).distinct()
+    pairs = live.where(f"p <> item and {fits}").select(F.col("item").alias("a"), F.col("p").alias("b")).distinct()
     roots = materialise(components(checked(pairs, items, fetch, percent)), "roots")
-    live, most = live.where("p <> item").select("region", "item", "n"), PIVOTS
+    live, most = live.where("p <> item").select("region", "item", "n", "pos"), PIVOTS
     while True:
-        labelled = live.join(roots.withColumnRenamed("node", "item"), "item", "left").select("region", "item", "n", F.coalesce("root", "item").alias("root"))
+        labelled = live.join(roots.withColumnRenamed("node", "item"), "item", "left").select("region", "item", "n", "pos", F.coalesce("root", "item").alias("root"))
         open_ = labelled.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("region")
         live = materialise(labelled.join(open_, "region", "left_semi"), "live")
         if live.isEmpty():
             return roots
         ranked = live.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= most)
-        pivots = materialise(ranked.select("region", F.col("item").alias("p"), F.col("n").alias("pn"), F.col("root").alias("pr")), "pivots")
-        pairs = live.join(pivots, "region").where(f"root <> pr and (n > pn or n = pn and item > p) and 100 * pn >= {percent} * n")
+        pivots = materialise(ranked.select("region", F.col("item").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("root").alias("pr")), "pivots")
+        pairs = live.join(pivots, "region").where(f"root <> pr and (n > pn or n = pn and item > p) and {fits}")
         links = materialise(checked(pairs.select(F.col("item").alias("a"), F.col("p").alias("b")).distinct(), items, fetch, percent), "links")
         if not links.isEmpty():
             ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
@@ -101,7 +107,7 @@ def resolve(members: DataFrame, items: DataFrame, fetch: Callable[[DataFrame], D
             side = lambda x, y: known.select(F.col("node").alias(x), F.col("root").alias(y))  # noqa: B023, E731
             up = components(links.join(side("a", "u"), "a").join(side("b", "v"), "b").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct())
             roots = materialise(known.join(up.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").select("node", F.coalesce("up", "root").alias("root")), "roots")
-        live = live.join(pivots.select("region", F.col("p").alias("item")), ["region", "item"], "left_anti").select("region", "item", "n")
+        live = live.join(pivots.select("region", F.col("p").alias("item")), ["region", "item"], "left_anti").select("region", "item", "n", "pos")
         most *= GROWTH
 
 
