@@ -23,28 +23,51 @@ _SLOW = re.compile(r"[\x1c-\x1f]|<\|(?:startoftext|endoftext)\|>")
 
 
 class WordTokenizer:
-    """ids of a tokenizer whose pre-tokens never span white space: each run of other characters is
-    encoded once and kept. Texts where that could differ go to the tokenizer whole."""
+    """ids of a tokenizer that lower-cases and whose pre-tokens are runs of letters, or of signs, that
+    never span white space: each run of other characters is encoded once and kept, and words that
+    differ by case or one closing sign share their letters' ids. Texts where that could differ go
+    to the tokenizer whole."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = 1_200_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.ids = [np.uint32(i).tobytes() for i in range(self.tokenizer.get_vocab_size())]
+        self.signs = dict(zip(",.;:!?", self._plain(list(",.;:!?")), strict=True))
         self.kept: dict[str, bytes] = {}
 
+    def _plain(self, words: list[str]) -> list[bytes]:
+        of = self.ids.__getitem__
+        return [b"".join(map(of, found.ids)) for found in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, new: set[str]) -> None:
+        derived, plain = [], set()
+        for word in new:
+            sign = word[-1] if word[-1] in self.signs else ""
+            stem = word[:-1] if sign else word
+            low = stem.lower()
+            if stem.isalpha() and max(stem) < "\u0250" and len(low) == len(stem):
+                derived.append((word, low, sign))
+                if low not in self.kept:
+                    plain.add(low)
+            else:
+                plain.add(word)
+        words = list(plain)
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            self.kept.update(zip(part, self._plain(part), strict=True))
+        for word, low, sign in derived:
+            self.kept[word] = self.kept[low] + self.signs.get(sign, b"")
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         for begin in range(0, len(texts), 256):
             some = texts[begin : begin + 256]
             split = [None if _SLOW.search(x) else (x.lower() if x.isascii() else x).split() for x in some]
-            if len(self.kept) > 400_000:
+            if len(self.kept) > self.most:
                 self.kept.clear()
-            new = list(set().union(*(x for x in split if x)) - self.kept.keys())
-            for at in range(0, len(new), 20_000):
-                part = new[at : at + 20_000]
-                for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    self.kept[word] = np.array(found.ids, "<u4").tobytes()
+            self._learn(set().union(*(x for x in split if x)) - self.kept.keys())
             for text, words in zip(some, split, strict=True):
                 if words is None:
                     yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
