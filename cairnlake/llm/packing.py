@@ -6,6 +6,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -75,7 +76,10 @@ class WordTokenizer:
                     yield b"".join(map(self.kept.__getitem__, words))
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
+@lru_cache
+def _tokenizer(path: str) -> WordTokenizer:
+    """One for each worker process: a task's function finds it by this module, so it's kept between tasks."""
+    return WordTokenizer(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -83,11 +87,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     cut into pieces of capacity tokens, the last one shorter. Null text: empty."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if tokenizer not in _tokenizers:
-            _tokenizers[tokenizer] = WordTokenizer(tokenizer)
         for batch in batches:
             out = []
-            for doc_id, ids in zip(batch.doc_id, _tokenizers[tokenizer].encode([x or "" for x in batch.text]), strict=True):
+            for doc_id, ids in zip(batch.doc_id, _tokenizer(tokenizer).encode([x or "" for x in batch.text]), strict=True):
                 ids += END
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
