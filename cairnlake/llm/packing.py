@@ -29,7 +29,7 @@ class WordTokenizer:
     differ by case or one closing sign share their letters' ids. Texts where that could differ go
     to the tokenizer whole."""
 
-    def __init__(self, path: str, most: int = 1_200_000) -> None:
+    def __init__(self, path: str, most: int = 2_000_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
