@@ -16,11 +16,9 @@ from .shingles import bitmap, shingle_set
 
 #: Documents whose shingles are counted to tell which ones are frequent: only the order of
 #: pivots, and so the speed, depends on it, never the result.
-SAMPLE_DOCS = 128_000
-#: Of the sample, only shingles whose hashes are below this are counted: others are seldom pivots.
-LOW = np.uint64(int(0.3 * 2**64))
+SAMPLE_DOCS = 32_000
 #: A shingle in so many documents of the sample is frequent.
-FREQUENT = 3
+FREQUENT = 2
 
 
 def _signatures(batches: Iterator[pd.DataFrame], frequent: np.ndarray, percent: int) -> Iterator[pd.DataFrame]:
@@ -64,7 +62,7 @@ def jaccard_join(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", tex
     def sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 256):
-                held = np.concatenate([(s := shingle_set(x))[: np.searchsorted(s, LOW)] for x in batch.text.iloc[at : at + 256]])
+                held = np.concatenate([shingle_set(x) for x in batch.text.iloc[at : at + 256]])
                 yield pd.DataFrame({"t": held.view(np.int64)})
 
     texts = d.join(F.broadcast(sample), "doc_id", "left_semi").select("text")  # at most SAMPLE_DOCS ids

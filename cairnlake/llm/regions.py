@@ -69,6 +69,11 @@ def checked(pairs: DataFrame, items: DataFrame, fetch: Callable[[DataFrame], Dat
 
 
 def resolve(members: DataFrame, items: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """(node, root): all rounds of settled()."""
+    return settled(members, items, fetch, percent)[0]
+
+
+def settled(members: DataFrame, items: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(node, root) of the graph of all linked pairs that share a region; members(region, item, n,
     pos), items(item, n, bits): n the size of the item's set, bits its bitmap, pos how many elements
     of the set precede this region's in an order that all items share (0 if there is none). Items without a link are left out.
@@ -80,7 +85,10 @@ def resolve(members: DataFrame, items: DataFrame, fetch: Callable[[DataFrame], D
     ends when one component or one item is left: no pair is skipped but those of which sizes
     and positions show that they don't link or meet in an earlier region, and those already
     connected. A round's rows are bounded by its number of
-    pivots per row of its input, so that the few large regions left last don't hold up the rest."""
+    pivots per row of its input, so that the few large regions left last don't hold up the rest.
+
+    The second result are the rows of regions that are open after so many rounds; none if rounds
+    is null."""
     w = Window.partitionBy("region").orderBy("n", "item", "pos")
     first = F.first(F.struct("item", "n", "pos")).over(w)
     m = members.select("region", "item", "n", "pos", first.alias("f"), F.lead("item").over(w).alias("next"))
@@ -91,12 +99,14 @@ def resolve(members: DataFrame, items: DataFrame, fetch: Callable[[DataFrame], D
     pairs = live.where(f"p <> item and {fits}").select(F.col("item").alias("a"), F.col("p").alias("b")).distinct()
     roots = materialise(components(checked(pairs, items, fetch, percent)), "roots")
     live, most = live.where("p <> item").select("region", "item", "n", "pos"), PIVOTS
+    done = 0
     while True:
         labelled = live.join(roots.withColumnRenamed("node", "item"), "item", "left").select("region", "item", "n", "pos", F.coalesce("root", "item").alias("root"))
         open_ = labelled.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("region")
         live = materialise(labelled.join(open_, "region", "left_semi"), "live")
-        if live.isEmpty():
-            return roots
+        done += 1
+        if done == rounds or live.isEmpty():
+            return roots, live
         ranked = live.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= most)
         pivots = materialise(ranked.select("region", F.col("item").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("root").alias("pr")), "pivots")
         pairs = live.join(pivots, "region").where(f"root <> pr and (n > pn or n = pn and item > p) and {fits}")
