@@ -18,7 +18,7 @@ from .shingles import bitmap, shingle_set
 #: pivots, and so the speed, depends on it, never the result.
 SAMPLE_DOCS = 32_000
 #: A shingle in so many documents of the sample is frequent.
-FREQUENT = 2
+FREQUENT = 3
 
 
 def _signatures(batches: Iterator[pd.DataFrame], frequent: np.ndarray, percent: int) -> Iterator[pd.DataFrame]:
@@ -67,7 +67,7 @@ def jaccard_join(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", tex
 
     texts = d.join(F.broadcast(sample), "doc_id", "left_semi").select("text")  # at most SAMPLE_DOCS ids
     counted = texts.mapInPandas(sampled, "t long").groupBy("t").count().where(f"count >= {FREQUENT}").select("t")
-    frequent = np.sort(counted.toPandas()["t"].to_numpy(np.int64).view(np.uint64))
+    frequent = np.sort(counted.toArrow()["t"].to_numpy().astype(np.int64).view(np.uint64))
     held = spark.sparkContext.broadcast(frequent)
     signed = d.mapInPandas(lambda batches: _signatures(batches, held.value, percent), "doc_id long, n_shingles long, digest binary, pivots array<long>, bits binary")
     signed = materialise(signed, "signed")
