@@ -15,7 +15,7 @@ from .shingles import fold, shingle_set, similar
 #: Items checked against one copy of a pivot's text in one task.
 PER_GROUP = 128
 #: Pivots for each region in the second round, and how many times as many in each later one.
-PIVOTS, GROWTH = 6, 8
+PIVOTS, GROWTH = 2, 6
 
 
 def screened(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
