@@ -97,16 +97,16 @@ def doc_frequency(spark, sf_dir):
     return retrieval.document_frequency(retrieval.passages(n), n, TERMS)
 
 
-@query(f"""with {NOTES}, {ENTITIES} select entity, e.id, title, last_seen_at from entities e left join notes n on e.id = n.id where entity = 'Thatthe' or entity in (select min(entity) from entities) and false order by last_seen_at desc, entity, e.id limit 20""")
+@query(f"""with {NOTES}, {ENTITIES} select entity, e.id, title, last_seen_at from entities e left join notes n on e.id = n.id where entity = 'Eriner' order by last_seen_at desc, entity, e.id limit 20""")
 def entity_lookup(spark, sf_dir):
     n = fx.notes(spark, sf_dir)
-    return relational.entity_lookup(fx.entities(n), n, "Thatthe")
+    return relational.entity_lookup(fx.entities(n), n, "Eriner")
 
 
-@query(f"""with {NOTES}, {ENTITIES}, r as (select entity, e.id, row_number() over (partition by entity order by last_seen_at desc, e.id) as rank from entities e join notes n on e.id = n.id where not stale and entity in ('Thatthe', 'Anther', 'Heitung', 'Wither')) select * from r where rank <= 5""")
+@query(f"""with {NOTES}, {ENTITIES}, r as (select entity, e.id, row_number() over (partition by entity order by last_seen_at desc, e.id) as rank from entities e join notes n on e.id = n.id where not stale and entity in ('Eriner', 'License', 'Retion', 'Erreth')) select * from r where rank <= 5""")
 def entity_hits_topn(spark, sf_dir):
     n = fx.notes(spark, sf_dir)
-    return relational.entity_hits(fx.entities(n), n, ["Thatthe", "Anther", "Heitung", "Wither"])
+    return relational.entity_hits(fx.entities(n), n, ["Eriner", "License", "Retion", "Erreth"])
 
 
 @query(f"with {NOTES} select id, axis, priority, stale, word_count from notes where axis = 'fr' and priority = 'lazy' and not stale order by axis, id limit 50")
@@ -208,12 +208,12 @@ def top_degree(spark, sf_dir):
 RANKED = R6.format("weight * case when kind = 'sibling' then 0.3::double else 1.0::double end")
 
 
-@query(f"with {EDGES} select other, kind, {RANKED} as rank_weight from sym where id = 'part-0000011' and weight >= 0.5 order by rank_weight desc, other, kind limit 10")
+@query(f"with {EDGES} select other, kind, {RANKED} as rank_weight from sym where id = 'part-0001353' and weight >= 0.5 order by rank_weight desc, other, kind limit 10")
 def link_neighbors(spark, sf_dir):
-    return graph.neighbors(fx.edges(spark, sf_dir), "part-0000011")
+    return graph.neighbors(fx.edges(spark, sf_dir), "part-0001353")
 
 
-SEEDS = ["part-0000011", "part-0000042", "part-0000101"]
+SEEDS = ["part-0001353", "part-0001139", "part-0000101"]
 _seeds = ", ".join(f"'{x}'" for x in SEEDS)
 HOP1 = f"h1 as (select other as id, max({RANKED}) as rank_weight from sym where weight >= 0.5 and id in ({_seeds}) and other not in ({_seeds}) group by other)"
 
@@ -261,9 +261,9 @@ def merge_redirect(spark, sf_dir):
     return graph.redirect(fx.edges(spark, sf_dir), gone).withColumn("weight", policy.rounded(F.col("weight")))
 
 
-@query(f"with {EDGES} select id from (select src as id from edges where kind = 'reference' and dst = 'part-0000011' union select other from sym where kind = 'sibling' and id = 'part-0000011') order by id limit 5")
+@query(f"with {EDGES} select id from (select src as id from edges where kind = 'reference' and dst = 'part-0000052' union select other from sym where kind = 'sibling' and id = 'part-0000052') order by id limit 5")
 def inbound_blockers(spark, sf_dir):
-    return graph.blockers(fx.edges(spark, sf_dir), "part-0000011")
+    return graph.blockers(fx.edges(spark, sf_dir), "part-0000052")
 
 
 @query(f"""with {NOTES}, {TAGS}, own as (select tag from tags where id = 'doc-000003'), n as (select id, count(*) as n from tags group by id)
@@ -280,11 +280,11 @@ def clusters(spark, sf_dir):
 
 
 @query(f"""with {NOTES}, t as (select distinct id, unnest(list_transform(regexp_extract_all(body, '[A-Za-z0-9가-힣]{{3,}}'), lambda x: lower(x))) as token from notes), c as (select id, count(*) as n from t group by id),
-rare as (select token from t group by token having count(*) between 2 and 20), p as (select distinct a.id as a, b.id as b from t a join t b on a.token = b.token and a.id < b.id where a.token in (select token from rare)),
+rare as (select token from t group by token having count(*) between 2 and 5), p as (select distinct a.id as a, b.id as b from t a join t b on a.token = b.token and a.id < b.id where a.token in (select token from rare)),
 s as (select p.a, p.b, count(*) as both_ from p join t x on x.id = p.a join t y on y.id = p.b and x.token = y.token group by all),
 r as (select a, b, {R6.format("both_ * 1.0::double / (x.n + y.n - both_)")} as jaccard, {R6.format("both_ * 1.0::double / least(x.n, y.n)")} as containment from s join c x on x.id = a join c y on y.id = b) select * from r where jaccard >= 0.6 or containment >= 0.85""")
 def near_duplicates(spark, sf_dir):
-    return mining.near_duplicates(fx.notes(spark, sf_dir).select("id", "body"), 20)
+    return mining.near_duplicates(fx.notes(spark, sf_dir).select("id", "body"), 5)
 
 
 VECTORS = f"""v as (select vec_id as id, label as axis, cast(embedding as double[]) as e from embeddings), pairs as (select a.id as anchor, b.id as other, {R6.format("list_cosine_similarity(a.e, b.e)")} as score from v a join v b on a.axis = b.axis and a.id <> b.id),

@@ -27,7 +27,9 @@ def ensure_checkpoints(spark: SparkSession) -> None:
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """path (below root) and text of the live notes of a folder: .md files of no hidden or trash folder
     (but .innate) that aren't named README, INDEX, GUIDE or _*."""
-    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/.innate")
+    roots = [root, f"{root}/.innate"] if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else [root]  # Spark lists no hidden folder by itself
+    files = spark.read.text(roots, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
     files = files.select(F.regexp_extract("file", r"/cortex/(.*)$", 1).alias("path"), "text")
     name = F.element_at(F.split("path", "/"), -1)
     hidden = F.exists(F.split("path", "/"), lambda p: p.startswith(".") & (p != ".innate"))
