@@ -50,7 +50,7 @@ def parse(files: DataFrame) -> DataFrame:
     pair = lambda x: F.struct(F.regexp_extract(x, r"^(\w+):", 1).alias("key"), F.trim(F.regexp_extract(x, r"^\w+:(.*)$", 1)).alias("value"))
     parts = parts.withColumn("rows_", F.transform(F.filter(rows, lambda x: x.rlike(r"^\w+:\s*\S.*$")), pair)).withColumn("bad_", bad)
     value = lambda k: F.try_element_at(F.filter("rows_", lambda p: p["key"] == k), F.lit(-1))["value"]
-    array = lambda k: F.when(value(k).rlike(r"^\[.*\]$"), F.filter(F.transform(F.split(F.regexp_replace(value(k), r"^\[|\]$", ""), ","), F.trim), lambda x: x != ""))
+    array = lambda k: F.when(value(k).rlike(r"^\[.*\]$"), F.filter(F.transform(F.split(F.regexp_replace(value(k), r"^\[|\]$", ""), ","), lambda x: F.trim(x)), lambda x: x != ""))
     flag = lambda k: F.lower(F.coalesce(value(k), F.lit(""))).isin("true", "1", "yes")
     source = F.when(value("source").startswith("["), F.from_json(value("source"), "array<string>")).when(value("source").startswith("{"), F.array(F.get_json_object(value("source"), "$.path"))).when(value("source").isNotNull(), F.array(value("source")))
     lists = [k for k in ("tags", "entities")]
