@@ -47,26 +47,33 @@ class Classifier:
     def __init__(self, prior: list[float], words: dict[str, list[float]], shapes: dict[tuple[int, int], list[float]]) -> None:
         self.prior, self.words, self.shapes = prior, words, shapes
 
-    def posteriors(self) -> Column:
-        """array<double> by domain, of the columns of described()."""
+    def posteriors(self, rows: DataFrame) -> DataFrame:
+        """described() rows with p: array<double> by domain. Each step is a column of its own, so that
+        none is evaluated again where a later one, or a lambda, refers to it."""
         k = len(self.prior)
         vector = lambda v: F.array(*[F.lit(float(x)) for x in v])
-        score = [vector(self.prior)]
-        for f in sorted({f for f, _ in self.shapes}):
-            c = vector([0.0] * k)
-            for (g, level), w in sorted(self.shapes.items()):
-                if g == f:
-                    c = F.when(F.element_at("shape", f + 1) == level, vector(w)).otherwise(c)
-            score.append(c)
+        lexicon = F.array(*map(F.lit, sorted(self.words))) if self.words else F.array().cast("array<string>")
+        rows = rows.withColumn("known_", F.array_intersect("words", lexicon))
+        told = vector([0.0] * k)
         if self.words:
-            known = F.array_intersect("words", F.array(*map(F.lit, sorted(self.words))))
             table = F.create_map(*[x for w, v in sorted(self.words.items()) for x in (F.lit(w), vector(v))])
-            add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-            score.append(F.aggregate(known, vector([0.0] * k), lambda a, w: add(a, F.element_at(table, w))))
-        total = [reduce(lambda a, b: a + b, (s[i] for s in score)) for i in range(k)]
-        raw = F.array(*total)
-        top = F.transform(raw, lambda x: F.exp(x - F.array_max(raw)))
-        return F.transform(top, lambda x: x / F.aggregate(top, F.lit(0.0), lambda a, b: a + b))
+            told = F.aggregate("known_", told, lambda a, w: F.zip_with(a, F.element_at(table, w), lambda x, y: x + y))
+        rows = rows.withColumn("told_", told)
+        for i in range(k):
+            score = F.lit(self.prior[i]) + F.col("told_")[i]
+            for f in sorted({f for f, _ in self.shapes}):
+                c = F.lit(0.0)
+                for (g, level), w in sorted(self.shapes.items()):
+                    if g == f:
+                        c = F.when(F.col("shape")[f] == level, float(w[i])).otherwise(c)
+                score = score + c
+            rows = rows.withColumn(f"s{i}_", score)
+        every = [f"s{i}_" for i in range(k)]
+        rows = rows.withColumn("top_", F.greatest(*every))
+        for s in every:
+            rows = rows.withColumn(s, F.exp(F.col(s) - F.col("top_")))
+        rows = rows.withColumn("sum_", reduce(lambda a, b: a + b, map(F.col, every)))
+        return rows.withColumn("p", F.array(*[F.col(s) / F.col("sum_") for s in every])).drop("known_", "told_", "top_", "sum_", *every)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
@@ -125,30 +132,30 @@ def rates(posterior: DataFrame, targets: list[float], most: float = 1.0, rounds:
     return column(), got
 
 
-def mixed(docs: DataFrame, corpus: DataFrame, labels: DataFrame, weights: tuple[float, ...] = (0.95, 0.05, 0.0), budget: float | None = None, most: float = 1.0, sample: int = SAMPLE) -> tuple[DataFrame, Column, Column]:
-    """(docs(key, text) as key, n_tokens, p by domain of DOMAINS and rate; the column p of
-    described() rows; the column rate of n_tokens and p).
+def mixed(docs: DataFrame, corpus: DataFrame, labels: DataFrame, weights: tuple[float, ...] = (0.95, 0.05, 0.0), budget: float | None = None, most: float = 1.0, sample: int = SAMPLE) -> tuple[DataFrame, Classifier, Column]:
+    """(docs(key, text) as key, n_tokens, p by domain of DOMAINS and rate; the classifier; the column
+    rate of n_tokens and p).
 
     The classifier is fitted on corpus(doc_id, text) with labels. weights are the shares of the
     domains in the mixture's tokens, budget its tokens; null: so many that the first domain, at a
     rate of 1, gives 1 / 1.05 of its target, so that its documents all stay. Null and empty texts
     have no token and get the rate of their posterior; repeated rows get the same rate."""
     model = fit(corpus, labels, sample)
-    d = described(docs.select("key", "text")).withColumn("p", model.posteriors()).select("key", "n_tokens", "p")
+    d = model.posteriors(described(docs.select("key", "text"))).select("key", "n_tokens", "p")
     d = materialise(d, "posteriors")
     k = len(DOMAINS)
     total = [x or 0.0 for x in d.agg(*[F.sum(F.col("n_tokens") * F.col("p")[i]) for i in range(k)]).first()]
     if budget is None:
         budget = 1.05 * total[0] / weights[0] if weights[0] else sum(total)
     column, _ = rates(d, [w * budget for w in weights], most)
-    return d.withColumn("rate", column), model.posteriors(), column
+    return d.withColumn("rate", column), model, column
 
 
 def mix(docs: DataFrame, corpus: DataFrame, labels: DataFrame, **how: object) -> DataFrame:
     """documents of which floor(rate) copies stay, and one more with the probability of the rest, by
     a hash of the row's id and text that is the same in every run. Texts never cross a shuffle."""
-    _, posterior, rate = mixed(docs.select(F.col("doc_id").alias("key"), "text"), corpus, labels, **how)
-    rows = described(docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("row_"))).withColumn("p", posterior).select("row_", F.round(rate, 9).alias("rate"))
+    _, model, rate = mixed(docs.select(F.col("doc_id").alias("key"), "text"), corpus, labels, **how)
+    rows = model.posteriors(described(docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("row_")))).select("row_", F.round(rate, 9).alias("rate"))
     draw = (F.pmod(F.xxhash64(F.lit("mix"), "row_.doc_id", "row_.text"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     rows = rows.withColumn("copies", F.floor("rate") + (F.col("rate") - F.floor("rate") > draw).cast("long")).where("copies > 0")
     return rows.select("row_", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row_.*")
