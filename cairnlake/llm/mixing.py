@@ -155,7 +155,9 @@ def mix(docs: DataFrame, corpus: DataFrame, labels: DataFrame, **how: object) ->
     """documents of which floor(rate) copies stay, and one more with the probability of the rest, by
     a hash of the row's id and text that is the same in every run. Texts never cross a shuffle."""
     _, model, rate = mixed(docs.select(F.col("doc_id").alias("key"), "text"), corpus, labels, **how)
-    rows = model.posteriors(described(docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("row_")))).select("row_", F.round(rate, 9).alias("rate"))
+    rows = model.posteriors(described(docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("row_"))))
+    # a row is unpacked once more so that the plan doesn't write p's expressions into each use of them
+    rows = rows.select("row_", F.inline(F.array(F.struct("n_tokens", "p")))).select("row_", F.round(rate, 9).alias("rate"))
     draw = (F.pmod(F.xxhash64(F.lit("mix"), "row_.doc_id", "row_.text"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
     rows = rows.withColumn("copies", F.floor("rate") + (F.col("rate") - F.floor("rate") > draw).cast("long")).where("copies > 0")
     return rows.select("row_", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row_.*")
