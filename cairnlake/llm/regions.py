@@ -68,6 +68,16 @@ def checked(pairs: DataFrame, items: DataFrame, fetch: Callable[[DataFrame], Dat
     return rows.mapInPandas(check, "a long, b long")
 
 
+def distinct_regions(rows: DataFrame) -> DataFrame:
+    """region of rows(region, item, pos, root): one of all regions that hold the same items, of two roots or more.
+
+    Equal items are told by their count and 128 bits of hashes. Items that share several regions
+    all pass them in the same order, so the one where they stand first stands for the others: what
+    follows there is most, and no pair is lost."""
+    one = rows.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("pos").alias("pos"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("item")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), "item")).alias("h2"))
+    return one.where("lo <> hi").groupBy("size", "h1", "h2").agg(F.min(F.struct("pos", "region"))["region"].alias("region")).select("region")
+
+
 def resolve(members: DataFrame, items: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """(node, root): all rounds of settled()."""
     return settled(members, items, fetch, percent)[0]
@@ -82,7 +92,7 @@ def settled(members: DataFrame, items: DataFrame, fetch: Callable[[DataFrame], D
     Items that are then in one component need no more checks: what is left are regions with
     items of two components or more. There, further rounds take new pivots, GROWTH times as many
     in each round, contract again, and drop the pivots, of which every pair is decided. A region
-    ends when one component or one item is left: no pair is skipped but those of which sizes
+    ends when one component or one item is left, and of regions with the same items one is kept: no pair is skipped but those of which sizes
     and positions show that they don't link or meet in an earlier region, and those already
     connected. A round's rows are bounded by its number of
     pivots per row of its input, so that the few large regions left last don't hold up the rest.
@@ -102,7 +112,7 @@ def settled(members: DataFrame, items: DataFrame, fetch: Callable[[DataFrame], D
     done = 0
     while True:
         labelled = live.join(roots.withColumnRenamed("node", "item"), "item", "left").select("region", "item", "n", "pos", F.coalesce("root", "item").alias("root"))
-        open_ = labelled.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("region")
+        open_ = distinct_regions(labelled)
         live = materialise(labelled.join(open_, "region", "left_semi"), "live")
         done += 1
         if done == rounds or live.isEmpty():
