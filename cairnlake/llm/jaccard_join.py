@@ -73,7 +73,8 @@ def jaccard_join(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", tex
     signed = materialise(signed, "signed")
     first = signed.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = signed.select("digest", F.col("doc_id").alias("rep"), "n_shingles", "pivots", "bits").join(first, ["digest", "rep"]).dropDuplicates(["digest", "rep"])
-    members = reps.select(F.posexplode("pivots").alias("pos", "region"), F.col("rep").alias("item"), F.col("n_shingles").alias("n"))
+    members = reps.select(F.posexplode(F.arrays_zip(F.col("pivots").alias("region"), F.concat(F.array(F.lit(None).cast("long")), F.slice("pivots", 1, F.greatest(F.size("pivots") - 1, F.lit(0)))).alias("prev"))).alias("pos", "at"), F.col("rep").alias("item"), F.col("n_shingles").alias("n"))
+    members = members.select("at.region", "item", "n", "pos", "at.prev")
     items = reps.select(F.col("rep").alias("item"), F.col("n_shingles").alias("n"), "bits")
     roots = resolve(members, items, fetch_from(d.withColumnRenamed("doc_id", "id")), percent)
     # ids that stand on several rows tie their texts' components together only through links

@@ -85,8 +85,12 @@ def resolve(members: DataFrame, items: DataFrame, fetch: Callable[[DataFrame], D
 
 def settled(members: DataFrame, items: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(node, root) of the graph of all linked pairs that share a region; members(region, item, n,
-    pos), items(item, n, bits): n the size of the item's set, bits its bitmap, pos how many elements
-    of the set precede this region's in an order that all items share (0 if there is none). Items without a link are left out.
+    pos, prev), items(item, n, bits): n the size of the item's set, bits its bitmap, pos how many elements
+    of the set precede this region's in an order that all items share (0 if there is none), prev the
+    item's region just before this one in that order (null if there is none). Items without a link are left out.
+
+    Two items with the same prev share that region too, and so on back to the first region that
+    they share, where prev differs: a pair is taken up there and skipped where prev is the same.
 
     Round 1 checks each item of a region against the region's pivot (its smallest item) alone.
     Items that are then in one component need no more checks: what is left are regions with
@@ -100,25 +104,25 @@ def settled(members: DataFrame, items: DataFrame, fetch: Callable[[DataFrame], D
     The second result are the rows of regions that are open after so many rounds; none if rounds
     is null."""
     w = Window.partitionBy("region").orderBy("n", "item", "pos")
-    first = F.first(F.struct("item", "n", "pos")).over(w)
-    m = members.select("region", "item", "n", "pos", first.alias("f"), F.lead("item").over(w).alias("next"))
-    m = m.select("region", "item", "n", "pos", F.col("f.item").alias("p"), F.col("f.n").alias("pn"), F.col("f.pos").alias("ppos"), "next")
+    first = F.first(F.struct("item", "n", "pos", "prev")).over(w)
+    m = members.select("region", "item", "n", "pos", "prev", first.alias("f"), F.lead("item").over(w).alias("next"))
+    m = m.select("region", "item", "n", "pos", "prev", F.col("f.item").alias("p"), F.col("f.n").alias("pn"), F.col("f.pos").alias("ppos"), F.col("f.prev").alias("pprev"), "next")
     # in the first region that two linked items share, what follows in either set must suffice
-    fits = f"least(n - pos, pn - ppos) * {100 + percent} >= {percent} * (n + pn)"
+    fits = f"least(n - pos, pn - ppos) * {100 + percent} >= {percent} * (n + pn) and not coalesce(prev = pprev, false)"
     live = materialise(m.where("p <> item or next is not null"), "live")
     pairs = live.where(f"p <> item and {fits}").select(F.col("item").alias("a"), F.col("p").alias("b")).distinct()
     roots = materialise(components(checked(pairs, items, fetch, percent)), "roots")
-    live, most = live.where("p <> item").select("region", "item", "n", "pos"), PIVOTS
+    live, most = live.where("p <> item").select("region", "item", "n", "pos", "prev"), PIVOTS
     done = 0
     while True:
-        labelled = live.join(roots.withColumnRenamed("node", "item"), "item", "left").select("region", "item", "n", "pos", F.coalesce("root", "item").alias("root"))
+        labelled = live.join(roots.withColumnRenamed("node", "item"), "item", "left").select("region", "item", "n", "pos", "prev", F.coalesce("root", "item").alias("root"))
         open_ = distinct_regions(labelled)
         live = materialise(labelled.join(open_, "region", "left_semi"), "live")
         done += 1
         if done == rounds or live.isEmpty():
             return roots, live
         ranked = live.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= most)
-        pivots = materialise(ranked.select("region", F.col("item").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("root").alias("pr")), "pivots")
+        pivots = materialise(ranked.select("region", F.col("item").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("prev").alias("pprev"), F.col("root").alias("pr")), "pivots")
         pairs = live.join(pivots, "region").where(f"root <> pr and (n > pn or n = pn and item > p) and {fits}")
         links = materialise(checked(pairs.select(F.col("item").alias("a"), F.col("p").alias("b")).distinct(), items, fetch, percent), "links")
         if not links.isEmpty():
@@ -127,7 +131,7 @@ def settled(members: DataFrame, items: DataFrame, fetch: Callable[[DataFrame], D
             side = lambda x, y: known.select(F.col("node").alias(x), F.col("root").alias(y))  # noqa: B023, E731
             up = components(links.join(side("a", "u"), "a").join(side("b", "v"), "b").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct())
             roots = materialise(known.join(up.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").select("node", F.coalesce("up", "root").alias("root")), "roots")
-        live = live.join(pivots.select("region", F.col("p").alias("item")), ["region", "item"], "left_anti").select("region", "item", "n", "pos")
+        live = live.join(pivots.select("region", F.col("p").alias("item")), ["region", "item"], "left_anti").select("region", "item", "n", "pos", "prev")
         most *= GROWTH
 
 
