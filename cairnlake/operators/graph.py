@@ -145,3 +145,25 @@ def ppmi(edges: DataFrame) -> DataFrame:
 def top_pairs(edges: DataFrame, limit: int) -> DataFrame:
     w = Window.partitionBy("id").orderBy(F.desc("weight"), "other", "kind")
     return symmetric(edges).withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= limit)
+
+
+def truncated_svd(matrix: DataFrame, dim: int = 48) -> DataFrame:
+    """id, vec: rows of U·S of the square matrix(i, j, value), with min(dim, n - 1) components; those beyond its
+    rank are 0. Rows stay distributed; the driver holds vectors of length n only."""
+    from pyspark.mllib.linalg import SparseVector
+    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+
+    spark = matrix.sparkSession
+    names = matrix.select(F.col("i").alias("id")).union(matrix.select("j")).distinct().orderBy("id")
+    ids = spark.createDataFrame(names.rdd.map(lambda r: r.id).zipWithIndex(), "id string, at long").checkpoint()
+    n = ids.count()
+    k = min(dim, n - 1)
+    if k < 1:
+        return ids.select("id", F.array().cast("array<double>").alias("vec"))
+    cells = matrix.join(ids.selectExpr("id as i", "at as row"), "i").join(ids.selectExpr("id as j", "at as col"), "j")
+    rows = cells.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("col", "value"))).alias("cells"))
+    sparse = rows.rdd.map(lambda r: IndexedRow(r.row, SparseVector(n, [c.col for c in r.cells], [c.value for c in r.cells]))).cache()
+    found = IndexedRowMatrix(sparse, n, n).computeSVD(k, computeU=True)
+    s = [float(x) for x in found.s]
+    vecs = spark.createDataFrame(found.U.rows.map(lambda r: (r.index, [float(x) * y for x, y in zip(r.vector, s, strict=True)] + [0.0] * (k - len(s)))), "at long, vec array<double>")
+    return ids.join(vecs, "at").select("id", "vec")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import policy, text
 from ..functions.policy import Tunables
-from ..operators import activity, graph, lint, mining, relational, retrieval
+from ..operators import activity, graph, lint, mining, mutations, relational, retrieval
 from ..sources.corpus import ensure_checkpoints, source_hashes
 from ..streaming.windows import session_windows
 from . import fixtures as fx
@@ -454,6 +454,62 @@ def index_sizes(spark, sf_dir):
     return p.where("id like '%7'").groupBy("id").agg(F.sum("tf").alias("tokens"))
 
 
+NAMES = {"small": "middle", "de": "german"}
+
+
+@query(f"with {NOTES}, {TAGS} select distinct id, case tag when 'small' then 'middle' when 'de' then 'german' else tag end as tag from tags")
+def rename_tags(spark, sf_dir):
+    return mutations.renamed(fx.tags(fx.notes(spark, sf_dir)), "tag", spark.createDataFrame(list(NAMES.items()), "old string, new string"))
+
+
+@query(f"""with {ORDERED}, have as (select src, dst, 'assoc' as kind, 0.4::double as weight from ordered where n = 2) select * from have
+union all select src, dst, 'assoc', {R6.format("least(0.48, 0.35 + 0.13 / n)")} from ordered where n <> 2""")
+def propose_links(spark, sf_dir):
+    o = fx.ordered(spark, sf_dir)
+    have = o.where("n = 2").select("src", "dst", F.lit("assoc").alias("kind"), F.lit(0.4).alias("weight"))
+    new = o.select(F.col("dst").alias("src"), F.col("src").alias("dst"), (1 / F.col("n")).alias("confidence"))
+    return mutations.propose(have, new).withColumn("weight", policy.rounded(F.col("weight")))
+
+
+@query(f"""with {EDGES}, have as (select id as note_id, case when p_partkey % 2 = 0 then 5 end as resolved from parts where p_size <= 3 and p_partkey % 3 = 0),
+raised as (select src as note_id, count(distinct dst) as times from edges where kind = 'reference' and dst in (select id from parts where p_size <= 3) group by src)
+select coalesce(h.note_id, r.note_id) as note_id, 'stale_ref' as flag, case when times is null then 'old' else 'stale' end as reason, case when h.note_id is null then {fx.BASE} else 1 end as created_at,
+case when times is null then 1 else {fx.BASE} end as last_flagged_at, case when h.note_id is null then 0 else 1 end + coalesce(times, 0) as flag_count, case when times is null then resolved end as resolved_at
+from have h full join raised r on h.note_id = r.note_id""")
+def flag_referrers(spark, sf_dir):
+    p = fx.table(spark, sf_dir, "part").where("p_size <= 3").select("p_partkey", fx.part_key("p_partkey").alias("id"))
+    n = lambda x: F.lit(x).cast("long")
+    have = p.where("p_partkey % 3 = 0").select(F.col("id").alias("note_id"), F.lit("stale_ref").alias("flag"), F.lit("old").alias("reason"), n(1).alias("created_at"), n(1).alias("last_flagged_at"), n(1).alias("flag_count"), F.when(F.col("p_partkey") % 2 == 0, n(5)).alias("resolved_at"))
+    return mutations.flag(have, mutations.referrers(fx.references(spark, sf_dir), p, "stale", fx.BASE))
+
+
+@query(f"""with {NOTES}, moved as (select case when d % 10 in (1, 2) then 'doc-' || lpad(cast(d - d % 10 as varchar), 6, '0') else id end as note_id, d % 10 in (1, 2) as came, id, hit_count, last_retrieved_at, created_at
+from (select *, cast(substr(id, 5) as bigint) as d from notes))
+select note_id, cast(sum(hit_count) as bigint) as hit_count, case when count(last_retrieved_at) = count(*) then max(last_retrieved_at) end as last_retrieved_at, first(created_at order by came, id) as created_at from moved group by note_id""")
+def merge_usage(spark, sf_dir):
+    u = fx.notes(spark, sf_dir).select(F.col("id").alias("note_id"), "hit_count", "last_retrieved_at", "created_at")
+    d = fx.table(spark, sf_dir, "documents").where("doc_id % 10 in (1, 2)").withColumn("to", F.col("doc_id") - F.col("doc_id") % 10)
+    return mutations.absorb_usage(u, d.select(fx.doc_key("doc_id").alias("old"), fx.doc_key("to").alias("new")))
+
+
+TERM_STATUS = "case doc_id % 3 when 0 then 'pending' when 1 then 'active' else 'rejected' end"
+
+
+@query(f"""with t as (select doc_id, doc_id * 3600 as created_at, {TERM_STATUS} as status from documents), late as (select *, status = 'pending' and created_at <= 500 * 3600 - 86400 as late from t)
+select 'doc-' || lpad(cast(doc_id as varchar), 6, '0') as note_id, case when late then 'rejected' else status end as status, case when late then 'roundtrip_fail' end as reject_reason from late""")
+def reject_pending_terms(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents").select(fx.doc_key("doc_id").alias("note_id"), (F.col("doc_id") * 3600).alias("created_at"), F.expr(TERM_STATUS).alias("status"), F.lit(None).cast("string").alias("reject_reason"))
+    return mutations.reject_pending(d, 500 * 3600).select("note_id", "status", "reject_reason")
+
+
+def graph_vectors(spark, sf_dir):
+    ensure_checkpoints(spark)
+    return graph.truncated_svd(graph.ppmi(fx.edges(spark, sf_dir)))
+
+
+_found["graph_vectors"] = graph_vectors  # unique up to signs only, so no SQL
+
+
 def queries() -> dict[str, Query]:
     return dict(_found)
 
