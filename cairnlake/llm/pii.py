@@ -7,7 +7,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +29,8 @@ WINDOW = 8
 MIN_CONTEXTS, MIN_SHARE, MIN_BITS = 3, 0.5, 4.0
 #: Candidate terms looked up in one pass over the texts; more take more passes.
 TERMS_PER_PASS = 200_000
+#: Texts held as Python strings at a time.
+PER_SLICE = 256
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -74,13 +77,20 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, few at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PER_SLICE):
+            yield batch.slice(at, PER_SLICE)
+
+
 def contexts(docs: DataFrame) -> DataFrame:
     """doc_id, entity, context (hashes), term: a row for each word in the window of each entity."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
             out = []
-            for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 if not text or not (spans := base_spans(text)):
                     continue
                 for kind, a, b in spans:
@@ -89,16 +99,18 @@ def contexts(docs: DataFrame) -> DataFrame:
                     entity = f"{kind}:{text[a:b].lower()}"
                     context = hashlib.blake2b(repr(near).encode(), digest_size=8).hexdigest()
                     out += [(doc_id, entity, context, x) for x in terms]
-            yield pd.DataFrame(out, columns=["doc_id", "entity", "context", "term"])
+            if out:
+                ids, *texts = zip(*out, strict=True)
+                yield pa.record_batch([pa.array(ids, pa.int64()), *(pa.array(x, pa.string()) for x in texts)], names=["doc_id", "entity", "context", "term"])
 
-    return docs.mapInPandas(run, "doc_id long, entity string, context string, term string")
+    return docs.mapInArrow(run, "doc_id long, entity string, context string, term string")
 
 
 def disclosing(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, min_share: float = MIN_SHARE, min_bits: float = MIN_BITS) -> DataFrame:
     """term, bits of the terms that disclose an entity: p(entity | term) is the share of the term's
     documents in which it stands beside the entity, bits = log2(p(entity | term) / p(entity)), over
     all documents. Copies of a context count once towards min_contexts."""
-    found = contexts(docs)
+    found = materialise(contexts(docs), "contexts")
     pairs = found.groupBy("term", "entity").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("doc_id").alias("both")).where(F.col("contexts") >= min_contexts)
     pairs = materialise(pairs, "pairs")
     terms = materialise(pairs.select("term").distinct(), "terms")
@@ -110,14 +122,14 @@ def disclosing(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, min_share: flo
         some = terms.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == k)
         held = spark.sparkContext.broadcast(frozenset(r.term for r in some.collect()))  # about TERMS_PER_PASS words
 
-        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-            for batch in batches:
-                c: Counter[str] = Counter()
-                for text in batch.text:
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            c: Counter[str] = Counter()  # of held terms only
+            for batch in _slices(batches):
+                for text in batch["text"].to_pylist():
                     c.update(held.value.intersection(_WORD.findall(text.lower())) if text else ())
-                yield pd.DataFrame(c.items(), columns=["term", "n"]).astype({"n": "int64"})
+            yield pa.record_batch([pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], names=["term", "n"])
 
-        counted.append(docs.mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("of_term")))
+        counted.append(docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("of_term")))
     if not counted:
         return pairs.select("term", F.lit(0.0).alias("bits")).limit(0)
     of_terms = counted[0]
@@ -138,28 +150,19 @@ def _cover(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
+#: Spans as a column.
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-@F.pandas_udf(SPANS)
-def _base(texts: pd.Series) -> pd.Series:
-    return pd.Series([[{"kind": k, "start": a, "end": b} for k, a, b in base_spans(x)] if x else [] for x in texts])
-
-
-@F.pandas_udf(T.StringType())
-def _clean(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    return pd.Series([_cover(t, [(x["kind"], x["start"], x["end"]) for x in s]) if len(s) else t for t, s in zip(texts, spans, strict=True)])
+def _spans(spans: list[list[tuple[str, int, int]]]) -> pa.Array:
+    """As SPANS."""
+    flat = [x for row in spans for x in row]
+    cells = [pa.array([x[i] for x in flat], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, spans)]), pa.int32()), pa.StructArray.from_arrays(cells, ["kind", "start", "end"]))
 
 
-def _marks(held):  # noqa: ANN001, ANN202
-    """A function that finds the words of the broadcast set held."""
-
-    @F.pandas_udf(SPANS)
-    def mark(texts: pd.Series) -> pd.Series:
-        known = held.value
-        return pd.Series([[{"kind": "term", "start": m.start(), "end": m.end()} for m in _WORD.finditer(x) if m[0].lower() in known] for x in texts])
-
-    return mark.asNondeterministic()  # so that no plan evaluates it twice
+def _terms(text: str, known: frozenset[str]) -> list[tuple[str, int, int]]:
+    return [("term", *m.span()) for m in _WORD.finditer(text) if m[0].lower() in known] if known else []
 
 
 def find(docs: DataFrame, **limits: float) -> DataFrame:
@@ -167,22 +170,39 @@ def find(docs: DataFrame, **limits: float) -> DataFrame:
     matches generalised to their kind and disclosing terms to [TERM].
 
     docs(text, ...) need a doc_id for the counts; null and empty texts have no span and become
-    empty; repeated rows get a row each. Texts never cross a shuffle. Up to about TERMS_PER_PASS
-    disclosing terms are held at a time; more take more passes over each batch."""
+    empty; repeated rows get a row each. Columns named base, spans or clean give way. Texts never
+    cross a shuffle. One pass over the texts, by one worker a task; up to about TERMS_PER_PASS disclosing
+    terms are held, more take more passes with a table of what was found between them."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     terms = materialise(disclosing(d, **limits), "disclosing")
-    n = terms.count()
-    out = docs.withColumn("text_", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("base", _base.asNondeterministic()("text_"))
-    more, passes = F.array().cast(SPANS), -(-n // TERMS_PER_PASS)
+    passes = max(1, -(-terms.count() // TERMS_PER_PASS))
+    rows = docs.drop("base", "spans", "clean").withColumn("text", F.col("text").cast("string"))
     for k in range(passes):
         some = terms.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == k)
         held = docs.sparkSession.sparkContext.broadcast(frozenset(r.term for r in some.collect()))  # about TERMS_PER_PASS words
-
-        more = F.concat(more, _marks(held)("text_"))
-    free = F.filter(more, lambda x: ~F.exists("base", lambda y: (y["start"] <= x["start"]) & (x["end"] <= y["end"])))
-    free = F.array_sort(free, lambda x, y: F.when(x["start"] < y["start"], -1).when(x["start"] > y["start"], 1).otherwise(0)) if passes > 1 else free
-    out = out.withColumn("spans", F.concat("base", free) if passes else F.col("base")).withColumn("cover_", _clean.asNondeterministic()("text_", "spans"))
-    return out.withColumn("clean", F.when(F.size("spans") == 0, F.col("text_")).otherwise(F.col("cover_"))).drop("text_", "cover_")
+        last = k == passes - 1
+        kept = [c for c in rows.columns if c != "spans"]
+
+        def run(batches: Iterator[pa.RecordBatch], held=held, last=last, kept=kept) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            known = held.value
+            for batch in _slices(batches):
+                texts = [x or "" for x in batch["text"].to_pylist()]
+                found = [_terms(x, known) for x in texts]
+                if "spans" in batch.schema.names:
+                    found = [sorted([(x["kind"], x["start"], x["end"]) for x in old] + new, key=lambda x: x[1]) for old, new in zip(batch["spans"].to_pylist(), found, strict=True)]
+                more = {"spans": _spans(found)}
+                if last:
+                    base = [base_spans(x) for x in texts]
+                    free = [[x for x in new if not any(a <= x[1] and x[2] <= b for _, a, b in old)] for new, old in zip(found, base, strict=True)]
+                    spans = [x + y for x, y in zip(base, free, strict=True)]
+                    more = {"base": _spans(base), "spans": _spans(spans), "clean": pa.array([_cover(x, y) for x, y in zip(texts, spans, strict=True)], pa.string())}
+                yield pa.record_batch([*(batch[c] for c in kept), *more.values()], names=[*kept, *more])
+
+        fields = [*rows.select(*[F.col(f"`{c}`") for c in kept]).schema.fields, *(T.StructField(c, T.StringType() if c == "clean" else SPANS) for c in (("base", "spans", "clean") if last else ("spans",)))]
+        rows = rows.mapInArrow(run, T.StructType(fields))
+        if not last:
+            rows = materialise(rows, "marked")
+    return rows
 
 
 def digests(found: DataFrame) -> DataFrame:
@@ -194,7 +214,7 @@ def digests(found: DataFrame) -> DataFrame:
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """documents with clean texts and n_chars of those; null texts, every row and column stay."""
-    rows = docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("row_"))
-    out = find(rows).select("row_.*", F.when(F.col("text").isNotNull(), F.col("clean")).alias("clean_"))
-    cells = {"text": F.col("clean_"), "n_chars": F.length("clean_").cast("long")}
-    return out.select(*[cells.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    names = [c if c in ("doc_id", "text") else f"c{i}_" for i, c in enumerate(docs.columns)]
+    out = find(docs.toDF(*names)).withColumn("clean", F.when(F.col("text").isNotNull(), F.col("clean")))
+    cells = {"text": F.col("clean"), "n_chars": F.length("clean").cast("long")}
+    return out.select(*[cells.get(c, F.col(n)).alias(c) for c, n in zip(docs.columns, names, strict=True)])

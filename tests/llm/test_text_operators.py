@@ -208,6 +208,20 @@ def test_pii_terms_and_edge_cases(spark):
     assert d.n_email == 1 and d.spans.startswith("email:") and ",term:" in d.spans
 
 
+def test_pii_in_several_passes(spark, monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join(words(rng, 30)) + f" {term} {name}@corp.example.com {term}" for term, name in (("zorblax", "boss"), ("quuxly", "deputy")) for _ in range(5)]
+    texts += [None, "", "boss@corp.example.com zorblax quuxly", *(" ".join(words(rng, 30)) for _ in range(150))]
+    docs = docs_of(spark, texts).withColumn("spans", F.lit(1)).withColumn("c0_", F.lit(2))
+    once = pii.digests(pii.find(docs)).toPandas().sort_values("doc_id", ignore_index=True)
+    kept = pii.sanitise(docs)
+    assert kept.columns == docs.columns and {(r.spans, r.c0_) for r in kept.collect()} == {(1, 2)} and kept.count() == len(texts)
+    assert once["spans"][0].count("term:") == 2 and once["spans"][12].count("term:") == 2
+    monkeypatch.setattr(pii, "TERMS_PER_PASS", 1)
+    monkeypatch.setattr(pii, "PER_SLICE", 3)
+    assert pii.digests(pii.find(docs)).toPandas().sort_values("doc_id", ignore_index=True).equals(once)
+
+
 def test_media_round_trip(spark):
     texts = [*ODD, "abc" * 5000, "abc" * 5000]
     out = media.media_columns(docs_of(spark, texts).withColumn("media", F.lit(1)))
