@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import policy, text
 from ..functions.policy import Tunables
-from ..operators import activity, graph, lint, mining, mutations, relational, retrieval
+from ..operators import activity, bodies, graph, lint, mining, mutations, relational, retrieval, rules
 from ..sources.corpus import ensure_checkpoints, source_hashes
 from ..streaming.windows import session_windows
 from . import fixtures as fx
@@ -502,6 +502,68 @@ def reject_pending_terms(spark, sf_dir):
     return mutations.reject_pending(d, 500 * 3600).select("note_id", "status", "reject_reason")
 
 
+def turn_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = fx.table(spark, sf_dir, "conversations")
+    return c.select(F.col("conv_id").alias("id"), "turn", F.col("turn").alias("seq"), F.concat(F.col("turn").cast("string"), F.lit("-"), "role").alias("section"))
+
+
+@query("""select conv_id as id, string_agg('## ' || case when turn = 0 then 'opening' else turn || '-' || role end || chr(10) || text || case when turn = 1 then chr(10) || 'noted' else '' end, chr(10) order by turn) as body
+from conversations where turn <> 2 group by conv_id""")
+def edit_sections(spark, sf_dir):
+    r = turn_sections(spark, sf_dir).where("turn < 3")
+    action, content = F.when(F.col("turn") == 0, "rename").when(F.col("turn") == 1, "append").otherwise("remove"), F.when(F.col("turn") == 0, "opening").otherwise("noted")
+    return bodies.edited(conversations_as_markdown(spark, sf_dir), r.withColumns({"action": action, "content": content, "subtree": F.lit(False)})).select("id", "body")
+
+
+@query("""select conv_id as id, string_agg('## ' || turn || '-' || role || chr(10) || text, chr(10) order by turn) as body from conversations where turn <> 1 or conv_id % 2 <> 0 group by conv_id
+union all select conv_id + 1000000, '## 1-' || role || chr(10) || text from conversations where turn = 1 and conv_id % 2 = 0""")
+def split_notes(spark, sf_dir):
+    parts = turn_sections(spark, sf_dir).where("turn = 1 and id % 2 = 0").withColumn("child", F.col("id") + 1000000)
+    rest, children = bodies.split(conversations_as_markdown(spark, sf_dir), parts)
+    return rest.unionByName(children.select("id", "body"))
+
+
+@query("""with moves as (select conv_id as src, conv_id + 1 as dst, role, text from conversations c where turn = 3 and conv_id % 3 = 0 and conv_id + 1 in (select conv_id from conversations)
+    and not exists (select 1 from conversations d where d.conv_id = c.conv_id + 1 and d.turn = 3 and d.role = c.role)),
+parts as (select conv_id as id, turn, '## ' || turn || '-' || role || chr(10) || text as part from conversations where turn <> 3 or conv_id not in (select src from moves) union all select dst, 1000000, '## 3-' || role || chr(10) || text from moves)
+select id, string_agg(part, chr(10) order by turn) as body from parts group by id""")
+def relocate_sections(spark, sf_dir):
+    """Batches of one move; those that would leave two equal headings, or go nowhere, are refused."""
+    ensure_checkpoints(spark)
+    n = conversations_as_markdown(spark, sf_dir)
+    moves = turn_sections(spark, sf_dir).where("turn = 3 and id % 3 = 0").select(F.col("id").alias("batch"), "seq", F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), "section")
+    return bodies.transaction(n, bodies.relocations(n, moves))[0]
+
+
+@query("select doc_id as id, source as body from documents where doc_id % 3 <> 0 or doc_id % 6 = 0")
+def restore_notes(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("body"))
+    trash = d.withColumn("deleted_at", F.lit(2)).unionByName(d.select("id", F.lit("old").alias("body"), F.lit(1).alias("deleted_at")))
+    return bodies.restored(d.where("id % 3 <> 0"), trash, d.where("id % 6 in (0, 1)"))
+
+
+@query(f"""with {NOTES}, {TAGS}, {ENTITIES}, {SIBLINGS}, t as (select id, count(*) as n from tags where tag in ('large', 'q1') group by id), sib as (select 'doc-' || substr(src, 7) as a, 'doc-' || substr(dst, 7) as b from siblings),
+linked as (select a as id from sib where b in (select id from notes) union select b from sib where a in (select id from notes) union select id from entities where entity like 'T%')
+select n.id as subject, case when l.id is not null then 'tag-only-axis' else 'isolated' end as code from notes n left join t on n.id = t.id left join linked l on n.id = l.id where priority <> 'eager' and coalesce(t.n, 0) <= 1""")
+def lint_fragmentation(spark, sf_dir):
+    n = fx.notes(spark, sf_dir)
+    key = lambda c: F.concat(F.lit("doc-"), F.substring(c, 7, 20)).alias(c)
+    return rules.fragmentation(n, fx.siblings(spark, sf_dir).select(key("src"), key("dst")), fx.entities(n).where("entity like 'T%'"), fx.tags(n).where("tag in ('large', 'q1')"))
+
+
+@query("""with p as (select p_type as axis, lower(replace(p_brand, '#', '-')) as stem, lower(replace(p_brand, '#', '-')) || '-' || p_partkey as id from part)
+select min(id) as subject, 'gist-missing' as code, stem || ' ' || count(*) as detail from p group by axis, stem having count(*) >= 3""")
+def lint_gist_missing(spark, sf_dir):
+    ensure_checkpoints(spark)
+    p = fx.table(spark, sf_dir, "part").select(F.col("p_type").alias("axis"), F.concat(F.lower(F.regexp_replace("p_brand", "#", "-")), F.lit("-"), F.col("p_partkey").cast("string")).alias("id"))
+    return rules.gist_missing(rules.families(p, spark.createDataFrame([], "src string, dst string, kind string")))
+
+
+@query(f"with {NOTES}, {TAGS} select id as subject, 'tag-alias-violation' as code, tag || ' -> ' || case tag when 'small' then 'middle' else 'german' end as detail from tags where tag in ('small', 'de')")
+def lint_tag_alias(spark, sf_dir):
+    return rules.tag_aliases(fx.tags(fx.notes(spark, sf_dir)), spark.createDataFrame(list(NAMES.items()), "alias string, tag string"))
+
+
 def graph_vectors(spark, sf_dir):
     ensure_checkpoints(spark)
     return graph.truncated_svd(graph.ppmi(fx.edges(spark, sf_dir)))
