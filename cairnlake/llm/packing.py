@@ -20,7 +20,12 @@ CAPACITY = 2048
 #: Pieces packed together by one task.
 PER_SHARD = 65_536
 END = b"\0\0\0\0"
-_SLOW = re.compile(r"[\x1c-\x1f]|<\|(?:startoftext|endoftext)\|>")
+_CONTROL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
+
+
+def _slow(text: str) -> bool:
+    """Whether text holds separators at which only Python splits, or a control string."""
+    return "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text or ("<|" in text and bool(_CONTROL.search(text)))
 
 
 class WordTokenizer:
@@ -48,7 +53,7 @@ class WordTokenizer:
             sign = word[-1] if word[-1] in self.signs else ""
             stem = word[:-1] if sign else word
             low = stem.lower()
-            if stem.isalpha() and max(stem) < "\u0250" and len(low) == len(stem):
+            if stem.isalpha() and (stem.isascii() or (max(stem) < "\u0250" and len(low) == len(stem))):
                 derived.append((word, low, sign))
                 if low not in self.kept:
                     plain.add(low)
@@ -65,7 +70,7 @@ class WordTokenizer:
         """Little-endian unsigned 32-bit ids of each text."""
         for begin in range(0, len(texts), 256):
             some = texts[begin : begin + 256]
-            split = [None if _SLOW.search(x) else (x.lower() if x.isascii() else x).split() for x in some]
+            split = [None if _slow(x) else (x.lower() if x.isascii() else x).split() for x in some]
             if len(self.kept) > self.most:
                 self.kept.clear()
             self._learn(set().union(*(x for x in split if x)) - self.kept.keys())
