@@ -511,7 +511,7 @@ def turn_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 from conversations where turn <> 2 group by conv_id""")
 def edit_sections(spark, sf_dir):
     r = turn_sections(spark, sf_dir).where("turn < 3")
-    action, content = F.when(F.col("turn") == 0, "rename").when(F.col("turn") == 1, "append").otherwise("remove"), F.when(F.col("turn") == 0, "opening").otherwise("noted")
+    action, content = F.when(F.col("turn") == 0, "rename").when(F.col("turn") == 1, "append").otherwise("remove"), F.when(F.col("turn") == 0, "opening").when(F.col("turn") == 1, "noted")
     return bodies.edited(conversations_as_markdown(spark, sf_dir), r.withColumns({"action": action, "content": content, "subtree": F.lit(False)})).select("id", "body")
 
 
