@@ -143,3 +143,28 @@ def test_habituation_and_policy(spark):
     d = spark.createDataFrame([("same", 1, 100, 5, 2), ("grown", 1, 100, 5, 2), ("older", 1, 100, 5, 1), ("twice", 2, 100, 5, 2)], "id string, dismiss_count int, word_count int, section_count int, generation int")
     assert sorted(r.id for r in relational.habituated(f, d, 2).collect()) == ["grown", "new", "older"]
     assert Tunables().decay_factor == 0.9
+
+
+def close_pairs(rows):
+    """By brute force: pairs of (id, token set) with a Jaccard similarity of 0.6 or a containment of 0.85."""
+    out = {}
+    for i, (a, x) in enumerate(rows):
+        for b, y in rows[i + 1 :]:
+            both = len(x & y)
+            if both and (both / len(x | y) >= 0.6 or both / min(len(x), len(y)) >= 0.85):
+                out[min(a, b), max(a, b)] = (round(both / len(x | y), 6), round(both / min(len(x), len(y)), 6))
+    return out
+
+
+def test_near_duplicates_are_exact(spark):
+    """Groups of copies larger than any cap on document frequency, near copies, and notes inside others."""
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{i:03d}" for i in range(120)]
+    rows = [(f"c{i:02d}", set(words[:30])) for i in range(8)] + [(f"n{i:02d}", set(words[:30]) - {words[i]} | {words[40 + i]}) for i in range(8)] + [("in", set(words[5:12])), ("one", {words[3]})]
+    rows += [(f"r{i:02d}", set(rng.choices(words, k=rng.randint(1, 40)))) for i in range(60)]
+    d = spark.createDataFrame([(a, " ".join(sorted(x))) for a, x in rows] + [("none", "")], "id string, body string")
+    got = mining.near_duplicates(d).collect()
+    want = close_pairs(rows)
+    assert {(r.a, r.b): pytest.approx((r.jaccard, r.containment), abs=2e-6) for r in got} == want and len(got) == len(want) > 120
