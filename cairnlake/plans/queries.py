@@ -284,7 +284,7 @@ rare as (select token from t group by token having count(*) between 2 and 5), p
 s as (select p.a, p.b, count(*) as both_ from p join t x on x.id = p.a join t y on y.id = p.b and x.token = y.token group by all),
 r as (select a, b, {R6.format("both_ * 1.0::double / (x.n + y.n - both_)")} as jaccard, {R6.format("both_ * 1.0::double / least(x.n, y.n)")} as containment from s join c x on x.id = a join c y on y.id = b) select * from r where jaccard >= 0.6 or containment >= 0.85""")
 def near_duplicates(spark, sf_dir):
-    return mining.near_duplicates(fx.notes(spark, sf_dir).select("id", "body"), 5)
+    return mining.near_duplicates(fx.notes(spark, sf_dir).select("id", "body"))
 
 
 VECTORS = f"""v as (select vec_id as id, label as axis, cast(embedding as double[]) as e from embeddings), pairs as (select a.id as anchor, b.id as other, {R6.format("list_cosine_similarity(a.e, b.e)")} as score from v a join v b on a.axis = b.axis and a.id <> b.id),
