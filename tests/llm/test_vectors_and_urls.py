@@ -118,3 +118,23 @@ def test_propagation(spark):
         for _ in range(6):
             r = 0.85 * r @ p + 0.15 * seed
         assert np.allclose([getattr(got[f"h{i}"], side) if f"h{i}" in got else 0.0 for i in range(n)], r / r.sum())
+
+
+@pytest.mark.parametrize("in_memory", [True, False])
+def test_propagation_settles_on_a_long_chain(spark, monkeypatch, in_memory):
+    """Against the solved linear system; hosts far from the blocked one still have distrust."""
+    n = 40
+    if not in_memory:
+        monkeypatch.setattr(url_filter, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(url_filter, "TOLERANCE", 1e-3)
+        n = 12
+    edges = spark.createDataFrame([(f"h{i}", f"h{i + 1}", 1.0) for i in range(n - 1)] + [("h3", "h0", 2.0)], "src string, dst string, n double")
+    seeds = spark.createDataFrame([("h1", 1.0, 0.0), (f"h{n - 1}", 0.0, 1.0)], "host string, trust double, distrust double")
+    got = {r.host: r for r in url_filter.propagate(edges, seeds).collect()}
+    w = np.zeros((n, n))
+    w[np.arange(n - 1), np.arange(1, n)], w[3, 0] = 1, 2
+    for side, m, at in (("trust", w, 1), ("distrust", w.T, n - 1)):
+        p = m / np.maximum(m.sum(axis=1, keepdims=True), 1e-300)
+        r = np.linalg.solve(np.eye(n) - 0.85 * p.T, 0.15 * np.eye(n)[at])
+        assert np.allclose([getattr(got[f"h{i}"], side) for i in range(n)], r / r.sum(), rtol=0, atol=1e-12 if in_memory else 0.02)
+    assert got["h0"].distrust > 0
