@@ -297,6 +297,22 @@ def test_mixing_hits_targets(spark):
     assert np.allclose(got, want, rtol=0.02, atol=1) and min(r) >= 0 and max(r) <= 1
 
 
+def test_mixing_reaches_targets_of_rare_domains(spark):
+    """At production settings: one-hot and soft posteriors, a domain with half a percent of the tokens."""
+    rows = [(100, [1.0, 0.0, 0.0])] * 895 + [(100, [0.0, 1.0, 0.0])] * 100 + [(100, [0.0, 0.0, 1.0])] * 5
+    df = spark.createDataFrame(rows, "n_tokens long, p array<double>")
+    column, got = mixing.rates(df, [89_500.0, 5_000.0, 0.0])
+    rate = {tuple(x.p): x.r for x in df.select("p", column.alias("r")).collect()}
+    assert np.allclose(got, [89_500, 5_000, 0], atol=1) and rate[0.0, 0.0, 1.0] < 0.001 and rate[1.0, 0.0, 0.0] > 0.999
+    soft = spark.createDataFrame([(100, [0.97, 0.02, 0.01])] * 895 + [(100, [0.1, 0.88, 0.02])] * 100 + [(100, [0.02, 0.03, 0.95])] * 5, "n_tokens long, p array<double>")
+    at_end, got = mixing.rates(soft, [80_000.0, 5_000.0, 950.0])
+    long_, want = mixing.rates(soft, [80_000.0, 5_000.0, 950.0], rounds=60)
+    assert np.allclose(got, want, rtol=0.01)
+    docs = docs_of(spark, ["plain words here"] * 20)
+    _, model, _ = mixing.mixed(docs.select(F.col("doc_id").alias("key"), "text"), docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert len(model.targets) == len(model.reached) == 3
+
+
 def test_mixing_classifier_and_edge_cases(spark):
     d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
