@@ -84,6 +84,21 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, PER_SLICE)
 
 
+def around(text: str, a: int, b: int) -> tuple[list[str], list[str]]:
+    """The WINDOW words before a and after b, lower-cased, however long they are."""
+    size, before, after = 24 * WINDOW, None, None
+    while before is None or after is None:
+        # of more words than the window's, the outermost one may be cut and isn't used
+        words = text[max(0, a - size) : a].split() if before is None else []
+        if before is None and (len(words) > WINDOW or a <= size):
+            before = [x.lower() for x in words[-WINDOW:]]
+        words = text[b : b + size].split() if after is None else []
+        if after is None and (len(words) > WINDOW or b + size >= len(text)):
+            after = [x.lower() for x in words[:WINDOW]]
+        size *= 4
+    return before, after
+
+
 def contexts(docs: DataFrame) -> DataFrame:
     """doc_id, entity, context (hashes), term: a row for each word in the window of each entity."""
 
@@ -94,7 +109,7 @@ def contexts(docs: DataFrame) -> DataFrame:
                 if not text or not (spans := base_spans(text)):
                     continue
                 for kind, a, b in spans:
-                    near = text[max(0, a - 24 * WINDOW) : a].lower().split()[-WINDOW:], text[b : b + 24 * WINDOW].lower().split()[:WINDOW]
+                    near = around(text, a, b)
                     terms = {x for side in near for word in side for x in _WORD.findall(word)}
                     entity = f"{kind}:{text[a:b].lower()}"
                     context = hashlib.blake2b(repr(near).encode(), digest_size=8).hexdigest()

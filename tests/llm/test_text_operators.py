@@ -208,6 +208,19 @@ def test_pii_terms_and_edge_cases(spark):
     assert d.n_email == 1 and d.spans.startswith("email:") and ",term:" in d.spans
 
 
+def test_pii_context_has_all_words_of_the_window():
+    far, long_ = [f"word{'abcdefghij'[i]}" for i in range(8)], "k" * 5000
+    before, after = far[:4] + [long_] + far[4:7], [long_, *far[:7]]
+    text = "OUT " + " ".join(before) + " a@b.com " + " ".join(after) + " out"
+    a = text.index("a@b.com")
+    assert pii.around(text, a, a + 7) == (before, after)
+    rng = random.Random(7)
+    for _ in range(200):
+        text = "".join(rng.choice(["x", "Ab", " ", "\n", "q" * 90]) for _ in range(rng.randint(0, 80)))
+        a = rng.randint(0, len(text))
+        assert pii.around(text, a, a) == (text[:a].lower().split()[-8:], text[a:].lower().split()[:8])
+
+
 def test_pii_in_several_passes(spark, monkeypatch):
     rng = random.Random(6)
     texts = [" ".join(words(rng, 30)) + f" {term} {name}@corp.example.com {term}" for term, name in (("zorblax", "boss"), ("quuxly", "deputy")) for _ in range(5)]
