@@ -233,7 +233,7 @@ def expand_two_hop(spark, sf_dir):
 select coalesce(e.src, m.src) as src, coalesce(e.dst, m.dst) as dst, coalesce(e.kind, 'assoc') as kind, {R6.format("case when delta is null then weight else least(1.0::double, coalesce(weight, 0) + delta) end")} as weight
 from (select * from edges where kind = 'sibling') e full join more m on e.src = m.src and e.dst = m.dst and e.kind = 'assoc'""")
 def strengthen_pairs(spark, sf_dir):
-    out = graph.strengthen(fx.siblings(spark, sf_dir), fx.ordered(spark, sf_dir).where("n >= 2 or src like '%7'"), "assoc", 0.5)
+    out = graph.strengthen(fx.siblings(spark, sf_dir), fx.ordered(spark, sf_dir), "assoc", 0.5)
     return out.withColumn("weight", policy.rounded(F.col("weight")))
 
 
@@ -451,7 +451,7 @@ def session_window_counts(spark, sf_dir):
 @query(f"""with {NOTES}, {PASSAGES} select id, n.tokens from (select id, cast(sum(len(tokens)) as bigint) as tokens from passages group by id) n where id like '%7'""")
 def index_sizes(spark, sf_dir):
     p = retrieval.postings(retrieval.passages(fx.notes(spark, sf_dir)))
-    return p.where("id like '%7'").groupBy("id").agg(F.sum("tf").alias("tokens"))
+    return p.groupBy("id").agg(F.sum("tf").alias("tokens"))
 
 
 NAMES = {"small": "middle", "de": "german"}

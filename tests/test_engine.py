@@ -168,3 +168,13 @@ def test_near_duplicates_are_exact(spark):
     got = mining.near_duplicates(d).collect()
     want = close_pairs(rows)
     assert {(r.a, r.b): pytest.approx((r.jaccard, r.containment), abs=2e-6) for r in got} == want and len(got) == len(want) > 120
+
+
+def test_index_sizes_and_strengthened_pairs_are_whole(spark):
+    from cairnlake.plans import fixtures, queries
+
+    small = "/root/testdata/sf0.001"
+    tokens = {r.id: len(r.t) for r in retrieval.passages(fixtures.notes(spark, small)).groupBy("id").agg(F.flatten(F.collect_list(text.index_tokens(F.col("content")))).alias("t")).collect() if r.t}
+    assert {r.id: r.tokens for r in queries.index_sizes(spark, small).collect()} == tokens
+    pairs = {(r.src, r.dst) for r in fixtures.ordered(spark, small).collect()}
+    assert {(r.src, r.dst) for r in queries.strengthen_pairs(spark, small).where("kind = 'assoc'").collect()} == pairs
