@@ -322,7 +322,7 @@ def ppmi_matrix(spark, sf_dir):
 
 @query(f"with {NOTES}, {ENTITIES}, t as (select distinct entity as tag from entities where length(entity) <= 7) select a.tag as a, b.tag as b from t a join t b on a.tag < b.tag and abs(length(a.tag) - length(b.tag)) <= 1 where levenshtein(a.tag, b.tag) = 1")
 def lint_tag_near_duplicate(spark, sf_dir):
-    e = fx.entities(fx.notes(spark, sf_dir)).where("length(entity) <= 7")
+    e = fx.entities(fx.notes(spark, sf_dir))
     return mining.near_tags(e.select(F.col("entity").alias("tag")))
 
 

@@ -178,3 +178,22 @@ def test_index_sizes_and_strengthened_pairs_are_whole(spark):
     assert {r.id: r.tokens for r in queries.index_sizes(spark, small).collect()} == tokens
     pairs = {(r.src, r.dst) for r in fixtures.ordered(spark, small).collect()}
     assert {(r.src, r.dst) for r in queries.strengthen_pairs(spark, small).where("kind = 'assoc'").collect()} == pairs
+
+
+def test_near_tags_of_any_length(spark):
+    """Against brute force over all entities, long ones too."""
+    from cairnlake.plans import fixtures, queries
+
+    def one_edit(a, b):
+        a, b = sorted((a, b), key=len)
+        i = next((i for i in range(len(a)) if a[i] != b[i]), len(a))
+        return a != b and (a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :])
+
+    small = "/root/testdata/sf0.001"
+    tags = sorted({r.entity for r in fixtures.entities(fixtures.notes(spark, small)).collect()})
+    by: dict = {}
+    for t in tags:
+        by.setdefault(len(t), []).append(t)
+    want = {(min(a, b), max(a, b)) for a in tags for n in (len(a), len(a) + 1) for b in by.get(n, []) if one_edit(a, b)}
+    got = [(r.a, r.b) for r in queries.lint_tag_near_duplicate(spark, small).collect()]
+    assert set(got) == want and len(got) == len(want) and max(len(a) for a, _ in want) > 7
