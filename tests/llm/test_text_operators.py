@@ -340,45 +340,80 @@ def test_mixing_classifier_and_edge_cases(spark):
     assert mixing.mix(odd.limit(0), odd.limit(0), labels).count() == 0
 
 
+def passages_by_force(texts, least=51):
+    """(first words of windows of `least` words by document, those that an earlier document has too)."""
+    seen, again = {}, {}
+    for i, t in enumerate(texts):
+        w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        keys = [tuple(w[k : k + least]) for k in range(len(w) - least + 1)]
+        again[i] = {k for k, key in enumerate(keys) if key in seen}
+        seen |= {key: i for key in keys if key not in seen}
+    return again
+
+
 def test_substring_dedup(spark):
+    """Passages inside longer lines, over lines, at the ends, in one document; ids near 2^63; rows of one id."""
     rng = random.Random(6)
-    passage, other = " ".join(words(rng, 60)), " ".join(words(rng, 60))
-    near = passage.split()
-    near[10] = "changed"
-    texts = [*ODD, *["\n".join([" ".join(words(rng, 40)), p, " ".join(words(rng, 30))]) for p in [passage] * 5 + [" ".join(near)] + [other] * 2], "\n".join([other, other]), " ".join(words(rng, 300)), "short line\nshort line"]
-    got = {(r.doc_id, r.paragraph): r for r in substring_dedup.repeated(docs_of(spark, texts).withColumn("para", F.lit(1))).collect()}
-    o = len(ODD)
-    assert set(got) == {(o + k, 1) for k in (1, 2, 3, 4, 5, 7)} | {(o + 8, 0), (o + 8, 1)}
-    for r in got.values():
-        assert texts[r.doc_id][r.start : r.end] == texts[r.doc_id].split("\n")[r.paragraph]
-        assert (r.kept_doc_id, r.kept_paragraph) == ((o, 1) if r.doc_id < o + 6 else (o + 6, 1))
-    left = {r.doc_id: r.text for r in substring_dedup.remove(docs_of(spark, texts), spark.createDataFrame(list(got.values()))).collect()}
-    assert left[o].count(passage) == 1 and passage not in left[o + 2] and left[o + 8] == "" and left[0] is None
+    passage, other, short = words(rng, 60), words(rng, 51), words(rng, 20)
+    long = words(rng, 120)
+    near = [*long[:60], "changed", *long[61:]]
+    around = lambda p: " ".join([*words(rng, rng.randrange(1, 60)), *p, *words(rng, rng.randrange(1, 60))])
+    texts = [*ODD, *[around(p) for p in [passage] * 5 + [other] * 3 + [short] * 3 + [near, long]], " ".join(other) + "\n" + " ".join(other), "\n".join(passage), " ".join(words(rng, 300)), around(passage).upper()]
+    big = 2**62
+    d = spark.createDataFrame([(big + i, t, 1) for i, t in enumerate(texts)] + [(None, " ".join(passage), 1), (big, "x " + " ".join(other), 1)], "doc_id long, text string, n_chars long")
+    got = substring_dedup.repeated(d.withColumn("hi", F.lit(1)).withColumn("at", F.lit(1))).collect()
+    o, spans = len(ODD), {}
+    by_id = {big + i: t for i, t in enumerate(texts)}
+    for r in got:
+        t = by_id[r.doc_id] if r.doc_id != big else "x " + " ".join(other)
+        spans.setdefault(r.doc_id - big, []).append(t[r.start : r.end].lower().split())
+        assert r.n_words == len(spans[r.doc_id - big][-1]) >= 25
+    want = {o + k: [passage] for k in range(1, 5)} | {o + 5 + k: [other] for k in range(3)} | {o + 12: [long], o + 13: [other, other], o + 14: [passage], o + 16: [passage]}
+    spans[o + 13] = [w[k : k + 51] for w in spans[o + 13] for k in range(0, len(w), 51)]
+    assert spans.pop(9) == [['x'] * 39_975]  # all behind the first paragraph
+    assert {k: len(v) for k, v in spans.items()} == {k: len(v) for k, v in want.items()}  # no `short`, and id `big` is first with `other`: its second text keeps it
+    for k, v in want.items():  # a similar paragraph at an end goes whole, with up to three words that differ
+        assert all(" ".join(b) in " ".join(a) and len(a) <= len(b) + 6 for a, b in zip(spans[k], v, strict=True)), k
+    left = {r.doc_id - big: r for r in substring_dedup.remove(d.where("doc_id is not null"), spark.createDataFrame(got)).collect() if r.doc_id != big}
+    assert left[o].text == texts[o] and left[o + 14].text == "" and left[o + 13].text.strip() == "" and left[o + 13].n_chars == len(left[o + 13].text)
+    assert not any(passages_by_force([left[o + k].text for k in range(17)]).values()) and left[1].text == ""
     assert substring_dedup.repeated(docs_of(spark, [])).count() == 0
+    assert substring_dedup.repeated(docs_of(spark, texts[: len(ODD)])).count() == 1  # one word 40,000 times
 
 
 def test_substring_recall_against_brute_force(spark):
+    """Whole documents of the given tables, every window of 51 words."""
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    paras = [(r.doc_id, k, s) for r in d.collect() for k, line in enumerate(r.text.split("\n")) if len(line.split()) >= 25 for s in [shingle_set(line.encode())]]
-    root, index = list(range(len(paras))), {}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    paras.sort(key=lambda x: x[:2])
-    for i, (_, _, s) in enumerate(paras):
-        for j in {j for h in s.tolist() for j in index.get(h, ())}:
-            both = len(np.intersect1d(s, paras[j][2]))
-            if 100 * both >= 75 * (len(s) + len(paras[j][2]) - both):
-                p, q = find(i), find(j)
-                root[max(p, q)] = min(p, q)
-        for h in s.tolist():
-            index.setdefault(h, []).append(i)
-    want = {paras[i][:2] for i in range(len(paras)) if find(i) != i}
-    got = {(r.doc_id, r.paragraph) for r in substring_dedup.repeated(d).collect()}
-    assert got <= want and len(got) >= 0.99 * len(want) > 50
+    texts = [r.text for r in d.orderBy("doc_id").collect()]
+    ids = [r.doc_id for r in d.select("doc_id").orderBy("doc_id").collect()]
+    got = {}
+    for r in substring_dedup.repeated(d).collect():
+        got.setdefault(r.doc_id, []).append((r.first_word, r.first_word + r.n_words))
+    want = passages_by_force(texts)
+    lost = [(ids[i], k) for i, again in want.items() for k in again if not any(a <= k and k + 51 <= b for a, b in got.get(ids[i], ()))]
+    assert sum(map(len, want.values())) > 1000 and len(lost) <= 0.01 * sum(map(len, want.values()))  # the copy that stays may be a shorter one
+    assert [x for x in lost if not any(a <= x[1] + 26 and x[1] + 25 <= b for a, b in got.get(x[0], ()))] == []
+    # nothing is removed that has no copy but for words between copies
+    some = passages_by_force(texts, 25)
+    for doc_id, spans in got.items():
+        again = {k + j for k in some[ids.index(doc_id)] for j in range(25)}
+        for a, b in spans:
+            inside = sum(k in again for k in range(a, b))
+            assert inside >= 0.75 * (b - a), (doc_id, a, b, inside)
+
+
+def test_similar_paragraphs_are_joined_exactly(spark):
+    rng = random.Random(8)
+    sets = []
+    for _ in range(12):
+        base = rng.sample(range(1000), 21)
+        sets += [sorted({*rng.sample(base, 21 - k), *[2000 + rng.randrange(40) for _ in range(k)]}) for k in (0, 0, 1, 2, 2, 3, 4, 5, 6)]
+    items = spark.createDataFrame([((i, 0), (i if i % 3 else 0, 0), s, i // 2 if i % 5 else None) for i, s in enumerate(sets)], "id struct<hi: long, lo: long>, root struct<hi: long, lo: long>, s array<long>, doc long")
+    got = {tuple(sorted((r.a.hi, r.b.hi))) for r in substring_dedup.joined(items, 75).collect()}
+    root = [i if i % 3 else 0 for i in range(len(sets))]
+    like = lambda x, y: 100 * len(x & y) >= 75 * len(x | y)
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if root[i] != root[j] and not (i % 5 and j % 5 and i // 2 == j // 2) and like({*sets[i]}, {*sets[j]})}
+    assert got == want and len(want) > 20
 
 
 @pytest.mark.parametrize("similarity", [0.6, 0.75, 0.9])
