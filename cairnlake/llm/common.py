@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A side of a join is broadcast only if it was counted and has at most this many (narrow) rows.
 BROADCAST_ROWS = 200_000
@@ -37,7 +38,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.held_in = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables of materialise() that nothing reads any more, and lets the driver forget the queries
+    behind it, with which their shuffle files leave the executors."""
+    sc = SparkSession.getActiveSession().sparkContext
+    for t in tables:
+        path = sc._jvm.org.apache.hadoop.fs.Path(t.held_in)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    sc._jvm.System.gc()
 
 
 def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -46,21 +59,74 @@ def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def join_copies(rows: DataFrame, values: DataFrame, key: str, copies: str, total: int) -> DataFrame:
+    """rows left joined with values(key, copies, ...), a row for each key; copies is how many of the total
+    rows have it. Keys with a thousandth of the rows or more, a thousand at most, are joined where
+    their rows stand; only the others are shuffled."""
+    hot = values.where(F.col(copies) * 1000 >= total).drop(copies)  # at most 1,000 rows
+    named = [c for c in hot.columns if c != key]
+    one = hot.select(key, F.struct(*named).alias("hot_"))
+    told = rows.join(F.broadcast(one), key, "left")
+    rest = told.where("hot_ is null").drop("hot_").join(values.where(F.col(copies) * 1000 < total).drop(copies), key, "left")
+    return told.where("hot_ is not null").select(*rows.columns, *[F.col("hot_")[c].alias(c) for c in named]).unionByName(rest)
+
+
+#: Edges whose components one task finds in memory; more take rounds of joins.
+EDGES_IN_MEMORY = 1_000_000
+
+
+def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(node, root) of all edges, which one task reads; u0, u1, ... and v0, v1, ... hold their ends' parts."""
+    root: dict[tuple, tuple] = {}
+
+    def find(x: tuple) -> tuple:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = root[x]
+        return x
+
+    width = 0
+    for batch in batches:
+        width = batch.shape[1] // 2
+        for row in zip(*(batch[c].to_list() for c in batch), strict=True):
+            p, q = find(row[:width]), find(row[width:])
+            if p != q:
+                root[max(p, q)] = min(p, q)
+    nodes = list(root)
+    for at in range(0, len(nodes), 100_000):
+        some = nodes[at : at + 100_000]
+        parts = [*zip(*some, strict=True), *zip(*map(find, some), strict=True)]
+        yield pd.DataFrame(dict(zip([f"{x}{i}" for x in "uv" for i in range(width)], parts, strict=True)))
+
+
+def _in_one_task(e: DataFrame) -> DataFrame:
+    kind = e.schema["u"].dataType
+    names = kind.fieldNames() if isinstance(kind, T.StructType) else [None]
+    cells = [(F.col(f"{x}.{n}") if n else F.col(x)).alias(f"{x}{i}") for x in "uv" for i, n in enumerate(names)]
+    flat = e.select(*cells).coalesce(1)
+    whole = lambda x: F.struct(*[F.col(f"{x}{i}").alias(n) for i, n in enumerate(names)]) if names[0] else F.col(f"{x}0")
+    return flat.mapInPandas(_forest, flat.schema).select(whole("u").alias("node"), whole("v").alias("root"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges(a, b): root is the smallest node that it reaches.
 
-    Alternating large-star and small-star steps: every node is re-attached to the smallest
-    node of its neighbourhood until no edge changes. A step is two aggregations with map-side
-    combining and two joins that adaptive execution may split; the edges never grow."""
+    Up to EDGES_IN_MEMORY edges are one task's work. Beyond, alternating large-star and small-star
+    steps: every node is re-attached to the smallest node of its neighbourhood until no edge
+    changes. A step is two aggregations with map-side combining and two joins that adaptive
+    execution may split; the edges never grow."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e, before = materialise(e, "edges"), None
+    if e.count() <= EDGES_IN_MEMORY:
+        return materialise(_in_one_task(e), "roots")
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
-        e = materialise(small, "edges")
+        last, e = e, materialise(small, "edges")
+        release(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

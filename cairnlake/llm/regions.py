@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, materialise, maybe_broadcast
+from .common import components, materialise, maybe_broadcast, release
 from .shingles import fold, shingle_set, similar
 
 #: Items checked against one copy of a pivot's text in one task.
@@ -47,6 +47,8 @@ def checked(pairs: DataFrame, items: DataFrame, fetch: Callable[[DataFrame], Dat
     PER_GROUP, each with a copy of b's text, so that no task gathers all of them."""
     spark = pairs.sparkSession
     pairs = materialise(screened(pairs, items, percent), "screened")
+    if pairs.isEmpty():
+        return pairs
     parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / PER_GROUP).cast("int").alias("n"))
     need = pairs.join(parts, "b").select(F.col("a").alias("id"), "b", F.pmod(F.xxhash64("a"), "n").cast("int").alias("part"), F.lit(False).alias("pivot"))
     need = need.unionByName(parts.select(F.col("b").alias("id"), "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"), F.lit(True).alias("pivot")))
@@ -65,7 +67,9 @@ def checked(pairs: DataFrame, items: DataFrame, fetch: Callable[[DataFrame], Dat
                     out.append((item, b))
             yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    return rows.mapInPandas(check, "a long, b long")
+    links = materialise(rows.mapInPandas(check, "a long, b long"), "links")
+    release(pairs, need)
+    return links
 
 
 def distinct_regions(rows: DataFrame) -> DataFrame:
@@ -111,30 +115,26 @@ def settled(members: DataFrame, items: DataFrame, fetch: Callable[[DataFrame], D
     fits = f"least(n - pos, pn - ppos) * {100 + percent} >= {percent} * (n + pn) and not coalesce(prev = pprev, false)"
     live = materialise(m.where("p <> item or next is not null"), "live")
     pairs = live.where(f"p <> item and {fits}").select(F.col("item").alias("a"), F.col("p").alias("b")).distinct()
-    roots = materialise(components(checked(pairs, items, fetch, percent)), "roots")
-    live, most = live.where("p <> item").select("region", "item", "n", "pos", "prev"), PIVOTS
+    roots = components(checked(pairs, items, fetch, percent))
+    old, live, most = live, live.where("p <> item").select("region", "item", "n", "pos", "prev"), PIVOTS
     done = 0
     while True:
         labelled = live.join(roots.withColumnRenamed("node", "item"), "item", "left").select("region", "item", "n", "pos", "prev", F.coalesce("root", "item").alias("root"))
         open_ = distinct_regions(labelled)
         live = materialise(labelled.join(open_, "region", "left_semi"), "live")
+        release(old)
         done += 1
         if done == rounds or live.isEmpty():
             return roots, live
         ranked = live.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= most)
         pivots = materialise(ranked.select("region", F.col("item").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("ppos"), F.col("prev").alias("pprev"), F.col("root").alias("pr")), "pivots")
         pairs = live.join(pivots, "region").where(f"root <> pr and (n > pn or n = pn and item > p) and {fits}")
-        links = materialise(checked(pairs.select(F.col("item").alias("a"), F.col("p").alias("b")).distinct(), items, fetch, percent), "links")
+        links = checked(pairs.select(F.col("item").alias("a"), F.col("p").alias("b")).distinct(), items, fetch, percent)
         if not links.isEmpty():
             ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
             known = roots.unionByName(ends)
             side = lambda x, y: known.select(F.col("node").alias(x), F.col("root").alias(y))  # noqa: B023, E731
             up = components(links.join(side("a", "u"), "a").join(side("b", "v"), "b").select(F.col("u").alias("a"), F.col("v").alias("b")).distinct())
             roots = materialise(known.join(up.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").select("node", F.coalesce("up", "root").alias("root")), "roots")
-        live = live.join(pivots.select("region", F.col("p").alias("item")), ["region", "item"], "left_anti").select("region", "item", "n", "pos", "prev")
+        old, live = live, live.join(pivots.select("region", F.col("p").alias("item")), ["region", "item"], "left_anti").select("region", "item", "n", "pos", "prev")
         most *= GROWTH
-
-
-def fetch_from(texts: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """A fetch() over texts(id, text)."""
-    return lambda need: texts.join(maybe_broadcast(need), "id")
