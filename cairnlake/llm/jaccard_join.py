@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, maybe_broadcast
-from .regions import fetch_from, resolve
+from .common import components, join_copies, materialise, maybe_broadcast
+from .regions import resolve
 from .shingles import bitmap, shingle_set
 
 #: Documents whose shingles are counted to tell which ones are frequent: only the order of
@@ -21,6 +21,10 @@ SAMPLE_DOCS = 32_000
 FREQUENT = 3
 
 
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def _signatures(batches: Iterator[pd.DataFrame], frequent: np.ndarray, percent: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
@@ -35,7 +39,7 @@ def _signatures(batches: Iterator[pd.DataFrame], frequent: np.ndarray, percent:
                 pivots = np.concatenate([s[~common], s[common]])[:window] if common.any() else s[:window]
             else:
                 pivots = s[:window]
-            out.append((doc_id, n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), pivots.view(np.int64), bitmap(s)))
+            out.append((doc_id, n, _digest(s), pivots.view(np.int64), bitmap(s)))
         yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "digest", "pivots", "bits"])
 
 
@@ -52,8 +56,8 @@ def jaccard_join(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", tex
     as pivots (regions.resolve), each pair decided on the whole sets. Documents with equal sets
     are one point, taken once.
 
-    Null or blank texts: n_shingles 0, own component. Repeated doc_ids: a row each, the same
-    component if their sets link, the id's smallest component otherwise. Extra columns of docs
+    Null or blank texts: n_shingles 0, own component. Repeated doc_ids: a row each, all of the
+    same component, to which their different sets belong together. Extra columns of docs
     are ignored. Null ids: a row each, n_shingles, component_id null."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     spark = docs.sparkSession
@@ -71,16 +75,45 @@ def jaccard_join(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", tex
     held = spark.sparkContext.broadcast(frequent)
     signed = d.mapInPandas(lambda batches: _signatures(batches, held.value, percent), "doc_id long, n_shingles long, digest binary, pivots array<long>, bits binary")
     signed = materialise(signed, "signed")
-    first = signed.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = signed.select("digest", F.col("doc_id").alias("rep"), "n_shingles", "pivots", "bits").join(first, ["digest", "rep"]).dropDuplicates(["digest", "rep"])
-    members = reps.select(F.posexplode(F.arrays_zip(F.col("pivots").alias("region"), F.concat(F.array(F.lit(None).cast("long")), F.slice("pivots", 1, F.greatest(F.size("pivots") - 1, F.lit(0)))).alias("prev"))).alias("pos", "at"), F.col("rep").alias("item"), F.col("n_shingles").alias("n"))
+    # a point for each distinct set, numbered by its own; doc_id and digest say where its text stands
+    points = signed.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    points = materialise(points.withColumn("item", F.monotonically_increasing_id()), "points")
+    again = signed.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c"), F.min("digest").alias("x"), F.max("digest").alias("y")).where("c > 1")
+    again = materialise(again, "again")
+    reps = signed.select("digest", "doc_id", "n_shingles", "pivots", "bits").join(points.select("digest", "doc_id", "item"), ["digest", "doc_id"])
+    reps = materialise(reps if again.isEmpty() else reps.dropDuplicates(["item"]), "reps")
+    before = F.concat(F.array(F.lit(None).cast("long")), F.slice("pivots", 1, F.greatest(F.size("pivots") - 1, F.lit(0))))
+    members = reps.select(F.posexplode(F.arrays_zip(F.col("pivots").alias("region"), before.alias("prev"))).alias("pos", "at"), "item", F.col("n_shingles").alias("n"))
     members = members.select("at.region", "item", "n", "pos", "at.prev")
-    items = reps.select(F.col("rep").alias("item"), F.col("n_shingles").alias("n"), "bits")
-    roots = resolve(members, items, fetch_from(d.withColumnRenamed("doc_id", "id")), percent)
-    # ids that stand on several rows tie their texts' components together only through links
-    rooted = first.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("root"))
-    rows = signed.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest"))
-    return rows.join(rooted, "digest", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    items = reps.select("item", F.col("n_shingles").alias("n"), "bits")
+    # texts of ids that stand on several rows are told apart by their sets
+    several = again.where("x <> y").select("doc_id")
+    many = not several.isEmpty()
+
+    def fetch(need: DataFrame) -> DataFrame:
+        need = need.join(points.select(F.col("item").alias("id"), "doc_id", "digest"), "id")
+        if not many:
+            return d.join(maybe_broadcast(need.drop("digest")), "doc_id")
+        found = d.join(maybe_broadcast(materialise(need, "wanted")), "doc_id")
+        return found.mapInPandas(_own_text, found.schema)
+
+    roots = resolve(members, items, fetch, percent)
+    if many:  # a doc_id is a node of the graph, so that it ties its sets together
+        own = signed.where("n_shingles > 0").join(maybe_broadcast(several), "doc_id", "left_semi").select("doc_id", "digest").distinct().join(points.select("digest", "item"), "digest")
+        tied = own.join(own.groupBy("doc_id").agg(F.min("item").alias("b")), "doc_id").select(F.col("item").alias("a"), "b")
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(tied))
+    named = points.join(roots.withColumnRenamed("node", "item"), "item", "left").withColumn("root", F.coalesce("root", "item"))
+    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = materialise(named.join(least, "root").select("digest", "copies", "component_id"), "named")
+    rows = signed.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+    total = named.agg(F.sum("copies")).first()[0] or 0
+    return join_copies(rows, named, "digest", "copies", total).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _own_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        same = [_digest(shingle_set(x)) == y for x, y in zip(batch.text, batch.digest, strict=True)]
+        yield batch[np.array(same, bool)]
 
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
