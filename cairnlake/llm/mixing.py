@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +16,11 @@ DOMAINS = ("clean", "low", "toxic")
 SAMPLE = 20_000
 #: Words for each domain in the classifier.
 LEXICON = 48
-#: Step of projected gradient, 1 at most, and the share of a domain's tokens that a round moves at the end, at most.
-STEP, TOLERANCE = 1.0, 1e-4
+#: Shares of the domains in the mixture's tokens. Of clean documents a few hundredths look like toxic ones to the
+#: classifier, so that a smaller share of those would cost clean documents.
+WEIGHTS = (0.91, 0.05, 0.04)
+#: How near each domain comes to its target; and the share of its tokens that the last round moves, if targets can't be met.
+TOLERANCE, MOVED = 2e-3, 1e-4
 #: Steps between two tables of rates.
 HELD = 8
 log = logging.getLogger(__name__)
@@ -112,18 +116,28 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
     return Classifier([log(x / sum(total)) for x in total], words, shapes)
 
 
-def rates(posterior: DataFrame, targets: list[float], most: float = 1.0, rounds: int | None = None, step: float = STEP) -> tuple[Column, list[float]]:
-    """(column of rates, tokens by domain that they give) for posterior(n_tokens, p).
-
-    Minimises the squared distance of expected domain tokens, sum of rate * n_tokens * p, from
-    targets (tokens), each over the domain's tokens so that rare ones weigh as much, over rates in
-    [0, most], all 1 at first, by accelerated projected gradient in the metric of the token counts;
-    its largest eigenvalue is 1 by that scale. Ends when a step moves at most TOLERANCE of each
-    domain's tokens, or after `rounds` if given. A round is one aggregation to a vector by domain;
-    a rate is a closed expression of those vectors, of which each table of rates holds HELD."""
-    k = len(targets)
-    mass = [x or 0.0 for x in posterior.agg(*[F.sum(F.col("n_tokens") * F.col("p")[i]) for i in range(k)]).first()]
-    dot = lambda s: reduce(lambda a, b: a + b, (F.col("p")[i] * s[i] for i in range(k)))
+def rates(posterior: DataFrame, weights: list[float], budget: float | None = None, most: float = 1.0, rounds: int | None = None) -> tuple[Column, list[float], list[float]]:
+    """(column of rates; tokens by domain that they give; their targets) for posterior(n_tokens, p).
+
+    Least squares of what the expected domain tokens, got = sum of rate * n_tokens * p, miss of their
+    targets, over rates in [0, most], by accelerated projected gradient from rates of 1. Targets are
+    weights * budget; without a budget weights * sum(got), so that the mixture is as large as its
+    shares allow. Misses are weighed by the inverse of the tokens that domains share (G, one
+    aggregation to a k x k matrix), in which a step of 1 is the right one and rare domains count
+    like others. Ends when each domain is within TOLERANCE of its target, or a step moves at most
+    MOVED of each domain's tokens (targets that can't be met), or after `rounds` if given.
+    A round is one aggregation to a vector by domain; a rate is a closed expression of those
+    vectors, of which each table of rates holds HELD."""
+    k = len(weights)
+    p = [F.col("p")[i] for i in range(k)]
+    total = [x or 0.0 for x in posterior.agg(*[F.sum(F.col("n_tokens") * p[i] * p[j]) for i in range(k) for j in range(k)]).first()]
+    g = np.array(total).reshape(k, k)
+    mass, w = g.sum(axis=1), np.array(weights, float)
+    m = np.eye(k) - np.outer(w, np.ones(k)) if budget is None else np.eye(k)
+    scale = max(mass.sum(), 1.0)
+    slope = m.T @ np.linalg.pinv(m @ (g / scale) @ m.T, rcond=1e-9) / scale
+    aimed = lambda got: w * (sum(got) if budget is None else budget)
+    dot = lambda s: reduce(lambda a, b: a + b, (p[i] * s[i] for i in range(k)))
     clip = lambda r: F.greatest(F.lit(0.0), F.least(F.lit(float(most)), r))
     one = F.least(F.lit(1.0), F.lit(float(most)))
     begin = F.struct(one.alias("now"), one.alias("was"), one.alias("at"))
@@ -144,34 +158,31 @@ def rates(posterior: DataFrame, targets: list[float], most: float = 1.0, rounds:
             rows, fresh = materialise(d, "rates"), []
             d = rows
         x = F.col("x")
-        sums = [F.sum(v * F.col("n_tokens") * F.col("p")[i]) for v in (x["now"], F.abs(x["now"] - x["at"]), ahead(x, F.lit(beta))) for i in range(k)]
+        sums = [F.sum(v * F.col("n_tokens") * p[i]) for v in (x["now"], F.abs(x["now"] - x["at"]), ahead(x, F.lit(beta))) for i in range(k)]
         sums = [v or 0.0 for v in d.agg(*sums).first()]
         got, moved, begun = sums[:k], sums[k : 2 * k], sums[2 * k :]
-        if len(steps) == rounds or (steps and all(v <= TOLERANCE * m for v, m in zip(moved, mass, strict=True))):
-            return moved_by(begin, steps)["now"], got
-        steps.append([*[step * (g - t) / m if m else 0.0 for g, t, m in zip(begun, targets, mass, strict=True)], beta])
+        met = all(abs(x - t) <= TOLERANCE * max(t, 1e-3 * sum(got)) for x, t in zip(got, aimed(got), strict=True))
+        if len(steps) == rounds or met or (steps and all(v <= MOVED * x for v, x in zip(moved, mass, strict=True))):
+            return moved_by(begin, steps)["now"], got, aimed(got).tolist()
+        steps.append([*(slope @ (np.array(begun) - aimed(begun))).tolist(), beta])
         fresh.append(steps[-1])
         after = (1 + (1 + 4 * momentum * momentum) ** 0.5) / 2
         beta, momentum = (momentum - 1) / after, after
 
 
-def mixed(docs: DataFrame, corpus: DataFrame, labels: DataFrame, weights: tuple[float, ...] = (0.95, 0.05, 0.0), budget: float | None = None, most: float = 1.0, sample: int = SAMPLE) -> tuple[DataFrame, Classifier, Column]:
+def mixed(docs: DataFrame, corpus: DataFrame, labels: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float | None = None, most: float = 1.0, sample: int = SAMPLE) -> tuple[DataFrame, Classifier, Column]:
     """(docs(key, text) as key, n_tokens, p by domain of DOMAINS and rate; the classifier, with the
     mixture's targets and the totals reached; the column rate of n_tokens and p).
 
     The classifier is fitted on corpus(doc_id, text) with labels. weights are the shares of the
-    domains in the mixture's tokens, budget its tokens; null: so many that the first domain, at a
-    rate of 1, gives 1 / 1.05 of its target, so that its documents all stay. Null and empty texts
-    have no token and get the rate of their posterior; repeated rows get the same rate."""
+    domains in the mixture's tokens, budget its tokens; null: as many as the shares allow with rates
+    of at most `most`, so that what there is too little of stays whole and what there is too much
+    of is thinned out. Null and empty texts have no token and get the rate of their posterior;
+    repeated rows get the same rate."""
     model = fit(corpus, labels, sample)
     d = model.posteriors(described(docs.select("key", "text"))).select("key", "n_tokens", "p")
     d = materialise(d, "posteriors")
-    k = len(DOMAINS)
-    total = [x or 0.0 for x in d.agg(*[F.sum(F.col("n_tokens") * F.col("p")[i]) for i in range(k)]).first()]
-    if budget is None:
-        budget = 1.05 * total[0] / weights[0] if weights[0] else sum(total)
-    model.targets = [w * budget for w in weights]
-    column, model.reached = rates(d, model.targets, most)
+    column, model.reached, model.targets = rates(d, list(weights), budget, most)
     for name, want, got in zip(DOMAINS, model.targets, model.reached, strict=True):
         log.info("mixture: %s has %.0f tokens, target %.0f", name, got, want)
     return d.withColumn("rate", column), model, column
