@@ -18,7 +18,9 @@ SAMPLE = 20_000
 LEXICON = 48
 #: Shares of the domains in the mixture's tokens. Of clean documents a few hundredths look like toxic ones to the
 #: classifier, so that a smaller share of those would cost clean documents.
-WEIGHTS = (0.91, 0.05, 0.04)
+WEIGHTS = (0.88, 0.06, 0.06)
+#: Documents whose thinned rate is at least 1 / HEADROOM stay whole.
+HEADROOM = 1.25
 #: How near each domain comes to its target; and the share of its tokens that the last round moves, if targets can't be met.
 TOLERANCE, MOVED = 2e-3, 1e-4
 #: Steps between two tables of rates.
@@ -116,27 +118,49 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
     return Classifier([log(x / sum(total)) for x in total], words, shapes)
 
 
-def rates(posterior: DataFrame, weights: list[float], budget: float | None = None, most: float = 1.0, rounds: int | None = None) -> tuple[Column, list[float], list[float]]:
-    """(column of rates; tokens by domain that they give; their targets) for posterior(n_tokens, p).
+def overlaps(posterior: DataFrame, k: int) -> np.ndarray:
+    """k x k: tokens that two domains share, sum of n_tokens * p_i * p_j."""
+    total = posterior.agg(*[F.sum(F.col("n_tokens") * F.col("p")[i] * F.col("p")[j]) for i in range(k) for j in range(k)]).first()
+    return np.array([x or 0.0 for x in total]).reshape(k, k)
+
+
+def feasible(posterior: DataFrame, weights: list[float], most: float = 1.0, rounds: int = 16) -> list[float]:
+    """Targets (tokens by domain) that rates in [0, most] can meet, as large as the weights allow and with their shares, or as near
+    to those as soft posteriors come: what rates of min(most, HEADROOM * sum of p * q) give, where q thins each domain.
+    q follows from the overlaps, then is corrected round by round as clipped rates ask for."""
+    k, w = len(weights), np.array(weights, float)
+    g = overlaps(posterior, k)
+    if not g.sum():
+        return [0.0] * k
+    q = np.maximum(np.linalg.pinv(g / g.sum(), rcond=1e-9) @ w, 0.0)
+    q = q / q.max() if q.max() else np.ones(k)
+    got = np.zeros(k)
+    for _ in range(rounds):
+        rate = F.least(F.lit(float(most)), HEADROOM * most * reduce(lambda a, b: a + b, (F.col("p")[i] * float(q[i]) for i in range(k))))
+        got = np.array([x or 0.0 for x in posterior.agg(*[F.sum(rate * F.col("n_tokens") * F.col("p")[i]) for i in range(k)]).first()])
+        share = got / max(got.sum(), 1e-9)
+        if np.all(np.abs(share - w) <= TOLERANCE * np.maximum(w, 1e-3)):
+            break
+        q = q * np.where(share > 0, w / np.maximum(share, 1e-12), 1.0)
+        q = q / max(q.max(), 1e-12)
+    return got.tolist()
+
+
+def rates(posterior: DataFrame, targets: list[float], most: float = 1.0, rounds: int | None = None) -> tuple[Column, list[float]]:
+    """(column of rates, tokens by domain that they give) for posterior(n_tokens, p).
 
     Least squares of what the expected domain tokens, got = sum of rate * n_tokens * p, miss of their
-    targets, over rates in [0, most], by accelerated projected gradient from rates of 1. Targets are
-    weights * budget; without a budget weights * sum(got), so that the mixture is as large as its
-    shares allow. Misses are weighed by the inverse of the tokens that domains share (G, one
-    aggregation to a k x k matrix), in which a step of 1 is the right one and rare domains count
+    targets, over rates in [0, most], by accelerated projected gradient from rates of 1. Misses are
+    weighed by the inverse of overlaps(), in which a step of 1 is the right one and rare domains count
     like others. Ends when each domain is within TOLERANCE of its target, or a step moves at most
     MOVED of each domain's tokens (targets that can't be met), or after `rounds` if given.
     A round is one aggregation to a vector by domain; a rate is a closed expression of those
     vectors, of which each table of rates holds HELD."""
-    k = len(weights)
+    k = len(targets)
     p = [F.col("p")[i] for i in range(k)]
-    total = [x or 0.0 for x in posterior.agg(*[F.sum(F.col("n_tokens") * p[i] * p[j]) for i in range(k) for j in range(k)]).first()]
-    g = np.array(total).reshape(k, k)
-    mass, w = g.sum(axis=1), np.array(weights, float)
-    m = np.eye(k) - np.outer(w, np.ones(k)) if budget is None else np.eye(k)
-    scale = max(mass.sum(), 1.0)
-    slope = m.T @ np.linalg.pinv(m @ (g / scale) @ m.T, rcond=1e-9) / scale
-    aimed = lambda got: w * (sum(got) if budget is None else budget)
+    g, t = overlaps(posterior, k), np.array(targets, float)
+    mass, scale = g.sum(axis=1), max(g.sum(), 1.0)
+    slope = np.linalg.pinv(g / scale, rcond=1e-9) / scale
     dot = lambda s: reduce(lambda a, b: a + b, (p[i] * s[i] for i in range(k)))
     clip = lambda r: F.greatest(F.lit(0.0), F.least(F.lit(float(most)), r))
     one = F.least(F.lit(1.0), F.lit(float(most)))
@@ -161,10 +185,10 @@ def rates(posterior: DataFrame, weights: list[float], budget: float | None = Non
         sums = [F.sum(v * F.col("n_tokens") * p[i]) for v in (x["now"], F.abs(x["now"] - x["at"]), ahead(x, F.lit(beta))) for i in range(k)]
         sums = [v or 0.0 for v in d.agg(*sums).first()]
         got, moved, begun = sums[:k], sums[k : 2 * k], sums[2 * k :]
-        met = all(abs(x - t) <= TOLERANCE * max(t, 1e-3 * sum(got)) for x, t in zip(got, aimed(got), strict=True))
+        met = all(abs(x - y) <= TOLERANCE * max(y, 1e-3 * sum(got)) for x, y in zip(got, targets, strict=True))
         if len(steps) == rounds or met or (steps and all(v <= MOVED * x for v, x in zip(moved, mass, strict=True))):
-            return moved_by(begin, steps)["now"], got, aimed(got).tolist()
-        steps.append([*(slope @ (np.array(begun) - aimed(begun))).tolist(), beta])
+            return moved_by(begin, steps)["now"], got
+        steps.append([*(slope @ (np.array(begun) - t)).tolist(), beta])
         fresh.append(steps[-1])
         after = (1 + (1 + 4 * momentum * momentum) ** 0.5) / 2
         beta, momentum = (momentum - 1) / after, after
@@ -176,13 +200,14 @@ def mixed(docs: DataFrame, corpus: DataFrame, labels: DataFrame, weights: tuple[
 
     The classifier is fitted on corpus(doc_id, text) with labels. weights are the shares of the
     domains in the mixture's tokens, budget its tokens; null: as many as the shares allow with rates
-    of at most `most`, so that what there is too little of stays whole and what there is too much
-    of is thinned out. Null and empty texts have no token and get the rate of their posterior;
+    of at most `most` (feasible), so that what there is too little of stays whole and what there is
+    too much of is thinned out. Null and empty texts have no token and get the rate of their posterior;
     repeated rows get the same rate."""
     model = fit(corpus, labels, sample)
     d = model.posteriors(described(docs.select("key", "text"))).select("key", "n_tokens", "p")
     d = materialise(d, "posteriors")
-    column, model.reached, model.targets = rates(d, list(weights), budget, most)
+    model.targets = feasible(d, list(weights), most) if budget is None else [w * budget for w in weights]
+    column, model.reached = rates(d, model.targets, most)
     for name, want, got in zip(DOMAINS, model.targets, model.reached, strict=True):
         log.info("mixture: %s has %.0f tokens, target %.0f", name, got, want)
     return d.withColumn("rate", column), model, column
