@@ -10,14 +10,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: A side of a join is broadcast only if it was counted and has at most this many (narrow) rows.
 BROADCAST_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of fewer files than there are cores is dealt out to all of them."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,17 +41,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.held_in = path
+    forget(spark)
     return out
 
 
+def few_at_a_time(docs: DataFrame, rows: int = 1000) -> DataFrame:
+    """docs, with texts handed to Python workers so many at a time: they may be long, and both sides hold a batch."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return docs
+
+
+def forget(spark: SparkSession) -> None:
+    """Lets the driver drop what it holds of queries that nothing refers to, and with them their shuffle
+    files on the executors: both would else stay until memory runs short."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(*tables: DataFrame) -> None:
-    """Deletes tables of materialise() that nothing reads any more, and lets the driver forget the queries
-    behind it, with which their shuffle files leave the executors."""
-    sc = SparkSession.getActiveSession().sparkContext
+    """Deletes tables of materialise() that nothing reads any more."""
     for t in tables:
+        sc = t.sparkSession.sparkContext
         path = sc._jvm.org.apache.hadoop.fs.Path(t.held_in)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-    sc._jvm.System.gc()
 
 
 def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -76,40 +88,28 @@ EDGES_IN_MEMORY = 1_000_000
 
 
 def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(node, root) of all edges, which one task reads; u0, u1, ... and v0, v1, ... hold their ends' parts."""
-    root: dict[tuple, tuple] = {}
+    """(node, root) of all edges(u, v), which one task reads."""
+    root: dict[int, int] = {}
 
-    def find(x: tuple) -> tuple:
+    def find(x: int) -> int:
         while (up := root.setdefault(x, x)) != x:
             root[x] = root[up]
             x = root[x]
         return x
 
-    width = 0
     for batch in batches:
-        width = batch.shape[1] // 2
-        for row in zip(*(batch[c].to_list() for c in batch), strict=True):
-            p, q = find(row[:width]), find(row[width:])
+        for u, v in zip(batch.u.tolist(), batch.v.tolist(), strict=True):
+            p, q = find(u), find(v)
             if p != q:
                 root[max(p, q)] = min(p, q)
     nodes = list(root)
     for at in range(0, len(nodes), 100_000):
         some = nodes[at : at + 100_000]
-        parts = [*zip(*some, strict=True), *zip(*map(find, some), strict=True)]
-        yield pd.DataFrame(dict(zip([f"{x}{i}" for x in "uv" for i in range(width)], parts, strict=True)))
-
-
-def _in_one_task(e: DataFrame) -> DataFrame:
-    kind = e.schema["u"].dataType
-    names = kind.fieldNames() if isinstance(kind, T.StructType) else [None]
-    cells = [(F.col(f"{x}.{n}") if n else F.col(x)).alias(f"{x}{i}") for x in "uv" for i, n in enumerate(names)]
-    flat = e.select(*cells).coalesce(1)
-    whole = lambda x: F.struct(*[F.col(f"{x}{i}").alias(n) for i, n in enumerate(names)]) if names[0] else F.col(f"{x}0")
-    return flat.mapInPandas(_forest, flat.schema).select(whole("u").alias("node"), whole("v").alias("root"))
+        yield pd.DataFrame({"node": some, "root": [find(x) for x in some]})
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of edges(a, b): root is the smallest node that it reaches.
+    """(node, root) for every node of edges(a, b), which are long: root is the smallest node that it reaches.
 
     Up to EDGES_IN_MEMORY edges are one task's work. Beyond, alternating large-star and small-star
     steps: every node is re-attached to the smallest node of its neighbourhood until no edge
@@ -118,7 +118,7 @@ def components(edges: DataFrame) -> DataFrame:
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e, before = materialise(e, "edges"), None
     if e.count() <= EDGES_IN_MEMORY:
-        return materialise(_in_one_task(e), "roots")
+        return materialise(e.coalesce(1).mapInPandas(_forest, "node long, root long"), "roots")
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, join_copies, materialise, maybe_broadcast
+from .common import components, few_at_a_time, join_copies, materialise, maybe_broadcast, release
 from .regions import resolve
 from .shingles import bitmap, shingle_set
 
@@ -59,7 +59,7 @@ def jaccard_join(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", tex
     Null or blank texts: n_shingles 0, own component. Repeated doc_ids: a row each, all of the
     same component, to which their different sets belong together. Extra columns of docs
     are ignored. Null ids: a row each, n_shingles, component_id null."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    d = few_at_a_time(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     spark = docs.sparkSession
     sample = d.select("doc_id").orderBy(F.xxhash64("doc_id")).limit(SAMPLE_DOCS)
 
@@ -82,6 +82,8 @@ def jaccard_join(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", tex
     again = materialise(again, "again")
     reps = signed.select("digest", "doc_id", "n_shingles", "pivots", "bits").join(points.select("digest", "doc_id", "item"), ["digest", "doc_id"])
     reps = materialise(reps if again.isEmpty() else reps.dropDuplicates(["item"]), "reps")
+    rows = materialise(signed.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")), "rows")
+    release(signed)
     before = F.concat(F.array(F.lit(None).cast("long")), F.slice("pivots", 1, F.greatest(F.size("pivots") - 1, F.lit(0))))
     members = reps.select(F.posexplode(F.arrays_zip(F.col("pivots").alias("region"), before.alias("prev"))).alias("pos", "at"), "item", F.col("n_shingles").alias("n"))
     members = members.select("at.region", "item", "n", "pos", "at.prev")
@@ -99,13 +101,12 @@ def jaccard_join(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", tex
 
     roots = resolve(members, items, fetch, percent)
     if many:  # a doc_id is a node of the graph, so that it ties its sets together
-        own = signed.where("n_shingles > 0").join(maybe_broadcast(several), "doc_id", "left_semi").select("doc_id", "digest").distinct().join(points.select("digest", "item"), "digest")
+        own = rows.where("digest is not null").join(maybe_broadcast(several), "doc_id", "left_semi").select("doc_id", "digest").distinct().join(points.select("digest", "item"), "digest")
         tied = own.join(own.groupBy("doc_id").agg(F.min("item").alias("b")), "doc_id").select(F.col("item").alias("a"), "b")
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(tied))
     named = points.join(roots.withColumnRenamed("node", "item"), "item", "left").withColumn("root", F.coalesce("root", "item"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = materialise(named.join(least, "root").select("digest", "copies", "component_id"), "named")
-    rows = signed.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
     total = named.agg(F.sum("copies")).first()[0] or 0
     return join_copies(rows, named, "digest", "copies", total).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import few_at_a_time, materialise
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -188,7 +188,7 @@ def find(docs: DataFrame, **limits: float) -> DataFrame:
     empty; repeated rows get a row each. Columns named base, spans or clean give way. Texts never
     cross a shuffle. One pass over the texts, by one worker a task; up to about TERMS_PER_PASS disclosing
     terms are held, more take more passes with a table of what was found between them."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    d = few_at_a_time(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     terms = materialise(disclosing(d, **limits), "disclosing")
     passes = max(1, -(-terms.count() // TERMS_PER_PASS))
     rows = docs.drop("base", "spans", "clean").withColumn("text", F.col("text").cast("string"))
