@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from .text import split_sections
+from .text import body_lines, split_sections
 
 _PART = re.compile(r"^(#{1,6})\s+(.+?)\s*$")
 ACTIONS = ("replace", "append", "prepend", "remove", "rename", "add")
@@ -58,18 +58,18 @@ def collisions(body: str) -> set[tuple]:
 def piece(body: str, path: str) -> str:
     """A section with its heading and all below it."""
     s = split_sections(body)[locate(body, path)]
-    return "\n".join(body.split("\n")[s[4] : s[5]])
+    return "\n".join(body_lines(body)[s[4] : s[5]])
 
 
 def apply(body: str, action: str, path: str | None, content: str | None, subtree: bool | None = False) -> str:
     """The body after one edit; an empty path is what stands above the first heading.
 
     replace, append and prepend change a section's own text, with subtree all below its heading;
-    remove takes the section and all below it (content, if not null, says how that must read), rename its title only, add puts content at the
+    remove takes the section, with subtree and only so with sections below it (content, if not null, says how that must read), rename its title only, add puts content at the
     body's end. No edit may leave two equal headings under one parent that weren't there before."""
     if action not in ACTIONS:
         raise EditError(f"unknown action: {action}")
-    rows, new = body.split("\n"), (content or "").split("\n")
+    rows, new = body_lines(body), (content or "").split("\n")
     if action == "add":
         text = body.rstrip("\n")
         out = f"{text}\n{content or ''}" if text else content or ""
@@ -78,7 +78,8 @@ def apply(body: str, action: str, path: str | None, content: str | None, subtree
         if path:
             at = locate(body, path)
             _, level, _, _, start, end, _ = parts[at]
-            own = end if subtree else parts[at + 1][4] if at + 1 < len(parts) else len(rows)
+            below = parts[at + 1][4] if at + 1 < len(parts) else len(rows)
+            own = end if subtree else min(end, below)
         else:
             level, start, own = 6, -1, parts[0][4] if parts else len(rows)
             if action in ("remove", "rename"):
@@ -91,12 +92,12 @@ def apply(body: str, action: str, path: str | None, content: str | None, subtree
         elif action == "prepend":
             rows[start + 1 : start + 1] = new
         elif action == "append":
-            while own > start + 1 and not rows[own - 1].strip():
-                own -= 1
             rows[own:own] = new
         elif action == "remove":
             if content is not None and content != "\n".join(rows[start:end]):
                 raise EditError(f"section has changed: {path}")
+            if not subtree and own < end:
+                raise EditError(f"section has sections below it: {path}")
             del rows[start:end]
         else:
             if len(new) > 1 or not new[0].strip():

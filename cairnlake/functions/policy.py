@@ -47,6 +47,14 @@ class Tunables:
     oversized_words: int = 2000
 
 
+#: Tunables that may change over time: wild value, least, most, whether it may be set, whether it is whole; fixed values.
+GENES = {
+    "sibling_rank_weight": (0.3, 0.0, 1.0, True, False), "priming_alpha": (0.5, 0.0, 2.0, True, False), "priming_window_min": (120.0, 10.0, 1440.0, True, True), "similar_limit": (5.0, 2.0, 12.0, True, True),
+    "expand_hops": (1.0, 0.0, 2.0, True, True), "strengthen_step": (1.0, 0.1, 2.0, False, False), "decay_factor": (0.9, 0.5, 0.99, False, False), "prune_floor": (0.3, 0.05, 0.5, False, False),
+    "neighbor_floor": (0.5, 0.1, 1.0, False, False), "proposed_initial_weight": (0.35, 0.1, 0.6, False, False), "rebirth_default_factor": (1.1, 1.0, 1.3, False, False), "rebirth_related_boost": (0.1, 0.0, 0.3, False, False),
+    "rebirth_search_boost": (0.05, 0.0, 0.3, False, False), "missing_edge_vec_cos": (0.9, 0.5, 0.99, False, False), "missing_edge_bm25": (-70.0, -200.0, -10.0, False, False), "window_gap_sec": (900.0, 60.0, 7200.0, False, True),
+}
+
 #: Edge kinds that are stored with src < dst, and those that use changes.
 UNDIRECTED = ("cooccur", "assoc", "sibling")
 LEARNED = ("cooccur", "assoc")

@@ -88,14 +88,14 @@ def relocations(notes: DataFrame, moves: DataFrame) -> DataFrame:
     row = lambda id_, action, section, content: F.struct(F.col(id_).alias("id"), F.when(F.col("piece").isNull(), "missing").otherwise(action).alias("action"), section.alias("section"), content.alias("content"))
     none = F.lit(None).cast("string")
     both = F.array(row("src", "remove", F.col("section"), F.col("piece")), row("dst", "add", none, F.col("piece")))
-    return found.select("batch", "seq", F.explode(both).alias("r")).select("batch", "r.id", "seq", "r.action", "r.section", "r.content", F.lit(False).alias("subtree"))
+    return found.select("batch", "seq", F.explode(both).alias("r")).select("batch", "r.id", "seq", "r.action", "r.section", "r.content", F.lit(True).alias("subtree"))
 
 
 def split(notes: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """parts(id, seq, child, section): (notes without the sections that went; id, body, parent of the children,
     pieces in order of seq). A note of which a section isn't found, or of which two overlap, stays whole and has no child."""
     found = pieces(notes, parts)
-    asked = found.select("id", "seq", F.when(F.col("piece").isNull(), "missing").otherwise("remove").alias("action"), "section", F.col("piece").alias("content"), F.lit(False).alias("subtree"))
+    asked = found.select("id", "seq", F.when(F.col("piece").isNull(), "missing").otherwise("remove").alias("action"), "section", F.col("piece").alias("content"), F.lit(True).alias("subtree"))
     out = edited(notes, asked)
     good = found.join(out.where("error is null").select("id"), "id", "left_semi")
     children = good.groupBy(F.col("child").alias("id"), F.col("id").alias("parent")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "piece"))), lambda x: x["piece"]), "\n").alias("body"))

@@ -4,12 +4,40 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import templates, text
 
 
+#: Codes that are errors; all others warn. Fixed values.
+ERRORS = ("fence-unclosed", "invalid-id", "invalid-priority", "axis-mismatch", "axis-tag-missing", "path-collision")
+#: What each scope looks at; fixed values.
+RULES = {
+    "document": ("fence-unclosed", "bare-hash-line", "wikilink-style", "heading-skip", "adjacent-empty-heading", "empty-section"),
+    "note": ("invalid-id", "invalid-priority", "axis-mismatch", "no-tags", "axis-tag-missing", "empty-summary", "summary-long", "empty-title", "unknown-field", "stale-source", "empty-body", "tiny-body", "path-collision", "dangling-note-ref", "tag-alias-violation", "note-oversized", "growth-unbounded"),
+    "note+db": ("enrich-thin", "template-drift"), "corpus": ("isolated", "fragment-unlinked", "gist-missing", "tag-only-axis", "tag-near-duplicate"),
+}
+
+
+def rule_catalog(spark: SparkSession) -> DataFrame:
+    """severity, code, scope of all rules."""
+    rows = [("error" if c in ERRORS else "warn", c, scope) for scope, codes in RULES.items() for c in codes]
+    return spark.createDataFrame(rows, "severity string, code string, scope string").orderBy("severity", "code")
+
+
+def template_drift(notes: DataFrame) -> DataFrame:
+    """Notes whose headings aren't those of the template they name (notes(id, template, body)); of a template that is gone nothing is said."""
+    frames = notes.select(F.col("id").alias("template"), F.col("body").alias("frame"))
+    n = notes.where("template is not null").select("id", "template", "body").join(frames, "template")
+
+    @F.pandas_udf("string")
+    def drift(body: pd.Series, frame: pd.Series) -> pd.Series:
+        return pd.Series([templates.violation(templates.headings(f), templates.headings(b)) for b, f in zip(body, frame, strict=True)], dtype=object)
+
+    return n.select(F.col("id").alias("subject"), F.lit("template-drift").alias("code"), drift("body", "frame").alias("detail")).where("detail is not null")
+
 
 def note_rules(oversized: int = 2000) -> dict[str, tuple[str, Column]]:
     """Conditions on columns of notes that are each a finding."""
@@ -45,7 +73,7 @@ def lint_documents(notes: DataFrame) -> DataFrame:
         mark = F.regexp_extract(line, r"^ {0,3}(`{3,}|~{3,})", 1)
         inside = s["fence"] != ""
         closes = inside & (mark != "") & mark.startswith(s["fence"]) & (F.trim(F.regexp_replace(line, r"^ {0,3}[`~]+", "")) == "")
-        opens = ~inside & (mark != "")
+        opens = ~inside & (mark != "") & ~(mark.startswith("`") & F.regexp_replace(line, r"^ {0,3}`+", "").contains("`"))
         level = F.length(F.regexp_extract(line, r"^(#{1,6})\s+\S", 1))
         heading = ~inside & ~opens & (level > 0)
         one = lambda cond, code: F.when(cond, F.array(F.lit(code))).otherwise(F.array().cast("array<string>"))

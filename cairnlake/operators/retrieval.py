@@ -19,6 +19,27 @@ def passages(notes: DataFrame) -> DataFrame:
     return head.unionByName(rows.select("id", F.format_string("L%04d", "pos").alias("section"), F.concat_ws(" ", "title", "summary", "line").alias("content")))
 
 
+def section_passages(notes: DataFrame, sections: DataFrame, enrich: DataFrame | None = None) -> DataFrame:
+    """id, section, title, summary, body, enrich as they are indexed: a head row for each note with its whole body and its
+    terms (enrich(id, enrich)), and one for each markdown section with the section's own text."""
+    n = notes.select("id", "title", "summary", "body")
+    n = n.withColumn("enrich", F.lit("")) if enrich is None else n.join(enrich.select("id", "enrich"), "id", "left")
+    head = n.select("id", F.lit("").alias("section"), "title", "summary", "body", F.coalesce("enrich", F.lit("")).alias("enrich"))
+    parts = sections.select("id", F.col("path").alias("section"), F.col("text").alias("body")).join(notes.select("id", "title", "summary"), "id")
+    return head.unionByName(parts.select("id", "section", "title", "summary", "body", F.lit("").alias("enrich")))
+
+
+def content(rows: DataFrame) -> DataFrame:
+    """section_passages() as passages: all columns count alike."""
+    return rows.select("id", "section", F.concat_ws(" ", "title", "summary", "body", "enrich").alias("content"))
+
+
+def index_rows(rows: DataFrame) -> DataFrame:
+    """id, section, size, terms (map of term to its number) of passages(id, section, content) that hold a word."""
+    p = postings(rows).groupBy("id", "section", "size").agg(F.map_from_entries(F.collect_list(F.struct("term", F.col("tf").cast("int").alias("tf")))).alias("terms"))
+    return p.select("id", "section", "size", "terms")
+
+
 def postings(rows: DataFrame) -> DataFrame:
     """id, section, size (tokens of the passage), term, tf."""
     t = rows.select("id", "section", text.index_tokens(F.col("content")).alias("tokens")).withColumn("size", F.size("tokens"))
@@ -50,17 +71,42 @@ def best_passage(scores: DataFrame) -> DataFrame:
     return best.select("id", "b.score", F.when(F.col("b.section") != "", F.col("b.section")).alias("section"))
 
 
-def search(notes: DataFrame, terms: list[str], limit: int = 5, axis: str | None = None, exclude: tuple[str, ...] = (), include_stale: bool = False) -> DataFrame:
-    """The limit best notes by (score, id)."""
+def pool_size(limit: int, rerank_: bool) -> int:
+    """How many hits are read before they are reranked."""
+    return limit + min(2 * limit, 30) if rerank_ else limit
+
+
+def search(notes: DataFrame, terms: list[str], limit: int = 5, axis: str | None = None, exclude: tuple[str, ...] = (), include_stale: bool = False, since: int | None = None, rows: DataFrame | None = None) -> DataFrame:
+    """The limit best notes by (score, id). Without terms none. since: retrieved at that time or later (notes
+    need last_retrieved_at). rows: passages that stand already; else the notes' lines."""
     kept = notes if include_stale else notes.where(policy.fresh())
     if axis is not None:
         kept = kept.where(F.col("axis") == axis)
     if exclude:
         kept = kept.where(~F.col("axis").isin(*exclude))
-    found = best_passage(bm25(passages(notes), terms)).join(kept.select("id", "axis", "title"), "id")
+    if since is not None:
+        kept = kept.where(F.coalesce("last_retrieved_at", F.lit(0)) >= since)
+    found = best_passage(bm25(passages(notes) if rows is None else rows, terms)).join(kept.select("id", "axis", "title"), "id")
     return found.orderBy("score", "id").limit(limit).select("id", "axis", "title", "section", "score")
 
 
+def described(found: DataFrame, notes: DataFrame, tags: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """found(id, ...) with tags (joined, in order) and is_stale: the note's own mark or its source's."""
+    t = tags.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"))
+    out = found.join(t, "id", "left").join(notes.select("id", "stale"), "id", "left")
+    mark = F.coalesce("stale", F.lit(False))
+    if sources is not None:
+        out = out.join(sources.select(F.col("note_id").alias("id"), "source_stale"), "id", "left")
+        mark = mark | F.coalesce("source_stale", F.lit(False))
+    return out.select(*found.columns, "tags", mark.alias("is_stale"))
+
+
+def primed_search(notes: DataFrame, terms: list[str], prior: DataFrame, limit: int = 5, t: Tunables | None = None, **how: object) -> DataFrame:
+    """search() over a larger pool, reranked by the prior of axes."""
+    pool = rerank(search(notes, terms, pool_size(limit, True), **how), prior, t)
+    return pool.orderBy(F.desc("boosted"), "rank").limit(limit).select("id", "axis", "title", "section", "score", "boosted")
+
+
 def rerank(found: DataFrame, prior: DataFrame, t: Tunables | None = None) -> DataFrame:
     """found(id, axis, score, ...) by (n - rank) + alpha * prior(axis) * n, ties by the old rank."""
     t = t or Tunables()

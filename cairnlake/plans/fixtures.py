@@ -7,13 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import graph
+from ..operators import activity, graph
 
 BASE = 1_700_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of fewer files than there are cores is dealt out to all of them."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def doc_key(x: str) -> F.Column:
@@ -81,6 +83,67 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.col("label").alias("axis"))
 
 
+def heads(n: DataFrame) -> DataFrame:
+    """The index rows of notes without headings: one each."""
+    return n.select("id", F.lit("").alias("section"), F.concat_ws(" ", "title", "summary", "body").alias("content"))
+
+
+def doc_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Siblings and references of parts as edges of the documents of the same numbers."""
+    e = siblings(spark, sf_dir).unionByName(references(spark, sf_dir))
+    key = lambda c: F.concat(F.lit("doc-"), F.substring(c, 7, 20)).alias(c)
+    return e.select(key("src"), key("dst"), "kind", "weight")
+
+
+def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """note_id, namespace, key, value."""
+    n = notes(spark, sf_dir)
+    size = F.when(F.col("word_count") < 100, "small").when(F.col("word_count") < 400, "middle").otherwise("large")
+    row = lambda space, key, value: F.struct(F.lit(space).alias("namespace"), F.lit(key).alias("key"), value.cast("string").alias("value"))
+    return n.select(F.col("id").alias("note_id"), F.explode(F.array(row("size", "bucket", size), row("size", "words", F.col("word_count")), row("origin", "source", F.col("source")))).alias("m")).select("note_id", "m.*")
+
+
+def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("long")
+    return e.select(F.col("event_id").alias("id"), F.concat(F.lit("doc-"), F.lpad(k.cast("string"), 6, "0")).alias("note_id"), F.col("event_type").alias("kind"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("created_at"))
+
+
+def flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "labels")
+    k = F.col("doc_id")
+    at = (k * 37 % 1000 + BASE).alias("created_at")
+    return d.select(doc_key("doc_id").alias("note_id"), F.when(F.col("quality") == 0, "reconsolidate").otherwise("enrich_review").alias("flag"), F.concat(F.lit("r"), k.cast("string")).alias("reason"), at, at.alias("last_flagged_at"), (1 + k % 3).alias("flag_count"), F.when(k % 3 == 0, F.lit(BASE + 5).cast("long")).alias("resolved_at"))
+
+
+def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two words of each document as a term by which it may also be found."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    status = F.when(k % 3 == 0, "pending").when(k % 3 == 1, "active").otherwise("rejected")
+    return d.select(doc_key("doc_id").alias("note_id"), F.when(k % 2 == 0, "alias").otherwise("question").alias("kind"), F.concat(F.split_part("text", F.lit(" "), F.lit(2)), F.lit(" "), F.split_part("text", F.lit(" "), F.lit(5))).alias("term"), status.alias("status"), (k * 3600).alias("created_at"), F.lit(None).cast("string").alias("reject_reason"), F.lit("model").alias("provenance"))
+
+
+def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return activity.hits(activity.windows_of(activity.parsed(events(spark, sf_dir))))
+
+
+def declared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """note_id, pos, path: notes that declare three documents each as their sources, some by relative paths."""
+    k = F.col("doc_id")
+    path = F.when(k % 11 == 0, F.concat(F.lit("rel"), k.cast("string"))).otherwise(F.concat(F.lit("/d"), k.cast("string")))
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("n"), F.floor(k / 3).cast("string")).alias("note_id"), (k % 3).alias("pos"), path.alias("path"))
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("/d"), F.col("doc_id").cast("string")).alias("path"), text.content_hash(F.col("text")).alias("hash"))
+
+
+def assoc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposed links between neighbouring vectors."""
+    k = F.col("vec_id")
+    return table(spark, sf_dir, "embeddings").select(k.alias("src"), (k + 1).alias("dst"), F.lit("assoc").alias("kind"), ((k % 10) / 10).alias("weight"), F.when(k % 3 == 0, "model").when(k % 3 == 1, "user").alias("provenance"))
+
+
 NOTES = r"""notes as (select 'doc-' || lpad(cast(d.doc_id as varchar), 6, '0') as id, lang as axis, substr(split_part(text, chr(10), 1), 1, 60) as title, substr(text, 1, 80) as summary, text as body,
     case when d.doc_id % 50 = 0 then 'eager' else 'lazy' end as priority, coalesce(toxic, 0) = 1 as stale, d.doc_id % 97 = 0 as locked, cast(null as varchar) as template,
     cast(len(regexp_extract_all(text, '\S+')) as bigint) as word_count, cast(len(list_filter(string_split(text, chr(10)), lambda x: x <> '')) as bigint) as section_count, d.doc_id * 3600 + 1700000000 as created_at,
@@ -89,7 +152,7 @@ NOTES = r"""notes as (select 'doc-' || lpad(cast(d.doc_id as varchar), 6, '0') a
 TAGS = """tags as (select id, axis as tag from notes union select id, source from notes union select id, 'q' || quality from notes where quality is not null
     union select id, case when word_count < 100 then 'small' when word_count < 400 then 'middle' else 'large' end from notes)"""
 ENTITIES = r"""entities as (select distinct entity, id, last_seen_at from (select unnest(regexp_extract_all(body, '[\p{L}\p{M}\p{N}_]+')) as entity, id, created_at as last_seen_at from notes) where regexp_full_match(entity, '[A-Z][a-z]{5,}'))"""
-FOLD = "translate(lower({}), '" + text.MARKED + "', '" + text.BARE + "')"
+FOLD = "regexp_replace(translate(lower({}), '" + text.MARKED + "', '" + text.BARE + "'), '\\p{{Mn}}', '', 'g')"
 PASSAGES = f"""passages as (select id, section, regexp_extract_all({FOLD.format("content")}, '[\\p{{L}}\\p{{N}}]+') as tokens from (
     select id, '' as section, title || ' ' || summary || ' ' || body as content from notes
     union all select id, 'L' || lpad(cast(pos as varchar), 4, '0'), title || ' ' || summary || ' ' || line from (select id, title, summary, unnest(string_split(body, chr(10))) as line, unnest(range(len(string_split(body, chr(10))))) as pos from notes) where line <> ''))"""
@@ -109,3 +172,11 @@ LOG = """log as (select event_id as id, cast(floor(epoch(ts)) as bigint) as ts,
     ended as (select *, max(ts) over (partition by session_id order by id rows between unbounded preceding and 1 preceding) as e from log),
     windowed as (select *, sum(case when ts > e + 900 then 1 else 0 end) over (partition by session_id order by id rows unbounded preceding) as win from ended),
     hits as (select session_id, win, id as event_id, ts, cmd, hit as note_id, 'hit' as surface from windowed union all select session_id, win, id, ts, cmd, expand, 'expand' from windowed where expand is not null)"""
+HEADS = f"""heads as (select id, regexp_extract_all({FOLD.format("title || ' ' || summary || ' ' || body")}, '[\\p{{L}}\\p{{N}}]+') as tokens from notes)"""
+DOC_EDGES = f"""{SIBLINGS}, doc_edges as (select 'doc-' || substr(src, 7) as src, 'doc-' || substr(dst, 7) as dst, kind, weight from (select * from siblings
+    union all select a.id, b.id, 'reference', 1.0::double from parts a join parts b on a.p_type = b.p_type and a.p_brand = b.p_brand and a.p_size = b.p_size and a.id > b.id)),
+    doc_sym as (select src as id, dst as other, kind, weight from doc_edges union all select dst, src, kind, weight from doc_edges)"""
+META = r"""meta as (with w as (select 'doc-' || lpad(cast(doc_id as varchar), 6, '0') as note_id, cast(len(regexp_extract_all(text, '\S+')) as bigint) as n, source from documents)
+    select note_id, 'size' as namespace, 'bucket' as key, case when n < 100 then 'small' when n < 400 then 'middle' else 'large' end as value from w union all select note_id, 'size', 'words', cast(n as varchar) from w union all select note_id, 'origin', 'source', source from w)"""
+FLAGS = f"""flags as (select 'doc-' || lpad(cast(doc_id as varchar), 6, '0') as note_id, case when quality = 0 then 'reconsolidate' else 'enrich_review' end as flag, 'r' || doc_id as reason, doc_id * 37 % 1000 + {BASE} as created_at, 1 + doc_id % 3 as flag_count, case when doc_id % 3 = 0 then {BASE + 5} end as resolved_at from labels)"""
+TERMS = """terms as (select 'doc-' || lpad(cast(doc_id as varchar), 6, '0') as note_id, case when doc_id % 2 = 0 then 'alias' else 'question' end as kind, split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 5) as term, case doc_id % 3 when 0 then 'pending' when 1 then 'active' else 'rejected' end as status from documents)"""

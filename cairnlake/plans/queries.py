@@ -229,7 +229,7 @@ def expand_two_hop(spark, sf_dir):
     return graph.expand(fx.edges(spark, sf_dir), spark.createDataFrame([(x,) for x in SEEDS], "id string"), 2, 60)
 
 
-@query(f"""with {EDGES}, more as (select src, dst, n * 0.5::double as delta from ordered where n >= 2 or src like '%7')
+@query(f"""with {EDGES}, more as (select src, dst, n * 0.5::double as delta from ordered)
 select coalesce(e.src, m.src) as src, coalesce(e.dst, m.dst) as dst, coalesce(e.kind, 'assoc') as kind, {R6.format("case when delta is null then weight else least(1.0::double, coalesce(weight, 0) + delta) end")} as weight
 from (select * from edges where kind = 'sibling') e full join more m on e.src = m.src and e.dst = m.dst and e.kind = 'assoc'""")
 def strengthen_pairs(spark, sf_dir):
@@ -240,10 +240,8 @@ def strengthen_pairs(spark, sf_dir):
 @query(f"""with {EDGES}, r as (select id, 1 + 0.1::double / (row_number() over (order by id)) as f from parts where p_partkey % 10 = 1)
 select src, dst, kind, {R6.format("case when kind in ('cooccur', 'assoc') and a.f is not null and b.f is not null then greatest(weight, least(1.0::double, weight * greatest(a.f, b.f))) else weight end")} as weight from edges left join r a on src = a.id left join r b on dst = b.id""")
 def rebirth_edges(spark, sf_dir):
-    from pyspark.sql import Window
-
-    p = fx.table(spark, sf_dir, "part").where("p_partkey % 10 = 1").select(fx.part_key("p_partkey").alias("id"))
-    ranked = p.withColumn("rank", F.row_number().over(Window.orderBy("id")) - 1)
+    # the ids that a search showed, by rank
+    ranked = fx.table(spark, sf_dir, "part").where("p_partkey % 10 = 1").select(fx.part_key("p_partkey").alias("id"), F.floor(F.col("p_partkey") / 10).alias("rank"))
     return graph.rebirth(fx.edges(spark, sf_dir), ranked, 0.1).withColumn("weight", policy.rounded(F.col("weight")))
 
 
@@ -252,13 +250,14 @@ def decay_prune(spark, sf_dir):
     return graph.decay(fx.edges(spark, sf_dir)).withColumn("weight", policy.rounded(F.col("weight")))
 
 
-@query(f"""with {EDGES}, gone as (select id as old, 'part-' || lpad(cast(p_partkey - 1 as varchar), 7, '0') as new from parts where p_partkey % 25 = 1),
-m as (select coalesce(a.new, src) as s, coalesce(b.new, dst) as d, kind, weight from edges left join gone a on src = a.old left join gone b on dst = b.old where kind <> 'reference')
-select least(s, d) as src, greatest(s, d) as dst, kind, {R6.format("least(1.0::double, sum(weight))")} as weight from m where s <> d group by all union all select src, dst, kind, weight from edges where kind = 'reference'""")
+@query(f"""with {EDGES}, gone as materialized (select id as old, 'part-' || lpad(cast(p_partkey - 1 as varchar), 7, '0') as new from parts where p_partkey % 25 = 1),
+e as materialized (select src, dst, kind, weight from edges union all select src, dst, 'supersedes', 1.0::double from siblings), l as materialized (select coalesce(new, src) as s, dst, kind, weight from e left join gone on src = old where kind <> 'reference'), m as materialized (select s, coalesce(new, dst) as d, kind, weight from l left join gone on dst = old)
+select case when kind = 'supersedes' then s else least(s, d) end as src, case when kind = 'supersedes' then d else greatest(s, d) end as dst, kind, {R6.format("case when kind = 'supersedes' then max(weight) else least(1.0::double, sum(weight)) end")} as weight from m where s <> d group by 1, 2, kind union all select src, dst, kind, weight from e where kind = 'reference'""")
 def merge_redirect(spark, sf_dir):
     p = fx.table(spark, sf_dir, "part").where("p_partkey % 25 = 1")
     gone = p.select(fx.part_key("p_partkey").alias("old"), F.concat(F.lit("part-"), F.lpad((F.col("p_partkey") - 1).cast("string"), 7, "0")).alias("new"))
-    return graph.redirect(fx.edges(spark, sf_dir), gone).withColumn("weight", policy.rounded(F.col("weight")))
+    directed = fx.siblings(spark, sf_dir).withColumn("kind", F.lit("supersedes"))
+    return graph.redirect(fx.edges(spark, sf_dir).unionByName(directed), gone).withColumn("weight", policy.rounded(F.col("weight")))
 
 
 @query(f"with {EDGES} select id from (select src as id from edges where kind = 'reference' and dst = 'part-0000052' union select other from sym where kind = 'sibling' and id = 'part-0000052') order by id limit 5")
@@ -279,12 +278,11 @@ def clusters(spark, sf_dir):
     return graph.clusters(fx.siblings(spark, sf_dir))
 
 
-@query(f"""with {NOTES}, t as (select distinct id, unnest(list_transform(regexp_extract_all(body, '[A-Za-z0-9가-힣]{{3,}}'), lambda x: lower(x))) as token from notes), c as (select id, count(*) as n from t group by id),
-rare as (select token from t group by token having count(*) between 2 and 5), p as (select distinct a.id as a, b.id as b from t a join t b on a.token = b.token and a.id < b.id where a.token in (select token from rare)),
-s as (select p.a, p.b, count(*) as both_ from p join t x on x.id = p.a join t y on y.id = p.b and x.token = y.token group by all),
+@query(f"""with {NOTES}, t as (select distinct id, unnest(list_transform(regexp_extract_all(title || ' ' || summary || ' ' || body, '[A-Za-z0-9가-힣]{{3,}}'), lambda x: lower(x))) as token from notes), c as (select id, count(*) as n from t group by id),
+s as (select a.id as a, b.id as b, count(*) as both_ from t a join t b on a.token = b.token and a.id < b.id group by all),
 r as (select a, b, {R6.format("both_ * 1.0::double / (x.n + y.n - both_)")} as jaccard, {R6.format("both_ * 1.0::double / least(x.n, y.n)")} as containment from s join c x on x.id = a join c y on y.id = b) select * from r where jaccard >= 0.6 or containment >= 0.85""")
 def near_duplicates(spark, sf_dir):
-    return mining.near_duplicates(fx.notes(spark, sf_dir).select("id", "body"))
+    return mining.near_duplicates(fx.notes(spark, sf_dir).select("id", F.concat_ws(" ", "title", "summary", "body").alias("body")))
 
 
 VECTORS = f"""v as (select vec_id as id, label as axis, cast(embedding as double[]) as e from embeddings), pairs as (select a.id as anchor, b.id as other, {R6.format("list_cosine_similarity(a.e, b.e)")} as score from v a join v b on a.axis = b.axis and a.id <> b.id),
@@ -320,7 +318,7 @@ def ppmi_matrix(spark, sf_dir):
     return graph.ppmi(fx.edges(spark, sf_dir))
 
 
-@query(f"with {NOTES}, {ENTITIES}, t as (select distinct entity as tag from entities where length(entity) <= 7) select a.tag as a, b.tag as b from t a join t b on a.tag < b.tag and abs(length(a.tag) - length(b.tag)) <= 1 where levenshtein(a.tag, b.tag) = 1")
+@query(f"with {NOTES}, {ENTITIES}, t as (select distinct entity as tag from entities) select a.tag as a, b.tag as b from t a join t b on a.tag < b.tag and abs(length(a.tag) - length(b.tag)) <= 1 where levenshtein(a.tag, b.tag) = 1")
 def lint_tag_near_duplicate(spark, sf_dir):
     e = fx.entities(fx.notes(spark, sf_dir))
     return mining.near_tags(e.select(F.col("entity").alias("tag")))
@@ -399,11 +397,11 @@ def lint_tags(spark, sf_dir):
     return lint.lint_tags(n, fx.tags(n).where("tag <> 'fr'"))
 
 
-@query(f"""with {NOTES}, {ENTITIES}, {EDGES} select id from notes where priority <> 'eager' and id not in (select 'doc-' || substr(src, 7) from edges where kind = 'sibling') and id not in (select 'doc-' || substr(dst, 7) from edges where kind = 'sibling') and id not in (select id from entities where entity like 'T%')""")
+@query(f"""with {NOTES}, {ENTITIES}, {EDGES} select id from notes where priority <> 'eager' and id not in (select 'doc-' || substr(src, 7) from edges where kind = 'sibling') and id not in (select 'doc-' || substr(dst, 7) from edges where kind = 'sibling') and id not in (select id from entities)""")
 def lint_isolated(spark, sf_dir):
     n = fx.notes(spark, sf_dir)
     key = lambda c: F.concat(F.lit("doc-"), F.substring(c, 7, 20)).alias(c)
-    return lint.isolated(n, fx.siblings(spark, sf_dir).select(key("src"), key("dst")), fx.entities(n).where("entity like 'T%'"))
+    return lint.isolated(n, fx.siblings(spark, sf_dir).select(key("src"), key("dst")), fx.entities(n))
 
 
 @query(f"""with {NOTES}, {TAGS}, kept as (select * from notes where word_count >= 50), c as (select 'tags' as table_name, id from tags union select 'usage', id from notes where hit_count > 3) select distinct table_name, id from c where id not in (select id from kept)""")
@@ -439,16 +437,16 @@ def section_budget(spark, sf_dir):
 
 @query()
 def streaming_windows(spark, sf_dir):
-    return session_windows(activity.parsed(fx.events(spark, sf_dir)).where("cmd is not null and session_id is not null"))
+    return session_windows(activity.parsed(fx.events(spark, sf_dir)).where("cmd is not null"))
 
 
-@query(f"with {LOG} select session_id, count(*) as windows, cast(sum(q) as bigint) as queries from (select session_id, win, count(*) as q from windowed where session_id is not null group by all) group by session_id")
+@query(f"with {LOG} select session_id, count(*) as windows, cast(sum(q) as bigint) as queries from (select session_id, win, count(*) as q from windowed group by all) group by session_id")
 def session_window_counts(spark, sf_dir):
     """By event time; equal to the windows in order of id where no event is late."""
     return streaming_windows(spark, sf_dir).groupBy("session_id").agg(F.count("*").alias("windows"), F.sum("queries").alias("queries"))
 
 
-@query(f"""with {NOTES}, {PASSAGES} select id, n.tokens from (select id, cast(sum(len(tokens)) as bigint) as tokens from passages group by id) n where id like '%7'""")
+@query(f"""with {NOTES}, {PASSAGES} select id, n.tokens from (select id, cast(sum(len(tokens)) as bigint) as tokens from passages group by id) n""")
 def index_sizes(spark, sf_dir):
     p = retrieval.postings(retrieval.passages(fx.notes(spark, sf_dir)))
     return p.groupBy("id").agg(F.sum("tf").alias("tokens"))
@@ -542,13 +540,14 @@ def restore_notes(spark, sf_dir):
     return bodies.restored(d.where("id % 3 <> 0"), trash, d.where("id % 6 in (0, 1)"))
 
 
-@query(f"""with {NOTES}, {TAGS}, {ENTITIES}, {SIBLINGS}, t as (select id, count(*) as n from tags where tag in ('large', 'q1') group by id), sib as (select 'doc-' || substr(src, 7) as a, 'doc-' || substr(dst, 7) as b from siblings),
-linked as (select a as id from sib where b in (select id from notes) union select b from sib where a in (select id from notes) union select id from entities where entity like 'T%')
+@query(f"""with {NOTES}, {ENTITIES}, {SIBLINGS}, t as (select id, count(*) as n from notes where quality is not null group by id), sib as (select 'doc-' || substr(src, 7) as a, 'doc-' || substr(dst, 7) as b from siblings),
+linked as (select a as id from sib where b in (select id from notes) union select b from sib where a in (select id from notes) union select id from entities)
 select n.id as subject, case when l.id is not null then 'tag-only-axis' else 'isolated' end as code from notes n left join t on n.id = t.id left join linked l on n.id = l.id where priority <> 'eager' and coalesce(t.n, 0) <= 1""")
 def lint_fragmentation(spark, sf_dir):
+    """With the labels as tags: others stand on every note."""
     n = fx.notes(spark, sf_dir)
     key = lambda c: F.concat(F.lit("doc-"), F.substring(c, 7, 20)).alias(c)
-    return rules.fragmentation(n, fx.siblings(spark, sf_dir).select(key("src"), key("dst")), fx.entities(n).where("entity like 'T%'"), fx.tags(n).where("tag in ('large', 'q1')"))
+    return rules.fragmentation(n, fx.siblings(spark, sf_dir).select(key("src"), key("dst")), fx.entities(n), n.where("quality is not null").select("id", F.concat(F.lit("q"), "quality").alias("tag")))
 
 
 @query("""with p as (select p_type as axis, lower(replace(p_brand, '#', '-')) as stem, lower(replace(p_brand, '#', '-')) || '-' || p_partkey as id from part)

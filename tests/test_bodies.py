@@ -13,16 +13,16 @@ REQUESTS = "batch int, id string, seq int, action string, section string, conten
 
 def test_edits_of_one_body():
     apply = edits.apply
-    assert apply(BODY, "append", "A", "x") == BODY.replace("one\n", "one\nx\n")
+    assert apply(BODY, "append", "A", "x") == BODY.replace("one\n\n", "one\n\nx\n")
     assert apply(BODY, "prepend", "# A", "x") == BODY.replace("# A\n", "# A\nx\n", 1)
     assert apply(BODY, "replace", "A > B", "x") == BODY.replace("two\n```\n## no\n```", "x")
     assert apply(BODY, "replace", "C", "x", True) == BODY[: BODY.index("# C")] + "# C\nx"
-    assert apply(BODY, "remove", "A", None) == "pre\n# C\n## B\nthree"
+    assert apply(BODY, "remove", "A", None, True) == "pre\n# C\n## B\nthree" and apply(BODY, "remove", "A > B", None) == "pre\n# A\none\n\n# C\n## B\nthree"
     assert apply(BODY, "rename", "C > ## B", "D") == BODY[: BODY.rindex("## B")] + "## D\nthree"
     assert apply(BODY, "replace", "", "new") == BODY.replace("pre", "new", 1)
     assert apply("", "add", None, "# Z") == "# Z" and apply("a\n", "add", None, "# Z") == "a\n# Z"
     assert edits.piece(BODY, "A > B") == "## B\ntwo\n```\n## no\n```"
-    for action, path, content in (("remove", "B", None), ("remove", "no", None), ("rename", "C", "A"), ("replace", "C", "# D"), ("append", "## A > # B", "x"), ("remove", "", None), ("rename", "C", ""), ("what", "C", None), ("add", None, "# A")):
+    for action, path, content in (("remove", "A", None), ("remove", "B", None), ("remove", "no", None), ("rename", "C", "A"), ("replace", "C", "# D"), ("append", "## A > # B", "x"), ("remove", "", None), ("rename", "C", ""), ("what", "C", None), ("add", None, "# A")):
         with pytest.raises(edits.EditError):
             apply(BODY, action, path, content)
 
@@ -35,7 +35,7 @@ def test_batches_are_whole_or_refused(spark):
         (3, "l", 1, "append", "L", "x", False), (4, "gone", 1, "add", None, "x", False), (4, "m", 3, "add", None, "# Q", False), (5, "e", 1, "add", None, "# E", None),
     ]
     out, refused = bodies.transaction(notes, spark.createDataFrame(asked, REQUESTS))
-    assert {r.id: r.body for r in out.collect()} == {"n": BODY.replace("one\n", "one\nx\n"), "m": "# M\nx\ny", "l": "# L", "e": "# E"}
+    assert {r.id: r.body for r in out.collect()} == {"n": BODY.replace("one\n\n", "one\n\nx\n"), "m": "# M\nx\ny", "l": "# L", "e": "# E"}
     assert {r.batch for r in refused.collect()} == {2, 3, 4} and out.columns == notes.columns
     moves = spark.createDataFrame([(1, 1, "n", "m", "C"), (2, 2, "n", "m", "B"), (3, 3, "n", "gone", "A")], "batch int, seq int, src string, dst string, section string")
     out, refused = bodies.transaction(notes, bodies.relocations(notes, moves))
