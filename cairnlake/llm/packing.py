@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import math
 import os
 import re
 import zlib
@@ -39,10 +41,17 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.whole = not self._fits()
         self.ids = [np.uint32(i).tobytes() for i in range(self.tokenizer.get_vocab_size())]
         self.signs = dict(zip(",.;:!?", self._plain(list(",.;:!?")), strict=True))
         self.kept: dict[str, bytes] = {}
 
+    def _fits(self) -> bool:
+        """Whether the vocabulary treats words as encode() does; else every text goes to the tokenizer whole."""
+        tests = ["Hello, World. It's we'll NA\u00cfVE co-op 42nd  a\tb\nc", "...!? x,y;z: \u00c9t\u00e9s (done)", "snake_case don't 3.14 a+b"]
+        alone = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        return all(alone(t) == [i for w in t.split() for i in alone(w)] and alone(t) == alone(t.lower()) and all(alone(w[:-1]) + alone(w[-1]) == alone(w) for w in t.split() if w[-1] in ",.;:!?" and w[:-1].isalpha()) for t in tests)
+
     def _plain(self, words: list[str]) -> list[bytes]:
         of = self.ids.__getitem__
         return [b"".join(map(of, found.ids)) for found in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -70,7 +79,7 @@ class WordTokenizer:
         """Little-endian unsigned 32-bit ids of each text."""
         for begin in range(0, len(texts), 256):
             some = texts[begin : begin + 256]
-            split = [None if _slow(x) else (x.lower() if x.isascii() else x).split() for x in some]
+            split = [None if self.whole or _slow(x) else (x.lower() if x.isascii() else x).split() for x in some]
             if len(self.kept) > self.most:
                 self.kept.clear()
             self._learn(set().union(*(x for x in split if x)) - self.kept.keys())
@@ -135,17 +144,49 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return where, offset
 
 
+def repacked(lengths: np.ndarray, where: np.ndarray, offset: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bin, offset) with fewer bins, where there is a way: what the least filled ones hold is placed anew, longest
+    first, where it fits best. Growing shares of the bins are tried, until no fewer would do."""
+    where, offset = where.copy(), offset.copy()
+    least = -(-int(lengths.sum()) // capacity)
+    for share in (0.05, 0.1, 0.2, 0.4, 0.8):
+        fill = np.bincount(where, lengths).astype(np.int64)
+        if len(fill) <= least:
+            break
+        gone = np.zeros(len(fill), bool)
+        gone[np.argsort(fill, kind="stable")[: math.ceil(share * len(fill))]] = True
+        free = np.flatnonzero(gone).tolist()[::-1]
+        gaps = sorted((capacity - f, b) for b, f in enumerate(fill.tolist()) if f < capacity and not gone[b])
+        items = np.flatnonzero(gone[where])
+        items = items[np.argsort(-lengths[items], kind="stable")]
+        new_where, new_offset = where.copy(), offset.copy()
+        for i in items.tolist():
+            size = int(lengths[i])
+            at = bisect.bisect_left(gaps, (size, -1))
+            gap, b = gaps.pop(at) if at < len(gaps) else (capacity, free.pop() if free else -1)
+            if b < 0:
+                break
+            new_where[i], new_offset[i] = b, capacity - gap
+            if gap > size:
+                bisect.insort(gaps, (gap - size, b))
+        else:
+            if free:  # numbers without gaps again
+                where, offset = np.unique(new_where, return_inverse=True)[1], new_offset
+    return where, offset
+
+
 def pack(rows: DataFrame, capacity: int = CAPACITY, per_shard: int = PER_SHARD) -> DataFrame:
     """Adds sequence_id and offset to pieces. Pieces are dealt by hash into shards of about
-    per_shard, and each shard is packed, longest pieces first, by one task: what a shard's last
-    sequences leave open is its only loss. Row order, partitions and repeated rows don't matter
+    per_shard, and each shard is packed, longest pieces first, by one task, by sums of squares and then, for
+    what the least filled sequences hold, by best fit: what a shard's last sequences leave open is its only loss. Row order, partitions and repeated rows don't matter
     but for which of two equal rows comes first."""
     rows = materialise(rows, "pieces")
     shards = max(1, -(-rows.count() // per_shard))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], ignore_index=True)
-        where, pdf["offset"] = sum_of_squares(pdf["length"].to_numpy(), capacity)
+        lengths = pdf["length"].to_numpy()
+        where, pdf["offset"] = repacked(lengths, *sum_of_squares(lengths, capacity), capacity)
         pdf["sequence_id"] = where * shards + pdf["shard"]
         return pdf.drop(columns="shard")
 

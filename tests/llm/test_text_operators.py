@@ -151,6 +151,44 @@ def test_sum_of_squares_rule(sizes):
         fill[b] = o + size
 
 
+@given(st.lists(st.integers(1, 40), max_size=120))
+@settings(max_examples=80, deadline=None)
+def test_repacking_loses_nothing(sizes):
+    lengths = np.array(sorted(sizes, reverse=True), np.int64)
+    first = packing.sum_of_squares(lengths, 40)
+    where, offset = packing.repacked(lengths, *first, 40)
+    fill = {}
+    for b, o, size in sorted(zip(where.tolist(), offset.tolist(), lengths.tolist(), strict=True)):
+        assert fill.get(b, 0) == o and o + size <= 40
+        fill[b] = o + size
+    assert len(fill) <= len(set(first[0].tolist())) and sorted(fill) == list(range(len(fill)))
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_packing_reaches_the_bound(sf):
+    """As few sequences as the tokens of the given documents fill."""
+    import pandas as pd
+
+    lengths = []
+    for ids in packing._tokenizer(tokenizer_path()).encode(pd.read_parquet(f"/root/testdata/sf{sf}/documents.parquet").text.fillna("").tolist()):
+        n = len(ids) // 4 + 1
+        lengths += [2048] * (n // 2048) + ([n % 2048] if n % 2048 else [])
+    lengths = np.array(sorted(lengths, reverse=True))
+    where, _ = packing.repacked(lengths, *packing.sum_of_squares(lengths, 2048), 2048)
+    assert where.max() + 1 == -(-lengths.sum() // 2048)
+
+
+def test_other_vocabularies_take_the_plain_path():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    assert not packing._tokenizer(tokenizer_path()).whole
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, plain = packing.WordTokenizer(path), Tokenizer.from_file(path)
+    said = ["Hello  World, it's\n\nA test.", "", "é ü"]
+    assert own.whole and [np.frombuffer(x, "<u4").tolist() for x in own.encode(said)] == [plain.encode(x, add_special_tokens=False).ids for x in said]
+
+
 def test_chat_matches_sql_and_is_reversible(spark):
     import duckdb
 
