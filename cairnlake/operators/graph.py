@@ -8,6 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.policy import LEARNED, UNDIRECTED, Tunables, rank_weight, rounded
+from ..sources.corpus import ensure_checkpoints
+
+
+def held(df: DataFrame) -> DataFrame:
+    """df written once, in the shared folder, where several parts of a plan read it."""
+    ensure_checkpoints(df.sparkSession)
+    return df.checkpoint()
 
 
 def canonical(edges: DataFrame) -> DataFrame:
@@ -88,10 +95,12 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int = 1, limit: int = 10, t
     of the edges that reach it in that hop. hops is small; a hop is a join from the frontier."""
     t = t or Tunables()
     e = symmetric(edges).where(F.col("weight") >= t.neighbor_floor).withColumn("rank_weight", rank_weight(t))
+    e = held(e) if hops > 1 else e
     seen, frontier, found = seeds.select("id").distinct(), seeds.select("id").distinct(), []
     for hop in range(1, hops + 1):
         reached = e.join(frontier, "id").groupBy(F.col("other").alias("id")).agg(F.max("rank_weight").alias("rank_weight"))
         reached = reached.join(seen, "id", "left_anti").withColumn("hop", F.lit(hop))
+        reached = held(reached) if hop < hops else reached
         found.append(reached)
         frontier, seen = reached.select("id"), seen.unionByName(reached.select("id"))
     rows = reduce(lambda a, b: a.unionByName(b), found)
@@ -135,7 +144,7 @@ def clusters(edges: DataFrame, max_size: int = 12) -> DataFrame:
 
 def ppmi(edges: DataFrame) -> DataFrame:
     """i, j, value: max(0, ln(m * total / (row_i * row_j))) of the symmetrised weights, where positive."""
-    m = symmetric(edges).groupBy(F.col("id").alias("i"), F.col("other").alias("j")).agg(F.sum("weight").alias("m"))
+    m = held(symmetric(edges).groupBy(F.col("id").alias("i"), F.col("other").alias("j")).agg(F.sum("weight").alias("m")))
     rows = m.groupBy("i").agg(F.sum("m").alias("r"))
     total = rows.agg(F.sum("r").alias("total"))
     x = m.join(rows, "i").join(rows.selectExpr("i as j", "r as rj"), "j").crossJoin(F.broadcast(total))
