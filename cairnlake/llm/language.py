@@ -75,7 +75,7 @@ def train(rows: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 def identify(rows: DataFrame, allowed: list[str] | None = None, least: float = 0.5) -> DataFrame:
     """rows(text, declared, suffix, host, site, ...), of which all may be null, with lang, posterior,
-    n_trigrams and accepted added and those five columns dropped.
+    n_trigrams and accepted added (in place of columns of such names) and the evidence beside the text dropped.
 
     log posterior = text likelihood (byte trigrams) + log p(declared | lang) + log p(suffix | lang)
     + log prior(host). The reliability of declarations and suffixes, and the priors, come from
@@ -87,10 +87,12 @@ def identify(rows: DataFrame, allowed: list[str] | None = None, least: float = 0
 
     Texts never cross a shuffle: they are read once to train, once for the grouped counts and once
     to decide, beside tables of evidence that are broadcast if they are counted to be small."""
-    rows = rows.withColumn("text_", F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")))
+    # columns that only pass through are held as one, so that no name of theirs meets one of these
+    given = [c for c in rows.columns if c not in (*EVIDENCE, *FOUND)]
+    rows = rows.select(*EVIDENCE, F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")).alias("text_"), F.struct(*[F.col(f"`{c}`") for c in given]).alias("row_"))
     langs, logp, prior = train(rows.select(F.col("text_").alias("text"), "declared"))
     if not langs:
-        return rows.drop("text_", *EVIDENCE).withColumns({"lang": F.lit(None).cast("string"), "posterior": F.lit(None).cast("double"), "n_trigrams": F.lit(0).cast("long"), "accepted": F.lit(False)})
+        return rows.select("row_.*", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("posterior"), F.lit(0).cast("long").alias("n_trigrams"), F.lit(False).alias("accepted"))
     k = len(langs)
     held = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(logp.T))
 
@@ -138,11 +140,11 @@ def identify(rows: DataFrame, allowed: list[str] | None = None, least: float = 0
     if allowed is not None:
         accepted &= F.col("lang_").isin(allowed)
     out = out.withColumn("accepted", accepted)
-    return out.drop("text_", "s", "lp", "most", "declared_ll", "suffix_ll", "host_p", *EVIDENCE).withColumnRenamed("lang_", "lang")
+    return out.select("row_.*", F.col("lang_").alias("lang"), "posterior", "n_trigrams", "accepted")
 
 
-#: Columns of evidence beside the text.
-EVIDENCE = ("declared", "suffix", "host", "site")
+#: Columns of evidence beside the text, and those that identify() adds.
+EVIDENCE, FOUND = ("declared", "suffix", "host", "site"), ("lang", "posterior", "n_trigrams", "accepted")
 
 
 def of_documents(docs: DataFrame, *more: Column) -> DataFrame:

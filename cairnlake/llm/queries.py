@@ -70,14 +70,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated(table(spark, sf_dir, "documents"))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_packing, op2_embedding_dedup, op3_url_filter, op4_chat, op5_jaccard_join, op6_language_id, op7_mixing, op8_pii, op9_media, op10_substring_dedup, pipeline, language_of_pages)
+    own = (op1_packing, op2_embedding_dedup, op3_url_filter, op4_chat, op5_jaccard_join, op6_language_id, op7_mixing, op8_pii, op9_media, op10_substring_dedup, language_of_pages)
     return {f.__name__: f for f in own}
 
 
