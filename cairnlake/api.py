@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import policy, rulesets, templates, text
 from .functions.policy import GENES, Tunables
 from .operators import activity, bodies, enrichment, graph, indexing, jobs, lint, mining, neighbors, relational, retrieval, rules, state
-from .operators.sections import budget, sections
+from .operators.sections import sections, within
 from .sources import corpus
 
 #: Operations that a batch may hold, and which of their fields name notes or axes; fixed values.
@@ -80,13 +80,14 @@ class Library:
         return jobs.related(self["notes"], self["tags"], self["entities"], self["edges"], self["vectors"], self["passages"], words, hints, self.t, kind)
 
     def get(self, ids: list[str], section: str | None = None, toc: bool = False, words: int | None = None) -> DataFrame:
-        """Bodies in the order asked for; or one section of each, the sections, or as many of them as the budget holds."""
+        """Bodies in the order asked for; or one section of each, the sections, or as much as the budget of words holds."""
         found = state.bodies_of(self["notes"], ids)
         if section is not None:
             return bodies.pieces(self["notes"], found.where("not missing").select("id", F.lit(section).alias("section")))
-        if toc or words is not None:
-            s = sections(found.where("not missing").select("id", "body"))
-            return budget(s, words) if words is not None else s.select("id", "path", "level", text.word_count(F.col("text")).alias("words"))
+        if words is not None:
+            return within(found.where("not missing"), words)
+        if toc:
+            return sections(found.where("not missing").select("id", "body")).select("id", "path", "level", text.word_count(F.col("text")).alias("words"))
         return found
 
     def template(self, id_: str) -> str:

@@ -107,3 +107,45 @@ def apply(body: str, action: str, path: str | None, content: str | None, subtree
     if len(collisions(out)) > len(collisions(body)):
         raise EditError("two equal headings under one parent")
     return out
+
+
+def read_within(body: str, words: int) -> tuple[str, int, list[str], str | None]:
+    """(text, its words, paths of sections left out, where it is cut) of a body read up to so many words: whole sections from the
+    top until one doesn't fit; of a lone outer section those within it. What stands above them comes first, and is cut by lines if it
+    alone is too much, as is a first section that is; a cut always leaves a line."""
+    rows, count = body_lines(body), lambda a, b: sum(len(x.split()) for x in rows[a:b])
+    if count(0, len(rows)) <= words:
+        return body, count(0, len(rows)), [], None
+    found = split_sections(body)
+
+    def outermost(a: int, b: int) -> list[tuple]:
+        out: list[tuple] = []
+        for s in found:
+            if a <= s[4] < b and (not out or s[4] >= out[-1][5]):
+                out.append(s)
+        return out
+
+    def up_to(a: int, b: int) -> int:
+        end, had = a, 0
+        while end < b and (end == a or had + count(end, end + 1) <= words):
+            had, end = had + count(end, end + 1), end + 1
+        return end
+
+    label = lambda s: f"{'#' * s[1]} {s[2]}"
+    above, units = "", outermost(0, len(rows))
+    while len(units) == 1 and (inner := outermost(units[0][4] + 1, units[0][5])):
+        above, units = " > ".join(filter(None, (above, label(units[0])))), inner
+    paths = [" > ".join(filter(None, (above, label(s)))) for s in units]
+    head = units[0][4] if units else len(rows)
+    if count(0, head) > words:
+        end = up_to(0, head)
+        return "\n".join(rows[:end]), count(0, end), paths, above or "(preamble)"
+    had, shown = count(0, head), 0
+    while shown < len(units) and had + count(units[shown][4], units[shown][5]) <= words:
+        had, shown = had + count(units[shown][4], units[shown][5]), shown + 1
+    if shown == len(units):
+        return body, had, [], None
+    if not shown and not had:
+        end = up_to(units[0][4], units[0][5])
+        return "\n".join(rows[:end]), count(0, end), paths[1:], paths[0]
+    return "\n".join(rows[: units[shown][4]]), had, paths[shown:], None

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import split_sections, word_count
+from ..functions.edits import read_within
+from ..functions.text import body_lines, split_sections, word_count
 
 COLUMNS = ["id", "ord", "level", "title", "path", "line_start", "line_end", "text"]
 
@@ -35,3 +36,23 @@ def budget(rows: DataFrame, words: int) -> DataFrame:
 def collisions(rows: DataFrame) -> DataFrame:
     """id, path, n of headings of one level and path that stand more than once."""
     return rows.groupBy("id", "path", "level").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def preambles(notes: DataFrame) -> DataFrame:
+    """id, text above the first heading of notes(id, body), empty if there is none."""
+
+    @F.pandas_udf("string")
+    def above(bodies: pd.Series) -> pd.Series:
+        return pd.Series(["\n".join(body_lines(b or "")[: found[0][4]] if (found := split_sections(b)) else body_lines(b or "")) for b in bodies], dtype=object)
+
+    return notes.select("id", above("body").alias("text"))
+
+
+def within(notes: DataFrame, words: int) -> DataFrame:
+    """id, text, words, omitted (paths of sections), cut (where) of notes(id, body) read up to so many words."""
+
+    @F.pandas_udf("text string, words long, omitted array<string>, cut string")
+    def read(bodies: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read_within(b or "", words) for b in bodies], columns=["text", "words", "omitted", "cut"])
+
+    return notes.select("id", read("body").alias("r")).select("id", "r.*")

@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairnlake import api
-from cairnlake.functions import templates, text
+from cairnlake.functions import edits, templates, text
 from cairnlake.functions.policy import GENES, Tunables
 from cairnlake.operators import activity, enrichment, indexing, jobs, lint, mining, neighbors, retrieval, state
+from cairnlake.operators.sections import preambles, within
 
 SF = "/root/testdata/sf0.001"
 NOTE = "id string, axis string, title string, summary string, body string, priority string, stale boolean, locked boolean, template string, word_count long, section_count long"
@@ -45,6 +46,19 @@ def test_entity_hints_of_documents(spark):
         assert r.h == list(dict.fromkeys(want))[:20]
 
 
+def test_budgeted_reads(spark):
+    body = "# Top\nintro here\n## A\none two three\n## B\nfour five\n### C\nsix"
+    assert edits.read_within(body, 99)[0] == body and edits.read_within("a b\nc d e", 2) == ("a b", 2, [], "(preamble)")
+    text_, words, omitted, cut = edits.read_within(body, 11)
+    assert text_ == "# Top\nintro here\n## A\none two three" and (words, omitted, cut) == (9, ["# Top > ## B"], None)
+    assert edits.read_within(body, 5) == ("# Top\nintro here", 4, ["# Top > ## A", "# Top > ## B"], None)
+    assert edits.read_within(body, 3) == ("# Top", 2, ["# Top > ## A", "# Top > ## B"], "# Top")
+    assert edits.read_within("## A\none two three four\nfive\n## B\nx", 4) == ("## A", 2, ["## B"], "## A")
+    n = spark.createDataFrame([("a", "pre\nx\n# T\ny"), ("b", "none"), ("c", None)], "id string, body string")
+    assert {r.id: r.text for r in preambles(n).collect()} == {"a": "pre\nx", "b": "none", "c": ""}
+    assert {r.id: (r.words, r.cut) for r in within(n, 1).collect()} == {"a": (1, "(preamble)"), "b": (1, None), "c": (0, None)}
+
+
 def test_templates(spark):
     frame = templates.headings("# Goal\nwhy\n## 1. Steps\nhow\n# Result")
     assert [(x.label, x.guide, [y.label for y in x.below]) for x in frame] == [("# Goal", "why", ["## 1. Steps"]), ("# Result", "", [])]
@@ -187,7 +201,7 @@ def test_query_commands(library):
     related = library.related("the gears of Gear turn")
     assert sorted(ids(related["similar"])) == ["alpha", "beta"] and set(ids(related["linked"])) == {"gamma"} and sorted(ids(related["entity_hits"])) == ["alpha", "beta"]
     assert [(r.id, r.missing) for r in library.get(["beta", "no"]).collect()] == [("beta", False), ("no", True)]
-    assert library.get(["alpha"], "A").first().piece == "## A\ngears turn wheels" and library.get(["alpha"], toc=True).first().words == 3 and library.get(["alpha"], words=2).first().shown == 0
+    assert library.get(["alpha"], "A").first().piece == "## A\ngears turn wheels" and library.get(["alpha"], toc=True).first().words == 3 and library.get(["alpha"], words=2).first().cut == "## A"
     assert library.template("alpha") == "## A" and library.meta(["alpha"]).first().entries == {"k": "v"} and library.meta(None, "ns", "k").count() == 1
     assert ids(library.entity("Gear")) == ["beta", "alpha"] and library.entity().count() == 2 and library.structure("tech").where("part = 'axis'").first().n == 2
     near = library.neighbors("alpha").collect()
