@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,12 +24,13 @@ def passages(notes: DataFrame) -> DataFrame:
 
 def section_passages(notes: DataFrame, sections: DataFrame, enrich: DataFrame | None = None) -> DataFrame:
     """id, section, title, summary, body, enrich as they are indexed: a head row for each note with its whole body and its
-    terms (enrich(id, enrich)), and one for each markdown section with the section's own text."""
+    terms (enrich(id, enrich)), and one for each markdown section with the section's own text alone."""
     n = notes.select("id", "title", "summary", "body")
     n = n.withColumn("enrich", F.lit("")) if enrich is None else n.join(enrich.select("id", "enrich"), "id", "left")
     head = n.select("id", F.lit("").alias("section"), "title", "summary", "body", F.coalesce("enrich", F.lit("")).alias("enrich"))
-    parts = sections.select("id", F.col("path").alias("section"), F.col("text").alias("body")).join(notes.select("id", "title", "summary"), "id")
-    return head.unionByName(parts.select("id", "section", "title", "summary", "body", F.lit("").alias("enrich")))
+    none = F.lit("")
+    parts = sections.select("id", F.col("path").alias("section"), none.alias("title"), none.alias("summary"), F.col("text").alias("body"), none.alias("enrich"))
+    return head.unionByName(parts.join(notes.select("id"), "id", "left_semi"))
 
 
 def content(rows: DataFrame) -> DataFrame:
@@ -76,9 +80,22 @@ def pool_size(limit: int, rerank_: bool) -> int:
     return limit + min(2 * limit, 30) if rerank_ else limit
 
 
-def search(notes: DataFrame, terms: list[str], limit: int = 5, axis: str | None = None, exclude: tuple[str, ...] = (), include_stale: bool = False, since: int | None = None, rows: DataFrame | None = None) -> DataFrame:
+def search(notes: DataFrame, terms: list[str], limit: int = 5, axis: str | None = None, exclude: tuple[str, ...] = (), include_stale: bool = False, since: int | None = None, rows: DataFrame | None = None, index=None) -> DataFrame:
     """The limit best notes by (score, id). Without terms none. since: retrieved at that time or later (notes
-    need last_retrieved_at). rows: passages that stand already; else the notes' lines."""
+    need last_retrieved_at). index: a stored postings.Index, of which the terms' buckets are read; else rows: passages that
+    stand already, or the notes' lines, which are scanned."""
+    scores = index.bm25(terms) if index is not None else bm25(passages(notes) if rows is None else rows, terms)
+    return ranked(scores, notes, limit, axis, exclude, include_stale, since)
+
+
+def search_raw(notes: DataFrame, expression: str, limit: int = 5, rows: DataFrame | None = None, index=None, **filters: object) -> DataFrame:
+    """As search(), for a raw expression; the filters are those of search()."""
+    scores = index.match(expression) if index is not None else matched(passages(notes) if rows is None else rows, expression)
+    return ranked(scores, notes, limit, **filters)
+
+
+def ranked(scores: DataFrame, notes: DataFrame, limit: int, axis: str | None = None, exclude: tuple[str, ...] = (), include_stale: bool = False, since: int | None = None) -> DataFrame:
+    """The limit best notes of scores(id, section, score) that pass the filters."""
     kept = notes if include_stale else notes.where(policy.fresh())
     if axis is not None:
         kept = kept.where(F.col("axis") == axis)
@@ -86,7 +103,7 @@ def search(notes: DataFrame, terms: list[str], limit: int = 5, axis: str | None
         kept = kept.where(~F.col("axis").isin(*exclude))
     if since is not None:
         kept = kept.where(F.coalesce("last_retrieved_at", F.lit(0)) >= since)
-    found = best_passage(bm25(passages(notes) if rows is None else rows, terms)).join(kept.select("id", "axis", "title"), "id")
+    found = best_passage(scores).join(kept.select("id", "axis", "title"), "id")
     return found.orderBy("score", "id").limit(limit).select("id", "axis", "title", "section", "score")
 
 
@@ -101,9 +118,10 @@ def described(found: DataFrame, notes: DataFrame, tags: DataFrame, sources: Data
     return out.select(*found.columns, "tags", mark.alias("is_stale"))
 
 
-def primed_search(notes: DataFrame, terms: list[str], prior: DataFrame, limit: int = 5, t: Tunables | None = None, **how: object) -> DataFrame:
-    """search() over a larger pool, reranked by the prior of axes."""
-    pool = rerank(search(notes, terms, pool_size(limit, True), **how), prior, t)
+def primed_search(notes: DataFrame, terms: list[str] | str, prior: DataFrame, limit: int = 5, t: Tunables | None = None, **how: object) -> DataFrame:
+    """search() over a larger pool, or search_raw() of an expression, reranked by the prior of axes."""
+    one = search_raw if isinstance(terms, str) else search
+    pool = rerank(one(notes, terms, pool_size(limit, True), **how), prior, t)
     return pool.orderBy(F.desc("boosted"), "rank").limit(limit).select("id", "axis", "title", "section", "score", "boosted")
 
 
@@ -123,60 +141,98 @@ def match(rows: DataFrame, expression: str) -> DataFrame:
     return tokens.where(parse(expression, F.col("tokens"))).select("id").distinct()
 
 
-def parse(expression: str, tokens: Column) -> Column:
-    """The condition that a raw expression puts on a column of index tokens."""
-    import re
-
-    left = re.findall(r'"[^"]*"|[()]|[^\s()"]+', expression)[::-1]
+def parsed(expression: str) -> tuple:
+    """A raw expression as ("leaf", words, whether the last is a prefix), ("and" | "or" | "not", left, right). NOT binds first, then AND, which
+    may be left out, then OR. Malformed ones raise ValueError."""
+    left = re.findall(r'"[^"]*"\*?|[()]|[^\s()"]+', expression)[::-1]
 
-    def phrase(words: list[str]) -> Column:
-        joined = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
-        return joined.contains(" " + " ".join(words) + " ")
+    def wrong() -> ValueError:
+        return ValueError(f"malformed expression: {expression}")
 
-    def atom() -> Column:
+    def atom() -> tuple:
         if not left or left[-1] in ("AND", "OR", "NOT", ")"):
-            raise ValueError(f"malformed expression: {expression}")
+            raise wrong()
         x = left.pop()
         if x == "(":
             inner = either()
             if not left or left.pop() != ")":
-                raise ValueError(f"malformed expression: {expression}")
+                raise wrong()
             return inner
         words = re.findall(r"[^\W_]+", x.lower().translate(str.maketrans(text.MARKED, text.BARE)))
         if not words:
-            raise ValueError(f"malformed expression: {expression}")
-        if x.endswith("*"):
-            return F.exists(tokens, lambda t: t.startswith(words[-1]))
-        return F.array_contains(tokens, words[0]) if len(words) == 1 else phrase(words)
-
-    def minus() -> Column:
-        out = atom()
-        while left and left[-1] == "NOT":
-            left.pop()
-            out = out & ~atom()
-        return out
+            raise wrong()
+        return "leaf", tuple(words), x.endswith("*")
 
-    def both() -> Column:
-        out = minus()
-        while left and left[-1] not in ("OR", ")"):
-            if left[-1] == "AND":
-                left.pop()
-            out = out & minus()
+    def chain(kind: str, operand, go_on) -> tuple:
+        out = operand()
+        while go_on():
+            out = (kind, out, operand())
         return out
 
-    def either() -> Column:
-        out = both()
-        while left and left[-1] == "OR":
-            left.pop()
-            out = out | both()
-        return out
+    def take(word: str) -> bool:
+        return bool(left) and left[-1] == word and bool(left.pop())
+
+    def both() -> tuple:
+        return chain("and", lambda: chain("not", atom, lambda: take("NOT")), lambda: bool(left) and left[-1] not in ("OR", ")") and (take("AND") or True))
+
+    def either() -> tuple:
+        return chain("or", both, lambda: take("OR"))
 
     out = either()
-    if left:
-        raise ValueError(f"malformed expression: {expression}")
+    if left or expression.count('"') % 2:
+        raise wrong()
     return out
 
 
+def leaves(tree: tuple) -> list[tuple[tuple[str, ...], bool]]:
+    """(words, prefix) of a parsed() expression, each once, in order."""
+    kind, *rest = tree
+    found = [(rest[0], rest[1])] if kind == "leaf" else [x for part in rest for x in leaves(part)]
+    return list(dict.fromkeys(found))
+
+
+def times(leaf: tuple[tuple[str, ...], bool], tokens: Column) -> Column:
+    """How often a word, phrase or prefix stands in a column of index tokens."""
+    words, prefix = leaf
+    fits = lambda x, k: x.startswith(words[k]) if prefix and k == len(words) - 1 else x == words[k]
+    if len(words) == 1:
+        return F.size(F.filter(tokens, lambda x: fits(x, 0)))
+    # places from 1; an empty sequence where there are fewer tokens than words
+    places = F.when(F.size(tokens) >= len(words), F.sequence(F.lit(1), F.size(tokens) - len(words) + 1)).otherwise(F.array().cast("array<int>"))
+    return F.size(F.filter(places, lambda i: reduce(lambda a, b: a & b, (fits(F.element_at(tokens, i + k), k) for k in range(len(words))))))
+
+
+def parse(expression: str, tokens: Column) -> Column:
+    """The condition that a raw expression puts on a column of index tokens."""
+
+    def holds(tree: tuple) -> Column:
+        kind, *rest = tree
+        if kind == "leaf":
+            return times((rest[0], rest[1]), tokens) > 0
+        a, b = map(holds, rest)
+        return a & b if kind == "and" else a | b if kind == "or" else a & ~b
+
+    return holds(parsed(expression))
+
+
+def matched(rows: DataFrame, expression: str) -> DataFrame:
+    """id, section, score of the passages that fit a raw expression, ranked by BM25 of all of its words, phrases and prefixes. Two scans: one
+    for their frequencies, one for the rows."""
+    asked = leaves(parsed(expression))
+    t = rows.select("id", "section", text.index_tokens(F.col("content")).alias("tokens")).withColumn("size", F.size("tokens"))
+    every = t.select("size", *[times(leaf, F.col("tokens")).alias(f"tf{k}") for k, leaf in enumerate(asked)])
+    every = every.agg(F.count("*").alias("n"), F.avg("size").alias("avg_size"), *[F.sum((F.col(f"tf{k}") > 0).cast("long")).alias(f"df{k}") for k in range(len(asked))])
+    found = t.where(parse(expression, F.col("tokens"))).crossJoin(F.broadcast(every))  # one row
+    part = lambda k, tf: bm25_part(tf, F.col("n"), F.col(f"df{k}"), F.col("size"), F.col("avg_size"))
+    score = reduce(lambda a, b: a + b, (part(k, times(leaf, F.col("tokens"))) for k, leaf in enumerate(asked)))
+    return found.select("id", "section", rounded(-score).alias("score"))
+
+
+def bm25_part(tf: Column, n: Column, df: Column, size: Column, average: Column) -> Column:
+    idf = F.log((n - df + 0.5) / (df + 0.5))
+    return F.when(idf <= 0, IDF_FLOOR).otherwise(idf) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / average))
+
+
 def top_keywords(texts: DataFrame, limit: int = 15) -> DataFrame:
     """word, freq over texts(text), most frequent first, then by word."""
     words = texts.select(F.explode(text.keywords(F.col("text"))).alias("word"))
