@@ -14,11 +14,13 @@ from .common import materialise
 DOMAINS = ("clean", "low", "toxic")
 #: Labelled rows that the classifier is fitted on, at most.
 SAMPLE = 20_000
-#: Words for each domain in the classifier.
-LEXICON = 48
-#: Shares of the domains in the mixture's tokens. Of clean documents a few hundredths look like toxic ones to the
-#: classifier, so that a smaller share of those would cost clean documents.
-WEIGHTS = (0.88, 0.06, 0.06)
+#: Marker words of each domain in the classifier: at most so many, which stand in LEAST labelled documents, in MARKS times as many
+#: of the domain as its share, and in DEVIATIONS standard deviations more; letters of a stem.
+LEXICON, LEAST, MARKS, DEVIATIONS, STEM = 200, 3, 3.0, 4.0, 5
+#: Shares of the domains in the mixture's tokens.
+WEIGHTS = (0.90, 0.06, 0.04)
+#: Where thinning by domain alone doesn't give the shares: how much smaller the mixture is, so that documents can be told apart; and steps at most.
+SLACK, ROUNDS = 0.03, 48
 #: Documents whose thinned rate is at least 1 / HEADROOM stay whole.
 HEADROOM = 1.25
 #: How near each domain comes to its target; and the share of its tokens that the last round moves, if targets can't be met.
@@ -36,26 +38,28 @@ def domain(labels: DataFrame) -> DataFrame:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """docs(key, text) with words (lower case, distinct), n_tokens (words, repeats included) and four
-    classes of shape: share of distinct words, of capitals, of symbols, and length."""
+    """docs(key, text) with words (lower case, distinct, and the STEM first letters of longer ones with a mark), n_tokens (words,
+    repeats included) and four classes of shape: share of distinct words, of capitals, of symbols, and length."""
     text = F.coalesce("text", F.lit(""))
-    d = docs.withColumn("all_", F.array_remove(F.split(F.lower(text), r"[\s]+"), "")).withColumn("words", F.array_distinct("all_"))
+    d = docs.withColumn("all_", F.array_remove(F.split(F.lower(text), r"[\s]+"), "")).withColumn("only_", F.array_distinct("all_"))
+    stems = F.transform(F.filter("only_", lambda w: F.length(w) > STEM), lambda w: F.concat(F.substring(w, 1, STEM), F.lit("~")))
+    d = d.withColumn("words", F.concat("only_", F.array_distinct(stems)))
     n = F.size("all_")
     size = F.length(text) + 1
     d = d.withColumn("n_tokens", n.cast("long"))
-    level = lambda x, *steps: reduce(lambda a, s: a + (x > s).cast("int"), steps, F.lit(0))
     shape = F.array(
-        level(F.size("words") / F.greatest(n, F.lit(1)), 0.3, 0.5, 0.7, 0.9), level(F.regexp_count(text, F.lit("[A-Z]")) / size, 0.01, 0.05, 0.1, 0.3),
+        level(F.size("only_") / F.greatest(n, F.lit(1)), 0.3, 0.5, 0.7, 0.9), level(F.regexp_count(text, F.lit("[A-Z]")) / size, 0.01, 0.05, 0.1, 0.3),
         level(F.regexp_count(text, F.lit(r"[!%*#$&|<>{}=_~^\\]")) / size, 0.0, 0.005, 0.02, 0.06), level(n, 10, 50, 200, 1000),
     )
-    return d.withColumn("shape", shape).drop("all_")
+    return d.withColumn("shape", shape).drop("all_", "only_")
 
 
 class Classifier:
-    """Naive Bayes over words present and classes of shape; a few hundred numbers."""
+    """Naive Bayes over classes: those of described(), and for each domain how large a share of a document its marker words are, none included.
+    A few hundred words and numbers."""
 
-    def __init__(self, prior: list[float], words: dict[str, list[float]], shapes: dict[tuple[int, int], list[float]]) -> None:
-        self.prior, self.words, self.shapes = prior, words, shapes
+    def __init__(self, prior: list[float], markers: list[list[str]], shapes: dict[tuple[int, int], list[float]]) -> None:
+        self.prior, self.markers, self.shapes = prior, markers, shapes
         #: Tokens by domain that a mixture asked for and those it expects; set by mixed().
         self.targets: list[float] = []
         self.reached: list[float] = []
@@ -64,16 +68,9 @@ class Classifier:
         """described() rows with p: array<double> by domain. Each step is a column of its own, so that
         none is evaluated again where a later one, or a lambda, refers to it."""
         k = len(self.prior)
-        vector = lambda v: F.array(*[F.lit(float(x)) for x in v])
-        lexicon = F.array(*map(F.lit, sorted(self.words))) if self.words else F.array().cast("array<string>")
-        rows = rows.withColumn("known_", F.array_intersect("words", lexicon))
-        told = vector([0.0] * k)
-        if self.words:
-            table = F.create_map(*[x for w, v in sorted(self.words.items()) for x in (F.lit(w), vector(v))])
-            told = F.aggregate("known_", told, lambda a, w: F.zip_with(a, F.element_at(table, w), lambda x, y: x + y))
-        rows = rows.withColumn("told_", told)
+        rows = rows.withColumn("shape", marked(self.markers))
         for i in range(k):
-            score = F.lit(self.prior[i]) + F.col("told_")[i]
+            score = F.lit(self.prior[i])
             for f in sorted({f for f, _ in self.shapes}):
                 c = F.lit(0.0)
                 for (g, level), w in sorted(self.shapes.items()):
@@ -86,7 +83,18 @@ class Classifier:
         for s in every:
             rows = rows.withColumn(s, F.exp(F.col(s) - F.col("top_")))
         rows = rows.withColumn("sum_", reduce(lambda a, b: a + b, map(F.col, every)))
-        return rows.withColumn("p", F.array(*[F.col(s) / F.col("sum_") for s in every])).drop("known_", "told_", "top_", "sum_", *every)
+        return rows.withColumn("p", F.array(*[F.col(s) / F.col("sum_") for s in every])).drop("top_", "sum_", *every)
+
+
+def level(x: Column, *steps: float) -> Column:
+    """How many of the steps x is above."""
+    return reduce(lambda a, s: a + (x > s).cast("int"), steps, F.lit(0))
+
+
+def marked(markers: list[list[str]]) -> Column:
+    """shape with a class more for each domain: how many of its markers are among words, to a thousand tokens."""
+    counts = [level(1000 * F.size(F.array_intersect("words", F.array(*map(F.lit, m)))) / F.greatest("n_tokens", F.lit(1)) if m else F.lit(0), 0, 4, 10, 25) for m in markers]
+    return F.concat("shape", F.array(*counts))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
@@ -102,20 +110,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
     n = {r.k: r["count"] for r in d.groupBy("k").count().collect()}
     total = [n.get(i, 0) + 1.0 for i in range(k)]
     by = [F.sum((F.col("k") == i).cast("double")).alias(f"c{i}") for i in range(k)]
-    p = [(F.col(f"c{i}") + 0.1) / (total[i] + 0.2) for i in range(k)]
-    ratio = F.array(*[F.log(x / (reduce(lambda a, b: a + b, p) / k)) for x in p])
-    counted = d.select("k", F.explode("words").alias("word")).where("length(word) >= 3 and length(word) <= 40").groupBy("word").agg(*by).where(" + ".join(f"c{i}" for i in range(k)) + " >= 10")
-    counted = materialise(counted.withColumn("w", ratio), "counted")
-    words: dict[str, list[float]] = {}
+    every = reduce(lambda a, b: a + b, (F.col(f"c{i}") for i in range(k)))
+    counted = d.select("k", F.explode("words").alias("word")).where("length(word) >= 3 and length(word) <= 40").groupBy("word").agg(*by).where(every >= LEAST)
+    counted = materialise(counted, "counted")
+    markers: list[list[str]] = []
     for i in range(k):
-        # how much the word tells about the domain: its log ratio times how often it's there
-        gain = F.col("w")[i] * F.sqrt(F.col(f"c{i}"))
-        words |= {r.word: r.w for r in counted.orderBy(F.desc(gain), "word").limit(LEXICON).collect()}
+        # by how many standard deviations more of the domain's documents have the word than is its share of all that do
+        expected = every * (total[i] / sum(total))
+        gain = (F.col(f"c{i}") - expected) / F.sqrt(expected)
+        own = counted.where((F.col(f"c{i}") >= MARKS * expected) & (gain >= DEVIATIONS)).orderBy(F.desc(gain), "word").limit(LEXICON)
+        markers.append([r.word for r in own.collect()])
     shapes: dict[tuple[int, int], list[float]] = {}
-    for r in d.select("k", F.posexplode("shape").alias("f", "level")).groupBy("f", "level").agg(*by).collect():
+    for r in d.select("k", F.posexplode(marked(markers)).alias("f", "level")).groupBy("f", "level").agg(*by).collect():
         q = [(r[f"c{i}"] + 0.5) / (total[i] + 2.5) for i in range(k)]
         shapes[r.f, r.level] = [log(x / (sum(q) / k)) for x in q]
-    return Classifier([log(x / sum(total)) for x in total], words, shapes)
+    return Classifier([log(x / sum(total)) for x in total], markers, shapes)
 
 
 def overlaps(posterior: DataFrame, k: int) -> np.ndarray:
@@ -146,6 +155,15 @@ def feasible(posterior: DataFrame, weights: list[float], most: float = 1.0, roun
     return got.tolist()
 
 
+def asked(posterior: DataFrame, weights: list[float], most: float = 1.0) -> list[float]:
+    """Targets with just the shares that weights ask for, in as large a mixture as thinning by domain allows: where that has other
+    shares, the one whose scarcest domain it holds, less SLACK. Whether rates reach them is told by rates()."""
+    can = feasible(posterior, weights, most)
+    total = min((x / w for x, w in zip(can, weights, strict=True) if w), default=0.0) * sum(weights)
+    met = all(abs(x - w * total) <= 2 * TOLERANCE * max(w * total, 1e-9) for x, w in zip(can, weights, strict=True))
+    return [w / sum(weights) * total * (1.0 if met else 1 - SLACK) for w in weights]
+
+
 def rates(posterior: DataFrame, targets: list[float], most: float = 1.0, rounds: int | None = None) -> tuple[Column, list[float]]:
     """(column of rates, tokens by domain that they give) for posterior(n_tokens, p).
 
@@ -200,14 +218,14 @@ def mixed(docs: DataFrame, corpus: DataFrame, labels: DataFrame, weights: tuple[
 
     The classifier is fitted on corpus(doc_id, text) with labels. weights are the shares of the
     domains in the mixture's tokens, budget its tokens; null: as many as the shares allow with rates
-    of at most `most` (feasible), so that what there is too little of stays whole and what there is
+    of at most `most` (asked()), so that what there is too little of stays whole and what there is
     too much of is thinned out. Null and empty texts have no token and get the rate of their posterior;
     repeated rows get the same rate."""
     model = fit(corpus, labels, sample)
     d = model.posteriors(described(docs.select("key", "text"))).select("key", "n_tokens", "p")
     d = materialise(d, "posteriors")
-    model.targets = feasible(d, list(weights), most) if budget is None else [w * budget for w in weights]
-    column, model.reached = rates(d, model.targets, most)
+    model.targets = asked(d, list(weights), most) if budget is None else [w * budget for w in weights]
+    column, model.reached = rates(d, model.targets, most, ROUNDS)
     for name, want, got in zip(DOMAINS, model.targets, model.reached, strict=True):
         log.info("mixture: %s has %.0f tokens, target %.0f", name, got, want)
     return d.withColumn("rate", column), model, column
