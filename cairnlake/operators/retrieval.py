@@ -192,14 +192,11 @@ def leaves(tree: tuple) -> list[tuple[tuple[str, ...], bool]]:
 
 
 def times(leaf: tuple[tuple[str, ...], bool], tokens: Column) -> Column:
-    """How often a word, phrase or prefix stands in a column of index tokens."""
+    """How often a word, phrase or prefix stands in a column of index tokens, overlaps included. The tokens are joined and searched once:
+    inside a lambda they would be made again for each of their elements."""
     words, prefix = leaf
-    fits = lambda x, k: x.startswith(words[k]) if prefix and k == len(words) - 1 else x == words[k]
-    if len(words) == 1:
-        return F.size(F.filter(tokens, lambda x: fits(x, 0)))
-    # places from 1; an empty sequence where there are fewer tokens than words
-    places = F.when(F.size(tokens) >= len(words), F.sequence(F.lit(1), F.size(tokens) - len(words) + 1)).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(places, lambda i: reduce(lambda a, b: a & b, (fits(F.element_at(tokens, i + k), k) for k in range(len(words))))))
+    joined = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
+    return F.regexp_count(joined, F.lit(f"(?= {' '.join(words)}{'' if prefix else ' '})"))
 
 
 def parse(expression: str, tokens: Column) -> Column:

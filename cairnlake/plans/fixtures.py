@@ -3,11 +3,16 @@ the log, embeddings the vectors. SQL at the end says the same for DuckDB."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import activity, graph
+from ..operators import activity, graph, retrieval
+from ..operators.postings import Index
+from ..sources.corpus import ensure_checkpoints
+from ..sources.versions import Conflict
 
 BASE = 1_700_000_000
 
@@ -88,6 +93,21 @@ def heads(n: DataFrame) -> DataFrame:
     return n.select("id", F.lit("").alias("section"), F.concat_ws(" ", "title", "summary", "body").alias("content"))
 
 
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    """The stored index of the notes' lines, built once for each version of documents: its files' names, sizes and times."""
+    ensure_checkpoints(spark)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    version = hashlib.sha256(repr(sorted(map(tuple, d.collect()))).encode()).hexdigest()[:16]  # a row for each file
+    found = Index(spark, f"{root}/postings-{version}")
+    if found.held["version"] < 0:
+        try:
+            found.build(retrieval.passages(notes(spark, sf_dir)))
+        except Conflict:  # another session was first
+            found = Index(spark, f"{root}/postings-{version}")
+    return found
+
+
 def doc_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Siblings and references of parts as edges of the documents of the same numbers."""
     e = siblings(spark, sf_dir).unionByName(references(spark, sf_dir))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import policy, text
 from ..functions.policy import Tunables
 from ..operators import activity, bodies, graph, lint, mining, mutations, relational, retrieval, rules
+from ..operators.postings import Index
 from ..sources.corpus import ensure_checkpoints, source_hashes
 from ..streaming.windows import session_windows
 from . import fixtures as fx
@@ -50,22 +52,22 @@ TOP = " select * from found order by score, id limit {}"
 
 @query(scored("where not stale") + TOP.format(20))
 def search_bm25(spark, sf_dir):
-    return retrieval.search(fx.notes(spark, sf_dir), TERMS, 20)
+    return retrieval.search(fx.notes(spark, sf_dir), TERMS, 20, index=fx.index(spark, sf_dir))
 
 
 @query(scored("where not stale and axis = 'de'") + TOP.format(20))
 def search_axis_filter(spark, sf_dir):
-    return retrieval.search(fx.notes(spark, sf_dir), TERMS, 20, axis="de")
+    return retrieval.search(fx.notes(spark, sf_dir), TERMS, 20, axis="de", index=fx.index(spark, sf_dir))
 
 
 @query(scored("where not stale and axis not in ('en', 'de')") + TOP.format(20))
 def search_exclude_axes(spark, sf_dir):
-    return retrieval.search(fx.notes(spark, sf_dir), TERMS, 20, exclude=("en", "de"))
+    return retrieval.search(fx.notes(spark, sf_dir), TERMS, 20, exclude=("en", "de"), index=fx.index(spark, sf_dir))
 
 
 @query(scored() + TOP.format(20))
 def search_include_stale(spark, sf_dir):
-    return retrieval.search(fx.notes(spark, sf_dir), TERMS, 20, include_stale=True)
+    return retrieval.search(fx.notes(spark, sf_dir), TERMS, 20, include_stale=True, index=fx.index(spark, sf_dir))
 
 
 @query(f"""{scored("where not stale")}, top_ as (select *, row_number() over (order by score, id) - 1 as rank, count(*) over () as n from (select * from found order by score, id limit 15)),
@@ -75,7 +77,7 @@ def search_primed(spark, sf_dir):
     n = fx.notes(spark, sf_dir)
     c = n.groupBy("axis").agg(F.count("*").alias("c"))
     prior = c.crossJoin(F.broadcast(c.agg(F.sum("c").alias("t")))).select("axis", (F.col("c") / F.col("t")).alias("prior"))
-    return retrieval.rerank(retrieval.search(n, TERMS, 15), prior).select("id", "axis", "score", "rank", "boosted")
+    return retrieval.rerank(retrieval.search(n, TERMS, 15, index=fx.index(spark, sf_dir)), prior).select("id", "axis", "score", "rank", "boosted")
 
 
 @query(f"""with {NOTES}, {PASSAGES} select distinct id from passages where (list_contains(tokens, 'clown') or list_contains(tokens, 'trash')) and not list_contains(tokens, 'und')
@@ -85,6 +87,43 @@ def search_raw_boolean(spark, sf_dir):
     return retrieval.match(retrieval.passages(fx.notes(spark, sf_dir)), '(clown OR trash OR worthl* OR ("of the" AND loser)) NOT und')
 
 
+#: A phrase, a prefix, and a word that isn't to be there: how often each stands in a passage.
+RAW = '("license lines" OR worthl* OR clown) NOT und'
+RAW_SQL = f"""with {NOTES}, {PASSAGES}, c as (select id, section, len(tokens) as size, len(list_filter(range(1, len(tokens)), lambda i: tokens[i] = 'license' and tokens[i + 1] = 'lines')) as tf0,
+    len(list_filter(tokens, lambda t: starts_with(t, 'worthl'))) as tf1, len(list_filter(tokens, lambda t: t = 'clown')) as tf2, len(list_filter(tokens, lambda t: t = 'und')) as tf3 from passages),
+every as (select count(*) as n, avg(size) as avg_size, {", ".join(f"count(*) filter (tf{k} > 0) as df{k}" for k in range(4))} from c),
+s as (select id, section, {R6.format("-(" + " + ".join(f"(case when ln((n - df{k} + 0.5) / (df{k} + 0.5)) <= 0 then 1e-6 else ln((n - df{k} + 0.5) / (df{k} + 0.5)) end) * tf{k} * 2.2 / (tf{k} + 1.2 * (0.25 + 0.75 * size / avg_size))" for k in range(4)) + ")")} as score from c, every where tf0 + tf1 + tf2 > 0 and tf3 = 0),
+best as (select id, score, nullif(section, '') as section from (select *, row_number() over (partition by id order by score, section) as r from s) where r = 1)
+select b.id, axis, title, section, score from best b join notes using (id) where not stale and axis <> 'fr' order by score, id limit 20"""
+
+
+@query(RAW_SQL)
+def search_raw_ranked(spark, sf_dir):
+    return retrieval.search_raw(fx.notes(spark, sf_dir), RAW, 20, index=fx.index(spark, sf_dir), exclude=("fr",))
+
+
+@query(RAW_SQL)
+def search_raw_scan(spark, sf_dir):
+    """The same without an index: two scans of the passages."""
+    return retrieval.search_raw(fx.notes(spark, sf_dir), RAW, 20, exclude=("fr",))
+
+
+@query(f"""with {NOTES}, kept as (select 'x' || cast(id_ % 7 as varchar) || ' ' || summary as content from (select *, cast(substr(id, 5) as bigint) as id_ from notes) where id_ % 5 = 0 union all
+    select summary from (select *, cast(substr(id, 5) as bigint) as id_ from notes) where id_ % 5 not in (0, 1)), t as (select regexp_extract_all({FOLD.format("content")}, '[\\p{{L}}\\p{{N}}]+') as tokens from kept)
+select term, count(*) as df, cast(sum(n) as bigint) as tokens from (select i, term, count(*) as n from (select row_number() over () as i, unnest(tokens) as term from (select tokens from t)) group by all) group by term""".replace("select row_number() over () as i, unnest(tokens) as term from (select tokens from t)", "select i, unnest(tokens) as term from (select row_number() over () as i, tokens from t)"))
+def index_after_changes(spark, sf_dir):
+    """Frequencies in an index of the summaries after a fifth of the notes changed in one segment, a fifth went in another, and a merge."""
+    ensure_checkpoints(spark)
+    n = fx.notes(spark, sf_dir).select("id", F.lit("").alias("section"), F.col("summary").alias("content"))
+    k = F.substring("id", 5, 20).cast("long")
+    found = Index(spark, f"{spark.sparkContext.getCheckpointDir()}/changes-{uuid.uuid4().hex}").build(n)
+    found.upsert(n.where(k % 5 == 0).withColumn("content", F.concat(F.lit("x"), (k % 7).cast("string"), F.lit(" "), "content")), n.where(k % 5 == 0).select("id"))
+    found.upsert(n.limit(0), n.where(k % 5 == 1).select("id"))
+    found.merge()
+    p = found.postings().groupBy("term").agg(F.count("*").alias("held"), F.sum(F.size("at")).alias("tokens"))
+    return p.join(found.frequencies(), "term").where("held = df").select("term", "df", "tokens")
+
+
 @query(f"""with {NOTES}, w as (select unnest(list_transform(regexp_extract_all(body, '[A-Za-z0-9_가-힣]{{2,}}'), lambda x: lower(x))) as word from notes)
 select word, count(*) as freq from w where word not in ({", ".join(f"'{x}'" for x in text.STOPWORDS)}) group by word order by freq desc, word limit 15""")
 def keywords_top(spark, sf_dir):
