@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from dataclasses import fields, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import policy, rulesets, templates, text
 from .functions.policy import GENES, Tunables
 from .operators import activity, bodies, enrichment, graph, indexing, jobs, lint, mining, neighbors, relational, retrieval, rules, state
+from .operators.nearest import nearest_vectors
+from .operators.postings import Index
 from .operators.sections import sections, within
 from .sources import corpus
 
@@ -49,8 +51,8 @@ def refused(op: dict, locked: set[str], axis_policy: rulesets.Policy | None = No
 
 
 class Library:
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], tunables: Tunables | None = None) -> None:
-        self.spark, self.tables, self.t = spark, tables, tunables or Tunables()
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], tunables: Tunables | None = None, index: Index | None = None) -> None:
+        self.spark, self.tables, self.t, self.index = spark, tables, tunables or Tunables(), index
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.tables:
@@ -62,18 +64,28 @@ class Library:
     def axes(self) -> DataFrame:
         return relational.axis_counts(self["axes"], self["notes"])
 
-    def search(self, said: str, limit: int = 5, expand: int = 0, raw: bool = False, prior: DataFrame | None = None, **how: object) -> dict[str, DataFrame]:
-        """found (with tags and marks), and extra: notes one step away."""
-        rows = self.tables.get("passages")
-        if raw:
-            ids = retrieval.match(retrieval.passages(self["notes"]) if rows is None else rows, said)
-            found = self["notes"].join(ids, "id", "left_semi").where(policy.fresh()).select("id", "axis", "title").orderBy("id").limit(limit)
+    def search(self, said: str, limit: int = 5, expand: int = 0, raw: bool = False, prior: DataFrame | None = None, session: str | None = None, now: int | None = None, **filters: object) -> dict[str, DataFrame]:
+        """found (with tags and marks), and extra: notes one step away. filters: axis, exclude, include_stale, since. With a session and a time
+        the axes of its last events come first; with a time the search leaves effects: the new usage, entities and edges, and an event."""
+        how = filters | {"rows": self.tables.get("passages"), "index": self.index}
+        words = said if raw else self.spark.createDataFrame([(said,)], "q string").select(text.query_tokens(F.col("q"))).first()[0]
+        if prior is None and session and now is not None:
+            prior = retrieval.axis_prior(activity.parsed(self["events"]), self["notes"], now, session, self.t)
+            prior = None if prior.isEmpty() else prior
+        if prior is not None:
+            found = retrieval.primed_search(self["notes"], words, prior, limit, self.t, **how)
+            order = [F.desc("boosted"), "score", "id"]
         else:
-            words = self.spark.createDataFrame([(said,)], "q string").select(text.query_tokens(F.col("q"))).first()[0]
-            one = retrieval.search if prior is None else lambda n, w, k, **h: retrieval.primed_search(n, w, prior, k, self.t, **h)
-            found = one(self["notes"], words, limit, rows=rows, **how)
-        extra = graph.expand(self["edges"], found.select("id"), 1, expand, self.t) if expand else found.select("id").limit(0)
-        return {"found": retrieval.described(found, self["notes"], self["tags"], self.tables.get("sources")), "extra": extra}
+            found = (retrieval.search_raw if raw else retrieval.search)(self["notes"], words, limit, **how)
+            order = ["score", "id"]
+        extra = graph.expand(self["edges"], found.select("id"), 1, expand, self.t) if expand else found.select("id", F.lit(0.0).alias("rank_weight")).limit(0)
+        out = {"found": retrieval.described(found, self["notes"], self["tags"], self.tables.get("sources")), "extra": extra}
+        if now is not None:
+            rank = lambda df, by: df.select("id", (F.row_number().over(Window.orderBy(*by)) - 1).alias("rank"))  # noqa: E731  the few notes that are shown
+            usage = self.tables.get("usage", self["notes"].select(F.col("id").alias("note_id"), "hit_count", "last_retrieved_at"))
+            seen = self["entities"].select("entity", F.col("id").alias("note_id"), "last_seen_at", (F.col("hit_count") if "hit_count" in self["entities"].columns else F.lit(1)).cast("long").alias("hit_count"))
+            out["effects"] = jobs.search_effects(rank(found, order), rank(extra, [F.desc("rank_weight"), "id"]), usage, seen, self["edges"], now, said, session, self.t)
+        return out
 
     def related(self, said: str, kind: str | None = None) -> dict[str, DataFrame]:
         words, hints = jobs.words_of(self.spark, said)
@@ -135,10 +147,26 @@ class Library:
 
     # -- ops
 
+    def denied(self, operations: DataFrame) -> DataFrame:
+        """operations(batch, op, id) with error of those that a lock or the rules of the note's axis forbid; notes that don't exist pass."""
+        axes = [r.axis for r in self["notes"].join(operations.select("id").distinct(), "id", "left_semi").select("axis").distinct().collect()]  # at most the axes
+        if "rulesets" in self.tables:
+            rules = {a: self.effective(a) for a in axes}
+            no = [(a, op) for a, p in rules.items() for op in OPERATIONS if not p.allows(op)]
+        else:
+            no = []
+        forbidden = F.broadcast(self.spark.createDataFrame(no, "axis string, op string").withColumn("no_", F.lit(True)))  # axes times operations
+        known = operations.join(self["notes"].select("id", "axis", "locked"), "id").join(forbidden, ["axis", "op"], "left")
+        error = F.when(F.col("locked"), F.concat(F.lit("locked: "), "id")).when(F.col("no_"), "denied by the axis's rules")
+        return known.withColumn("error", error).where("error is not null").select("batch", "error")
+
     def apply(self, requests: DataFrame, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
-        """(notes after batches of section edits, refused ones); a dry run returns the notes as they are."""
-        new, bad = bodies.transaction(self["notes"], requests)
-        return (self["notes"] if dry_run else new), bad
+        """(notes after batches of section edits, refused ones); a dry run returns the notes as they are. A batch with an operation that a
+        lock or the rules of an axis forbid is refused whole."""
+        op = F.when(F.col("action") == "rename", "rename_section").otherwise("patch_section")
+        no = self.denied(requests.select("batch", "id", op.alias("op"))).groupBy("batch").agg(F.min("error").alias("error"))
+        new, bad = bodies.transaction(self["notes"], requests.join(no.select("batch"), "batch", "left_anti"))
+        return (self["notes"] if dry_run else new), no.unionByName(bad.select("batch", "error"))
 
     def create(self, notes: DataFrame, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(notes with new ones, edges with links to those of like tags, errors); ids that exist or don't fit are refused, names of tags made canonical."""
@@ -220,8 +248,8 @@ class Library:
         if kind == "missing_edge":
             kept = n.where(policy.fresh() & policy.not_eager())
             lonely = kept.join(neighbors.degrees(self["edges"], n), "id", "left_anti").select("id")
-            v = self["vectors"].join(kept.select("id", "axis"), "id").withColumn("vec", F.slice("vec", 2, F.greatest(F.size("vec") - 1, F.lit(1))))
-            return neighbors.missing_edges(mining.similar_vectors(v, self.t.missing_edge_vec_cos), neighbors.by_text(self["index"], n, lonely, 3, self.t.missing_edge_bm25), self["edges"], n, limit)
+            v = self["vectors"].join(neighbors.connected(self["edges"], n), "id", "left_semi").withColumn("vec", F.slice("vec", 2, F.greatest(F.size("vec") - 1, F.lit(1))))
+            return neighbors.missing_edges(nearest_vectors(v, self.t.missing_edge_vec_cos), neighbors.by_text(self["index"], n, lonely, 3, self.t.missing_edge_bm25), self["edges"], n, limit)
         raise ValueError(f"unknown kind of candidate: {kind}")
 
     # -- genome, rulesets
@@ -242,7 +270,7 @@ class Library:
         """The same library under the values that are set."""
         known = {f.name: type(f.default) for f in fields(Tunables)}
         set_ = {r.gene: known[r.gene](r.value) for r in self["values"].collect() if r.gene in known}  # at most one for each gene
-        return Library(self.spark, self.tables, replace(self.t, **set_))
+        return Library(self.spark, self.tables, replace(self.t, **set_), self.index)
 
     def rulesets(self) -> DataFrame:
         return self["rulesets"].select("id", "name").distinct().orderBy("id")

@@ -88,6 +88,13 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.col("label").alias("axis"))
 
 
+def vector_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst: two thirds of the vectors and the tenth after each."""
+    v = vectors(spark, sf_dir).select("id")
+    e = v.where("id % 3 <> 0").select(F.col("id").alias("src"), (F.col("id") + 10).alias("dst"))
+    return e.join(v.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
+
+
 def heads(n: DataFrame) -> DataFrame:
     """The index rows of notes without headings: one each."""
     return n.select("id", F.lit("").alias("section"), F.concat_ws(" ", "title", "summary", "body").alias("content"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import policy, text
 from ..functions.policy import Tunables
-from ..operators import activity, bodies, graph, lint, mining, mutations, relational, retrieval, rules
+from ..operators import activity, bodies, graph, lint, mining, mutations, nearest, relational, retrieval, rules
 from ..operators.postings import Index
 from ..sources.corpus import ensure_checkpoints, source_hashes
 from ..streaming.windows import session_windows
@@ -333,10 +333,23 @@ def similar_vectors(spark, sf_dir):
     return mining.similar_vectors(fx.vectors(spark, sf_dir), 0.3)
 
 
-@query(f"""with {VECTORS}, linked as (select id as a, id + 10 as b from v) select least(anchor, other) as a, greatest(anchor, other) as b, max(score) as score from near where not exists (select 1 from linked where a = least(anchor, other) and b = greatest(anchor, other)) group by 1, 2""")
+#: Two thirds of the vectors have an edge to the tenth after them; the three best others of each are taken among those with an edge.
+NEAREST = f"""v as (select vec_id as id, cast(embedding as double[]) as e from embeddings), linked as (select id as a, id + 10 as b from v where id % 3 <> 0 and id + 10 in (select id from v)),
+    ends_ as (select * from v where id in (select a from linked union select b from linked)), pairs as (select a.id as anchor, b.id as other, {R6.format("list_cosine_similarity(a.e, b.e)")} as score from ends_ a join ends_ b on a.id <> b.id),
+    near as (select anchor, other, score from (select *, row_number() over (partition by anchor order by score desc, other) as r from pairs where score >= 0.3) where r <= 3)"""
+
+
+@query(f"with {NEAREST} select * from near")
+def nearest_vectors(spark, sf_dir):
+    """Over all labels, by cells around pivots."""
+    v, e = fx.vectors(spark, sf_dir), fx.vector_edges(spark, sf_dir)
+    ends = e.select("src").unionByName(e.select(F.col("dst").alias("src"))).distinct()
+    return nearest.nearest_vectors(v.join(ends.withColumnRenamed("src", "id"), "id", "left_semi"), 0.3)
+
+
+@query(f"""with {NEAREST} select least(anchor, other) as a, greatest(anchor, other) as b, max(score) as score from near where not exists (select 1 from linked where a = least(anchor, other) and b = greatest(anchor, other)) group by 1, 2""")
 def missing_edges_vector(spark, sf_dir):
-    v = fx.vectors(spark, sf_dir)
-    return mining.missing_edges(mining.similar_vectors(v, 0.3), v.select(F.col("id").alias("src"), (F.col("id") + 10).alias("dst")))
+    return mining.missing_edges(nearest_vectors(spark, sf_dir), fx.vector_edges(spark, sf_dir))
 
 
 @query(f"""with v as (select vec_id as id, cast(embedding as double[]) as e from embeddings), m as (select list(x order by i) as mean from (select i, avg(x) as x from (select unnest(e) as x, unnest(range(64)) as i from v where id in (1, 2, 3)) group by i)),
