@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import policy, rulesets, templates, text
 from .functions.policy import GENES, Tunables
-from .operators import activity, bodies, enrichment, graph, indexing, jobs, lint, mining, neighbors, relational, retrieval, rules, state
+from .operators import activity, bodies, enrichment, graph, indexing, jobs, lint, mining, neighbors, oplog, relational, retrieval, rules, state
 from .operators.nearest import nearest_vectors
 from .operators.postings import Index
 from .operators.sections import sections, within
@@ -168,6 +168,15 @@ class Library:
         new, bad = bodies.transaction(self["notes"], requests.join(no.select("batch"), "batch", "left_anti"))
         return (self["notes"] if dry_run else new), no.unionByName(bad.select("batch", "error"))
 
+    def run(self, log: DataFrame, now: int, dry_run: bool = False) -> tuple[dict[str, DataFrame], DataFrame]:
+        """(tables after a log of operations(batch, seq, op, id, other, args), refused batches with their error): see operators.oplog. Rules of axes
+        are asked; a dry run gives the tables as they are. Searches after it need Index.upsert() of the notes that changed."""
+        axes = [r.axis for r in self["notes"].select("axis").distinct().collect()] + [r.axis for r in log.select(F.element_at("args", "axis").alias("axis")).distinct().collect() if r.axis]
+        rules = {a: self.effective(a) for a in sorted(set(axes))} if "rulesets" in self.tables else {}
+        no = [(a, op) for a, p in rules.items() for op in oplog.OPS if not p.allows(op)]  # axes times operations
+        tables, refused = oplog.apply(self.tables, log, now, self.spark.createDataFrame(no, "axis string, op string"), self.t)
+        return (self.tables if dry_run else tables), refused
+
     def create(self, notes: DataFrame, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(notes with new ones, edges with links to those of like tags, errors); ids that exist or don't fit are refused, names of tags made canonical."""
         known = self["notes"].select("id", F.lit(True).alias("here"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import policy, text
 from ..functions.policy import GENES, Tunables
-from ..operators import activity, enrichment, indexing, jobs, lint, mining, neighbors, retrieval, state
+from ..operators import activity, enrichment, indexing, jobs, lint, mining, neighbors, oplog, retrieval, state
 from ..sources.corpus import ensure_checkpoints
 from . import fixtures as fx
 from .fixtures import DOC_EDGES, EDGES, ENTITIES, FLAGS, HEADS, LOG, META, NOTES, TAGS, TERMS
@@ -476,3 +478,42 @@ def search_leaves(spark, sf_dir):
     return jobs.search_effects(hits, hits.limit(0), usage, entities, fx.doc_edges(spark, sf_dir), NOW, "clown keit")["usage"]
 
 
+#: Events as batches of one operation each: what is done to which note; the first of those that set a row stays, adding ones all do.
+OPLOG = f"""{NOTES}, e as (select event_id as batch, event_type as t, user_id, 'doc-' || lpad(cast(cast(props->>'$.k' as bigint) as varchar), 6, '0') as id from events),
+    o as (select e.*, case t when 'view' then 'mark_used' when 'click' then 'flag' when 'purchase' then 'set_note_meta' when 'signup' then 'set_frontmatter' else 'invalidate' end as op, n.id is not null as here, n.locked from e left join notes n using (id)),
+    g as (select *, case when not here then 'no such note' when locked then 'locked' when op = 'flag' and axis = 'de' then 'denied by the axis''s rules' end as error from (select o.*, axis from o left join notes using (id))),
+    good as (select *, row_number() over (partition by op, id, case when op = 'set_note_meta' then user_id % 3 end order by batch) as nth from g where error is null),
+    done as (select * from good where op in ('mark_used', 'flag') or nth = 1)"""
+
+
+@query(f"""with {OPLOG} select 'refused' as part, error as name, count(*) as n from g where error is not null group by error union all select 'refused', 'conflict', count(*) from good where op not in ('mark_used', 'flag') and nth > 1 having count(*) > 0
+union all select 'title', id || ' t' || batch, 1 from done where op = 'set_frontmatter' union all select 'stale', n.id, 1 from notes n where stale or id in (select id from done where op = 'invalidate')
+union all select 'usage', n.id, hit_count + count(batch) from notes n left join (select * from done where op = 'mark_used') d on n.id = d.id group by n.id, hit_count
+union all select 'flag', id, count(*) from done where op = 'flag' group by id union all select 'meta', id || ' u' || user_id % 3 || ' ' || batch, 1 from done where op = 'set_note_meta'""")
+def operation_log(spark, sf_dir):
+    """The events as a log of batches over notes, flags, usage and metadata, with a rule that denies flags on one axis."""
+    ensure_checkpoints(spark)
+    e = fx.table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("long")
+    kind = F.col("event_type")
+    op = F.when(kind == "view", "mark_used").when(kind == "click", "flag").when(kind == "purchase", "set_note_meta").when(kind == "signup", "set_frontmatter").otherwise("invalidate")
+    pair = lambda *x: F.create_map(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    batch, none = F.col("event_id").cast("string"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    args = F.when(kind == "click", pair("flag", "seen")).when(kind == "purchase", pair("namespace", "log", "key", F.concat(F.lit("u"), (F.col("user_id") % 3).cast("string")), "value", batch)).when(kind == "signup", pair("title", F.concat(F.lit("t"), batch))).otherwise(none)
+    log = e.select(F.col("event_id").alias("batch"), F.lit(1).alias("seq"), op.alias("op"), F.concat(F.lit("doc-"), F.lpad(k.cast("string"), 6, "0")).alias("id"), F.lit(None).cast("string").alias("other"), args.alias("args"))
+    n = fx.notes(spark, sf_dir)
+    make = spark.createDataFrame
+    tables = {
+        "notes": n, "tags": fx.tags(n), "entities": make([], "entity string, id string, last_seen_at long"), "edges": make([], "src string, dst string, kind string, weight double"), "flags": fx.flags(spark, sf_dir).limit(0),
+        "terms": fx.terms(spark, sf_dir).limit(0), "meta": make([], "note_id string, namespace string, key string, value string, updated_at long"), "usage": n.select(F.col("id").alias("note_id"), "hit_count", "last_retrieved_at", "created_at"),
+        "dismissals": make([], "key string, kind string, dismiss_count long, word_count long, section_count long, generation int, reason string, last_dismissed_at long"), "axes": n.select("axis").distinct(), "values": make([], "gene string, value double"),
+        "gene_log": make([], "gene string, old_value double, new_value double, cause string, ts long"), "trash": n.limit(0).withColumn("deleted_at", F.lit(0).cast("long")),
+    }
+    out, bad = oplog.apply(tables, log, NOW, make([("de", "flag")], "axis string, op string"))
+    row = lambda df, part, name, n_=F.lit(1): df.select(F.lit(part).alias("part"), name.alias("name"), n_.cast("long").alias("n"))
+    why = F.when(F.col("error").startswith("conflict"), "conflict").otherwise(F.split_part("error", F.lit(":"), F.lit(1)))
+    parts = [
+        bad.groupBy(why.alias("name")).agg(F.count("*").alias("n")).select(F.lit("refused").alias("part"), "name", "n"), row(out["notes"].where("title rlike '^t[0-9]+$'"), "title", F.concat("id", F.lit(" "), "title")), row(out["notes"].where("stale"), "stale", F.col("id")),
+        row(out["usage"], "usage", F.col("note_id"), F.col("hit_count")), row(out["flags"], "flag", F.col("note_id"), F.col("flag_count")), row(out["meta"], "meta", F.concat("note_id", F.lit(" "), "key", F.lit(" "), "value")),
+    ]
+    return reduce(lambda a, b: a.unionByName(b), parts)
