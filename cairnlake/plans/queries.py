@@ -289,9 +289,14 @@ def decay_prune(spark, sf_dir):
     return graph.decay(fx.edges(spark, sf_dir)).withColumn("weight", policy.rounded(F.col("weight")))
 
 
-@query(f"""with {EDGES}, gone as materialized (select id as old, 'part-' || lpad(cast(p_partkey - 1 as varchar), 7, '0') as new from parts where p_partkey % 25 = 1),
-e as materialized (select src, dst, kind, weight from edges union all select src, dst, 'supersedes', 1.0::double from siblings), l as materialized (select coalesce(new, src) as s, dst, kind, weight from e left join gone on src = old where kind <> 'reference'), m as materialized (select s, coalesce(new, dst) as d, kind, weight from l left join gone on dst = old)
-select case when kind = 'supersedes' then s else least(s, d) end as src, case when kind = 'supersedes' then d else greatest(s, d) end as dst, kind, {R6.format("case when kind = 'supersedes' then max(weight) else least(1.0::double, sum(weight)) end")} as weight from m where s <> d group by 1, 2, kind union all select src, dst, kind, weight from e where kind = 'reference'""")
+def _goes(x: str) -> str:
+    return f"case when cast(substr({x}, 6) as bigint) % 25 = 1 then 'part-' || lpad(cast(cast(substr({x}, 6) as bigint) - 1 as varchar), 7, '0') else {x} end"
+
+
+@query(f"""with {EDGES}, e as (select src, dst, kind, weight from edges union all select src, dst, 'supersedes', 1.0::double from siblings),
+m as (select {_goes("src")} as s, {_goes("dst")} as d, kind, weight from e where kind <> 'reference'),
+ends_ as (select case when kind = 'supersedes' then s else least(s, d) end as src, case when kind = 'supersedes' then d else greatest(s, d) end as dst, kind, weight from m where s <> d)
+select src, dst, kind, {R6.format("case when kind = 'supersedes' then max(weight) else least(1.0::double, sum(weight)) end")} as weight from ends_ group by src, dst, kind union all select src, dst, kind, weight from e where kind = 'reference'""")
 def merge_redirect(spark, sf_dir):
     p = fx.table(spark, sf_dir, "part").where("p_partkey % 25 = 1")
     gone = p.select(fx.part_key("p_partkey").alias("old"), F.concat(F.lit("part-"), F.lpad((F.col("p_partkey") - 1).cast("string"), 7, "0")).alias("new"))
