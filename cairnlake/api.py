@@ -269,11 +269,14 @@ class Library:
     def gene_history(self, gene: str | None = None, limit: int = 20) -> DataFrame:
         return state.gene_history(self["gene_log"], gene, limit)
 
-    def shadow(self, gene: str, value: float, limit: int = 20) -> DataFrame:
+    def shadow(self, gene: str, value: float, limit: int = 20, now: int | None = None) -> DataFrame:
+        """What logged searches would show under another value; now: null: the time of the last event."""
         wild, least, most, *_ = GENES[gene]
         if not least <= value <= most:
             raise ValueError(f"{gene} lies between {least} and {most}")
-        return jobs.shadow(self["events"], self["notes"], self["passages"], gene, value, self.t, limit)
+        now = (self["events"].agg(F.max("ts")).first()[0] or 0) if now is None else now
+        score = self.index.bm25_of if self.index is not None else lambda asked: retrieval.bm25_of(self["passages"], asked)
+        return jobs.shadow(self["events"], self["notes"], score, gene, value, now, self.t, limit)
 
     def with_genes(self) -> Library:
         """The same library under the values that are set."""

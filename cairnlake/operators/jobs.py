@@ -138,26 +138,46 @@ def prune(edges: DataFrame, t: Tunables | None = None) -> tuple[DataFrame, DataF
     return kept, learned.crossJoin(left).select("decayed", (F.col("decayed") - F.col("left_")).alias("pruned"))
 
 
-def shadow(events: DataFrame, notes: DataFrame, texts: DataFrame, gene: str, value: float, t: Tunables | None = None, limit: int = 20) -> DataFrame:
-    """query, baseline, candidate, entered, dropped (arrays of ids) of the last `limit` logged searches whose result another value of a tunable changes.
-    One search is a small plan of its own; there are at most limit of them."""
+def logged_searches(events: DataFrame, limit: int) -> DataFrame:
+    """query (the event's id), session_id, said, axis, n of the last `limit` searches among the last 4 * limit retrievals of events."""
+    field = lambda k: F.get_json_object("payload", f"$.{k}")
+    last = events.where("kind = 'retrieval'").orderBy(F.desc("id")).limit(4 * limit)
+    found = last.select(F.col("id").alias("query"), "session_id", field("cmd").alias("cmd"), field("query").alias("said"), field("axis").alias("axis"), F.coalesce(field("limit").cast("int"), F.lit(5)).alias("n"))
+    return found.where("cmd = 'search' and said <> ''").orderBy(F.desc("query")).limit(limit).drop("cmd")
+
+
+def session_priors(events: DataFrame, notes: DataFrame, sessions: DataFrame, now: int, t: Tunables) -> DataFrame:
+    """session_id, axis, prior of each of sessions(session_id), as axis_prior() has it for one."""
+    e = events.where((F.col("ts") >= now - 60 * t.priming_window_min) & F.col("hit_ids").isNotNull()).join(sessions.where("session_id is not null").distinct(), "session_id", "left_semi")
+    last = e.withColumn("nth", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("ts"), F.desc("id")))).where("nth <= 50")
+    seen = last.select("session_id", F.explode("hit_ids").alias("id")).join(notes.select("id", "axis"), "id").groupBy("session_id", "axis").agg(F.count("*").alias("c"))
+    all_ = seen.groupBy("session_id").agg(F.sum("c").alias("all_"))
+    return seen.join(all_, "session_id").select("session_id", "axis", rounded(F.col("c") / F.col("all_")).alias("prior"))
+
+
+def replayed(hits: DataFrame, log: DataFrame, priors: DataFrame, t: Tunables) -> DataFrame:
+    """query, ids in order of what each of the logged searches shows: hits(query, id, axis, score), reranked where the session has priors."""
+    primed = priors.select("session_id").distinct().withColumn("primed", F.lit(True))
+    x = hits.join(log.select("query", "session_id", "n"), "query").join(primed, "session_id", "left").join(priors, ["session_id", "axis"], "left")
+    pool = F.when(F.col("primed"), F.col("n") + F.least(2 * F.col("n"), F.lit(30))).otherwise(F.col("n"))
+    x = x.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("score", "id")) - 1).where(F.col("rank") < pool).withColumn("size", F.count("*").over(Window.partitionBy("query")))
+    boosted = rounded(F.col("size") - F.col("rank") + t.priming_alpha * F.coalesce("prior", F.lit(0.0)) * F.col("size"))
+    x = x.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.when(F.col("primed"), boosted).otherwise(-F.col("rank"))), "rank"))).where("place <= n")
+    shown = x.groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda r: r["id"]).alias("ids"))
+    return log.select("query").join(shown, "query", "left").select("query", F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
+
+
+def shadow(events: DataFrame, notes: DataFrame, score, gene: str, value: float, now: int, t: Tunables | None = None, limit: int = 20) -> DataFrame:
+    """query, said, baseline, candidate, entered, dropped (arrays of ids) of the last `limit` logged searches whose result another value of a
+    tunable would change now. All searches are one plan: score gives query, id, section, score for their (query, term) (Index.bm25_of, or
+    retrieval.bm25_of over passages), and best hits, priors and ranks are taken by query."""
     t = t or Tunables()
-    other = replace(t, **{gene: type(getattr(t, gene))(value)})
-    logged = events.where("kind = 'retrieval'").select("id", "ts", "session_id", F.get_json_object("payload", "$.cmd").alias("cmd"), F.get_json_object("payload", "$.query").alias("query"), F.get_json_object("payload", "$.limit").cast("int").alias("n"))
-    last = logged.where("cmd = 'search' and query <> ''").orderBy(F.desc("id")).limit(limit).collect()
-    spark, parsed = events.sparkSession, activity.parsed(events)
-    out = None
-    for r in last:
-        terms = [x.word for x in spark.createDataFrame([(r.query,)], "q string").select(F.explode(text.query_tokens(F.col("q"))).alias("word")).collect()]
-        both = []
-        for tunables in (t, other):
-            prior = retrieval.axis_prior(parsed, notes, r.ts, r.session_id, tunables) if r.session_id else None
-            found = retrieval.search(notes, terms, r.n or 5, rows=texts).withColumn("rank", F.row_number().over(Window.orderBy("score", "id")))
-            if prior is not None and not prior.isEmpty():
-                found = retrieval.primed_search(notes, terms, prior, r.n or 5, tunables, rows=texts).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("boosted"), "score", "id")))
-            both.append(found.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("ids")))
-        one = both[0].select(F.lit(r.query).alias("query"), F.col("ids").alias("baseline")).crossJoin(both[1].select(F.col("ids").alias("candidate")))
-        out = one if out is None else out.unionByName(one)
-    if out is None:
-        return spark.createDataFrame([], "query string, baseline array<string>, candidate array<string>, entered array<string>, dropped array<string>")
-    return out.where("baseline <> candidate").select("query", "baseline", "candidate", F.array_except("candidate", "baseline").alias("entered"), F.array_except("baseline", "candidate").alias("dropped"))
+    other, log = replace(t, **{gene: type(getattr(t, gene))(value)}), graph.held(logged_searches(events, limit))
+    asked = log.select("query", F.explode(text.query_tokens(F.col("said"))).alias("term"))
+    best = score(asked).groupBy("query", "id").agg(F.min("score").alias("score"))
+    hits = best.join(notes.where(policy.fresh()).select("id", F.col("axis").alias("own_")), "id").join(log.select("query", "axis"), "query").where("axis is null or axis = own_")
+    hits = graph.held(hits.select("query", "id", F.col("own_").alias("axis"), "score"))
+    parsed = activity.parsed(events)
+    both = [replayed(hits, log, session_priors(parsed, notes, log.select("session_id"), now, x), x) for x in (t, other)]
+    out = both[0].withColumnRenamed("ids", "baseline").join(both[1].withColumnRenamed("ids", "candidate"), "query").where("baseline <> candidate")
+    return out.join(log.select("query", "said"), "query").select("query", "said", "baseline", "candidate", F.array_except("candidate", "baseline").alias("entered"), F.array_except("baseline", "candidate").alias("dropped"))

@@ -69,6 +69,18 @@ def bm25(rows: DataFrame, terms: list[str]) -> DataFrame:
     return scored.select("id", "section", rounded(-F.col("s")).alias("score"))
 
 
+def bm25_of(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """query, id, section, score of asked(query, term) over passages: many queries in one scan, which keeps the tokens that any of them asks for."""
+    terms = asked.select("term").distinct()
+    t = rows.select("id", "section", text.index_tokens(F.col("content")).alias("tokens")).withColumn("size", F.size("tokens"))
+    every = t.agg(F.count("*").alias("n"), F.avg("size").alias("avg_size"))
+    p = t.select("id", "section", "size", F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("id", "section", "size", "term").agg(F.count("*").alias("tf"))
+    df = p.groupBy("term").agg(F.count("*").alias("df"))
+    found = asked.distinct().join(p, "term").join(df, "term").crossJoin(F.broadcast(every))  # one row
+    score = F.sum(bm25_part(F.col("tf"), F.col("n"), F.col("df"), F.col("size"), F.col("avg_size")))
+    return found.groupBy("query", "id", "section").agg(rounded(-score).alias("score"))
+
+
 def best_passage(scores: DataFrame) -> DataFrame:
     """id, score, section of each note's best passage; ties to the first section; a head: null."""
     best = scores.groupBy("id").agg(F.min(F.struct("score", "section")).alias("b"))

@@ -12,7 +12,7 @@ from ..functions.policy import GENES, Tunables
 from ..operators import activity, enrichment, indexing, jobs, lint, mining, neighbors, oplog, retrieval, state
 from ..sources.corpus import ensure_checkpoints
 from . import fixtures as fx
-from .fixtures import DOC_EDGES, EDGES, ENTITIES, FLAGS, HEADS, LOG, META, NOTES, TAGS, TERMS
+from .fixtures import DOC_EDGES, EDGES, ENTITIES, FLAGS, HEADS, LOG, META, NOTES, PASSAGES, TAGS, TERMS
 from .queries import NOW, R6, conversations_as_markdown, query
 
 BM25 = "(case when ln((n - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((n - df + 0.5) / (df + 0.5)) end) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / avg_size))"
@@ -437,12 +437,35 @@ def entity_hints(spark, sf_dir):
     return fx.table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.entity_hints(F.col("text")), "|").alias("hints"))
 
 
-@query()
+REPLAYS = 60
+#: Each logged search asked for a word of the note that it hit and one of the next; priors of sessions are those of the last thirty days.
+REPLAY_SQL = f"""with {LOG}, {NOTES}, {PASSAGES}, last_ as (select * from (select *, row_number() over (order by id desc) as k from log_all) where k <= {4 * REPLAYS}), q0 as (select l.id as query, session_id, split_part(n.body, ' ', 2) || ' ' || split_part(m.body, ' ', 5) as said from last_ l join notes n on n.id = l.hit join notes m on m.id = 'doc-' || lpad(cast(cast(substr(l.hit, 5) as bigint) + 1 as varchar), 6, '0') where cmd = 'search' and session_id is not null),
+    q as (select *, 5 as n from q0 where said <> '' order by query desc limit {REPLAYS}), asked as (select distinct query, unnest(list_filter(list_transform(regexp_extract_all(said, '[A-Za-z0-9_가-힣]{{2,}}'), lambda x: lower(x)), lambda x: x not in ({STOP}))) as term from q),
+    every as (select count(*) as n, avg(len(tokens)) as avg_size from passages), tf as (select id, section, size, term, count(*) as tf from (select id, section, len(tokens) as size, unnest(tokens) as term from passages) where term in (select term from asked) group by all), dfs as (select term, count(*) as df from tf group by term),
+    s as (select query, id, section, {R6.format(f"-sum({BM25})")} as score from asked join tf using (term) join dfs using (term) cross join every group by query, id, section),
+    hits_ as (select query, s.id, axis, min(score) as score from s join notes on notes.id = s.id where not stale group by all),
+    ev as (select * from (select *, row_number() over (partition by session_id order by ts desc, id desc) as nth from log where session_id in (select session_id from q) and ts >= (select max(cast(floor(epoch(ts)) as bigint)) from events) - 60 * 43200) where nth <= 50),
+    pc as (select session_id, axis, count(*) as c from ev join notes on notes.id = hit group by all), priors as (select session_id, axis, {R6.format("c * 1.0::double / sum(c) over (partition by session_id)")} as prior from pc),
+    ranked as (select h.query, h.id, q.n, prior, q.session_id in (select session_id from priors) as primed, row_number() over (partition by h.query order by score, h.id) - 1 as rank from hits_ h join q using (query) left join priors p on p.session_id = q.session_id and p.axis = h.axis),
+    pool as (select *, count(*) over (partition by query) as size from ranked where rank < case when primed then 15 else 5 end),
+    lists as (select query, alpha, string_agg(id, ',' order by place) as ids from (select *, row_number() over (partition by query, alpha order by case when primed then {R6.format("size - rank + alpha * coalesce(prior, 0) * size")} else -rank end desc, rank) as place from pool, (values (0.5::double), (2.0::double)) a(alpha)) where place <= n group by all)
+select a.query, said, a.ids as baseline, b.ids as candidate from lists a join lists b on a.query = b.query and a.alpha = 0.5 and b.alpha = 2.0 join q on q.query = a.query where a.ids <> b.ids""".replace("from log_all", "from (select event_id as id, session_id, cmd, hit from (select event_id, case when user_id % 5 <> 0 then 'u' || user_id end as session_id, case event_type when 'view' then 'search' else 'other' end as cmd, 'doc-' || lpad(cast(cast(props->>'$.k' as bigint) as varchar), 6, '0') as hit from events))")
+
+
+@query(REPLAY_SQL)
 def shadow_replay(spark, sf_dir):
-    """Logged searches for words of the corpus, under another strength of priming; each is a plan of its own, so tests hold it."""
-    n = fx.notes(spark, sf_dir)
-    log = fx.events(spark, sf_dir).where("payload like '%\"search\"%'").withColumn("payload", F.to_json(F.struct(F.lit("search").alias("cmd"), F.lit("clown keit pour").alias("query"), F.lit(5).alias("limit"), F.from_json("payload", activity.PAYLOAD)["hit_ids"].alias("hit_ids"))))
-    return jobs.shadow(log, n, fx.heads(n), "priming_alpha", 2.0, limit=3)
+    """The last logged searches of sessions under a stronger priming, all in one plan over the stored index."""
+    n, e = fx.notes(spark, sf_dir), fx.events(spark, sf_dir)
+    hit = F.get_json_object("payload", "$.hit_ids[0]")
+    key = F.concat(F.lit("doc-"), F.lpad((F.substring("id", 5, 20).cast("long") - 1).cast("string"), 6, "0"))
+    after = n.select(key.alias("hit_"), F.split_part("body", F.lit(" "), F.lit(5)).alias("then_"))
+    words = n.select(F.col("id").alias("hit_"), F.split_part("body", F.lit(" "), F.lit(2)).alias("word_")).join(after, "hit_").select("hit_", F.concat_ws(" ", "word_", "then_").alias("said"))
+    said = F.when((F.get_json_object("payload", "$.cmd") == "search") & F.col("session_id").isNotNull(), F.col("said"))
+    more = F.to_json(F.struct(F.get_json_object("payload", "$.cmd").alias("cmd"), said.alias("query"), F.from_json("payload", activity.PAYLOAD)["hit_ids"].alias("hit_ids")))
+    log = e.withColumn("hit_", hit).join(words, "hit_", "left").withColumn("payload", F.when(F.col("payload") == "{", "{").otherwise(more)).select(e.columns)
+    now = e.agg(F.max("ts")).first()[0] or 0
+    out = jobs.shadow(log, n, fx.index(spark, sf_dir).bm25_of, "priming_alpha", 2.0, now, Tunables(priming_window_min=43200), REPLAYS)
+    return out.select("query", "said", F.array_join("baseline", ",").alias("baseline"), F.array_join("candidate", ",").alias("candidate"))
 
 
 @query()
