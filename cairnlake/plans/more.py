@@ -276,13 +276,21 @@ def term_roundtrip(spark, sf_dir):
 # -- neighbours
 
 
-@query(f"""with {NOTES}, {TAGS}, {ENTITIES}, {DOC_EDGES}, asked as (select id as anchor, unnest({WORDS}) as term from notes where id in ('doc-000003', 'doc-000017')), {SELF},
+def composite_sql(who: str) -> str:
+    """CTEs down to s: scores of the neighbours of the notes that fit a condition on id."""
+    return f"""asked as (select id as anchor, unnest({WORDS}) as term from notes where {who}), {SELF},
 f as (select anchor, id, 1 - (r - 1) * 1.0::double / count(*) over (partition by anchor) as fts from (select anchor, h.id, row_number() over (partition by anchor order by score, h.id) as r from hits h join notes using (id) where not stale) where r <= 30),
-es as (select id, count(distinct entity) as n from entities group by id), own as (select distinct id as anchor, entity from entities where id in ('doc-000003', 'doc-000017')),
+es as (select id, count(distinct entity) as n from entities group by id), own as (select distinct id as anchor, entity from entities where {who}),
 e as (select anchor, b.id, b.c * 1.0::double / (x.n + y.n - b.c) as entity from (select anchor, e.id, count(*) as c from own join entities e using (entity) where e.id <> anchor group by anchor, e.id) b join es x on x.id = anchor join es y on y.id = b.id join notes on notes.id = b.id where not stale),
-l0 as (select s.id as anchor, other as id, {R6.format("sum(weight * case when kind = 'sibling' then 0.3::double else 1.0::double end)")} as w from doc_sym s join notes on notes.id = other where s.id in ('doc-000003', 'doc-000017') and not stale group by all),
+l0 as (select s.id as anchor, other as id, {R6.format("sum(weight * case when kind = 'sibling' then 0.3::double else 1.0::double end)")} as w from doc_sym s join notes on notes.id = other where s.{who} and not stale group by all),
 l as (select anchor, id, w / max(w) over (partition by anchor) as link from (select *, row_number() over (partition by anchor order by w desc, id) as r from l0) where r <= 30),
-k as (select anchor, id, {R6.format("coalesce(fts, 0)")} as fts, {R6.format("coalesce(entity, 0)")} as entity, {R6.format("coalesce(link, 0)")} as link from f full join e using (anchor, id) full join l using (anchor, id)), s as (select *, floor((fts + entity + link) * 10000 + 0.5) / 10000 as score from k)
+k as (select anchor, id, {R6.format("coalesce(fts, 0)")} as fts, {R6.format("coalesce(entity, 0)")} as entity, {R6.format("coalesce(link, 0)")} as link from f full join e using (anchor, id) full join l using (anchor, id)), s as (select *, floor((fts + entity + link) * 10000 + 0.5) / 10000 as score from k)"""
+
+
+TWO = "id in ('doc-000003', 'doc-000017')"
+
+
+@query(f"""with {NOTES}, {TAGS}, {ENTITIES}, {DOC_EDGES}, {composite_sql(TWO)}
 select anchor, id, fts, entity, link, score from (select *, row_number() over (partition by anchor order by score desc, id) as r from s) where r <= 10""")
 def neighbors_composite(spark, sf_dir):
     n = fx.notes(spark, sf_dir)
@@ -479,14 +487,25 @@ def related_notes(spark, sf_dir):
     return row("similar", "id").unionByName(row("linked", "id")).unionByName(row("vector_linked", "id")).unionByName(row("entity_hits", "id")).unionByName(row("top_tags", "tag"))
 
 
-@query()
+DUPLICATES = f"""kept as (select id, title || ' ' || summary || ' ' || body as body from notes where not stale and not locked), dt as (select distinct id, unnest(list_transform(regexp_extract_all(body, '[A-Za-z0-9가-힣]{{3,}}'), lambda x: lower(x))) as token from kept), dc as (select id, count(*) as n from dt group by id),
+    ds as (select a.id as a, b.id as b, count(*) as both_ from dt a join dt b on a.token = b.token and a.id < b.id group by all),
+    dup as (select * from (select a, b, {R6.format("both_ * 1.0::double / (x.n + y.n - both_)")} as jaccard, {R6.format("both_ * 1.0::double / least(x.n, y.n)")} as containment from ds join dc x on x.id = a join dc y on y.id = b) where jaccard >= 0.6 or containment >= 0.85)"""
+D3 = "floor(({}) * 1000 + 0.5) / 1000"
+
+
+@query(f"""with {NOTES}, {TAGS}, {ENTITIES}, {DOC_EDGES}, {DUPLICATES}, {composite_sql("id in (select a from dup union select b from dup)")}, near_ as (select * from (select *, row_number() over (partition by anchor order by score desc, id) as r from s) where r <= 3 and fts >= 0.85),
+f_ as (select anchor, id, fts, entity, link, jaccard, containment, row_number() over (partition by least(anchor, id), greatest(anchor, id) order by anchor) as first from near_ join (select a as anchor, b as id, jaccard, containment from dup union all select b, a, jaccard, containment from dup) using (anchor, id))
+select anchor as a, id as b, {", ".join(f"{D3.format(c)} as {c}" for c in ("fts", "entity", "link", "jaccard", "containment"))} from f_ where first = 1""")
 def near_duplicates_ranked(spark, sf_dir):
-    """Pairs of near_duplicates that the composite neighbours of either note bring up; tests hold it against its parts."""
+    """Pairs of near_duplicates that the composite neighbours of either note bring up, each note asked for with all of its words."""
+    ensure_checkpoints(spark)
     n = fx.notes(spark, sf_dir)
     kept = n.where(policy.fresh() & policy.forgettable())
     pairs = mining.near_duplicates(kept.select("id", F.concat_ws(" ", "title", "summary", "body").alias("body")))
     anchors = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    near = neighbors.composite(retrieval.index_rows(fx.heads(n)), n, fx.entities(n), fx.doc_edges(spark, sf_dir), anchors, 3)
+    pairs, index = neighbors.held(pairs), neighbors.held(retrieval.index_rows(fx.heads(n)))
+    anchors = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    near = neighbors.composite(index, n, fx.entities(n), fx.doc_edges(spark, sf_dir), anchors, 3)
     return neighbors.near_duplicates_ranked(pairs, near)
 
 
