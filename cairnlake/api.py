@@ -141,7 +141,7 @@ class Library:
     def lint(self, generation: int = 0, code: str | None = None, severity: str | None = None, limit: int | None = None) -> DataFrame:
         found = lint.lint_notes(self["notes"], self.t.oversized_words).select("subject", "code", "severity", F.lit("note").alias("scope"), F.lit(None).cast("string").alias("detail"))
         warn = lambda df, scope, detail=None: df.select("subject", "code", F.when(F.col("code").isin(*lint.ERRORS), "error").otherwise("warn").alias("severity"), F.lit(scope).alias("scope"), (F.col(detail) if detail else F.lit(None)).cast("string").alias("detail"))
-        for part in (warn(lint.lint_tags(self["notes"], self["tags"]), "note"), warn(lint.lint_documents(self["notes"]), "document"), warn(rules.fragmentation(self["notes"], self["edges"], self["entities"], self["tags"]), "corpus"), warn(lint.template_drift(self["notes"]), "note", "detail")):
+        for part in (warn(lint.lint_tags(self["notes"], self["tags"]), "note"), warn(lint.lint_documents(self["notes"]).withColumn("line", F.concat(F.lit("line "), F.col("line").cast("string"))), "document", "line"), warn(rules.fragmentation(self["notes"], self["edges"], self["entities"], self["tags"]), "corpus"), warn(lint.template_drift(self["notes"]), "note", "detail")):
             found = found.unionByName(part)
         return state.lint_findings(found, self["dismissals"], self["notes"], generation, code, severity, limit)
 

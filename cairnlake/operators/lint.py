@@ -64,31 +64,35 @@ def lint_tags(notes: DataFrame, tags: DataFrame) -> DataFrame:
 
 
 def lint_documents(notes: DataFrame) -> DataFrame:
-    """Line rules outside fences, folded over each note's lines in the JVM: fence-unclosed,
-    bare-hash-line, wikilink-style, heading-skip, empty-section."""
-    state = "struct<fence: string, level: int, blank: boolean, found: array<string>>"
-    start = F.struct(F.lit("").alias("fence"), F.lit(0).alias("level"), F.lit(False).alias("blank"), F.array().cast("array<string>").alias("found"))
-
-    def step(s: Column, line: Column) -> Column:
+    """subject, code, line (from 1) of line rules outside fences, folded over each note's lines in the JVM: fence-unclosed (where it opens),
+    bare-hash-line, wikilink-style, heading-skip, empty-section (its heading). One finding for each line and rule."""
+    finding = "struct<line: int, code: string>"
+    state = f"struct<fence: string, opened: int, level: int, at: int, blank: boolean, found: array<{finding}>>"
+    nothing = F.array().cast(f"array<{finding}>")
+    start = F.struct(F.lit("").alias("fence"), F.lit(0).alias("opened"), F.lit(0).alias("level"), F.lit(0).alias("at"), F.lit(False).alias("blank"), nothing.alias("found"))
+
+    def step(s: Column, row: Column) -> Column:
+        line, i = row["line"], row["i"]
         mark = F.regexp_extract(line, r"^ {0,3}(`{3,}|~{3,})", 1)
         inside = s["fence"] != ""
         closes = inside & (mark != "") & mark.startswith(s["fence"]) & (F.trim(F.regexp_replace(line, r"^ {0,3}[`~]+", "")) == "")
         opens = ~inside & (mark != "") & ~(mark.startswith("`") & F.regexp_replace(line, r"^ {0,3}`+", "").contains("`"))
         level = F.length(F.regexp_extract(line, r"^(#{1,6})\s+\S", 1))
         heading = ~inside & ~opens & (level > 0)
-        one = lambda cond, code: F.when(cond, F.array(F.lit(code))).otherwise(F.array().cast("array<string>"))
+        one = lambda cond, code, at=i: F.when(cond, F.array(F.struct(at.alias("line"), F.lit(code).alias("code")))).otherwise(nothing)
         more = F.concat(
             one(~inside & line.rlike(r"^#{1,6}[^#\s]"), "bare-hash-line"), one(~inside & line.rlike(r"\[\[[^\]]+\]\]"), "wikilink-style"),
-            one(heading & (s["level"] > 0) & (level > s["level"] + 1), "heading-skip"), one(heading & s["blank"] & (level <= s["level"]), "empty-section"),
+            one(heading & (s["level"] > 0) & (level > s["level"] + 1), "heading-skip"), one(heading & s["blank"] & (level <= s["level"]), "empty-section", s["at"]),
         )
         return F.struct(
-            F.when(closes, "").when(opens, mark).otherwise(s["fence"]).alias("fence"), F.when(heading, level).otherwise(s["level"]).alias("level"),
+            F.when(closes, "").when(opens, mark).otherwise(s["fence"]).alias("fence"), F.when(opens, i).otherwise(s["opened"]).alias("opened"), F.when(heading, level).otherwise(s["level"]).alias("level"), F.when(heading, i).otherwise(s["at"]).alias("at"),
             F.when(heading, F.lit(True)).when(F.trim(line) != "", F.lit(False)).otherwise(s["blank"]).alias("blank"), F.concat(s["found"], more).alias("found"),
         )
 
-    end = F.aggregate(text.lines(F.col("body")), start.cast(state), lambda s, x: step(s, x).cast(state))
-    codes = F.array_distinct(F.concat("end.found", F.when(F.col("end.fence") != "", F.array(F.lit("fence-unclosed"))).otherwise(F.array().cast("array<string>"))))
-    return notes.select(F.col("id").alias("subject"), end.alias("end")).select("subject", F.explode(codes).alias("code"))
+    rows = F.transform(text.lines(F.col("body")), lambda x, i: F.struct(x.alias("line"), (i + 1).cast("int").alias("i")))
+    end = F.aggregate(rows, start.cast(state), lambda s, x: step(s, x).cast(state))
+    last = F.when(F.col("end.fence") != "", F.array(F.struct(F.col("end.opened").alias("line"), F.lit("fence-unclosed").alias("code")))).otherwise(nothing)
+    return notes.select(F.col("id").alias("subject"), end.alias("end")).select("subject", F.explode(F.concat("end.found", last)).alias("f")).select("subject", "f.code", "f.line")
 
 
 def dangling(notes: DataFrame) -> DataFrame:

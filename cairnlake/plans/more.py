@@ -420,9 +420,22 @@ def listing_described(spark, sf_dir):
     return retrieval.described(some, n, fx.tags(n), sources)
 
 
-@query(r"""with l as (select conv_id as id, unnest(string_split(text, chr(10))) as line, turn from conversations) select distinct id as subject, 'bare-hash-line' as code from l where regexp_matches(line, '^#{1,6}[^#\s]') union select distinct id, 'wikilink-style' from l where regexp_matches(line, '\[\[[^\]]+\]\]')""")
+#: What follows each turn's text, by turn: a bare hash, a link, a heading two levels down, a heading with nothing below, a closed fence; and at the end of some
+#: conversations a fence that stays open.
+EXTRAS = {1: "#bare hash", 2: "a [[link-style]] word", 3: "#### deep", 4: "## empty", 0: "```\n#inside\n```"}
+
+
+@query(r"""with c as (select conv_id as id, turn, role, len(regexp_split_to_array(text, '\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]')) as n, lead(turn) over (partition by conv_id order by turn) as next from conversations),
+p as (select *, case turn % 5 when 0 then 3 else 1 end as extra from c), s as (select *, 1 + coalesce(sum(1 + n + extra) over (partition by id order by turn rows between unbounded preceding and 1 preceding), 0) as begin_ from p), x as (select *, cast(begin_ + 1 + n as integer) as line from s)
+select id as subject, case turn % 5 when 1 then 'bare-hash-line' when 2 then 'wikilink-style' when 3 then 'heading-skip' end as code, line from x where turn % 5 in (1, 2, 3)
+union all select id, 'empty-section', line from x where turn % 5 in (3, 4) and next is not null union all select id, 'fence-unclosed', cast(max(line + extra) as integer) from x where id % 3 = 0 group by id""")
 def lint_document(spark, sf_dir):
-    return lint.lint_documents(conversations_as_markdown(spark, sf_dir).select("id", "body")).where("code in ('bare-hash-line', 'wikilink-style')")
+    """Conversations as markdown, with a line of each rule behind some turns."""
+    c = fx.table(spark, sf_dir, "conversations")
+    extra = F.create_map(*[F.lit(x) for k, v in EXTRAS.items() for x in (k, v)])[(F.col("turn") % 5).cast("int")]
+    part = F.concat(F.lit("## "), F.col("turn").cast("string"), F.lit("-"), "role", F.lit("\n"), "text", F.lit("\n"), extra)
+    bodies_ = c.groupBy(F.col("conv_id").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("part")))), lambda x: x["part"]), "\n").alias("body"))
+    return lint.lint_documents(bodies_.withColumn("body", F.when(F.col("id") % 3 == 0, F.concat("body", F.lit("\n~~~\n[[x]]"))).otherwise(F.col("body"))))
 
 
 @query(f"with {NOTES} select 'doc-' || lpad(cast(cast(substr(id, 5) as bigint) % 400 as varchar), 6, '0') as x, count(*) as n, min(case when regexp_matches(id, '[0-9]{{6}}$') then axis || '/20' || substr(id, 5, 2) || '/' || substr(id, 7, 2) || '/' || id || '.md' end) as path, strftime(make_timestamp(min(created_at) * 1000000), '%Y-%m-%d') as day from notes group by 1")
