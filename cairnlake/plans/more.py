@@ -98,10 +98,10 @@ def ensure_axes(spark, sf_dir):
     return state.ensure_axes(a, g.where("hi % 2 = 0").select("axis", F.col("brand").alias("description")), NOW)
 
 
-@query("select distinct n_name as axis from nation where n_nationkey in (select n_nationkey from nation except select c_nationkey from customer where c_acctbal > 9000)")
+@query("select distinct n_name as axis from nation where n_nationkey in (select n_nationkey from nation except select c_nationkey from customer where c_acctbal > 9900)")
 def empty_axes(spark, sf_dir):
     n = fx.table(spark, sf_dir, "nation")
-    held = fx.table(spark, sf_dir, "customer").where("c_acctbal > 9000").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("axis"))
+    held = fx.table(spark, sf_dir, "customer").where("c_acctbal > 9900").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("axis"))
     return state.empty_axes(n.select(F.col("n_name").alias("axis")).distinct(), held)
 
 
@@ -195,23 +195,32 @@ def plant_seeds(spark, sf_dir):
     return state.plant(d.where("doc_id % 5 <> 0").select("id", "text"), d.where("doc_id % 4 <> 0").select("id", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text")))
 
 
-GENE_SETS = [("priming_alpha", 1.5, "try"), ("expand_hops", 0.5, "try"), ("similar_limit", 99.0, "try"), ("decay_factor", 0.8, "try"), ("priming_window_min", None, "reset"), ("nothing", 1.0, "try")]
+#: Each gene, and one that isn't known, asked to be set to a value that the parts of its number tell; every fifth is reset.
+ASKED_GENES = [*GENES, "nothing"]
+GENE_SQL = f"""cat as (select * from (values {", ".join(f"('{g}', {w}::double, {lo}::double, {hi}::double, {str(m).lower()}, {str(k).lower()})" for g, (w, lo, hi, m, k) in GENES.items())}) t(gene, wild, least, most, mutable, whole)),
+    name_ as (select unnest({ASKED_GENES}) as gene, unnest(range({len(ASKED_GENES)})) as k), m as (select p_partkey % {len(ASKED_GENES)} as k, max(p_partkey) as m from part group by 1),
+    r as (select gene, case when m % 5 = 0 then null else (m % 40) / 10.0::double end as value from m join name_ using (k)), old_ as (select case when p_partkey % 2 = 1 then 'priming_alpha' else 'priming_window_min' end as gene, max(p_size) * 1.0::double as old from part where p_partkey <= 20 group by 1),
+    x as (select r.gene, value, wild, coalesce(old, wild) as old_value, case when wild is null then 'unknown' when value is null then null when not mutable then 'locked' when value < least or value > most then 'out of bounds' when whole and value <> floor(value) then 'not whole' end as error
+    from r left join cat using (gene) left join old_ using (gene))"""
 
 
-@query("select * from (values ('expand_hops', 'not whole'), ('similar_limit', 'out of bounds'), ('decay_factor', 'locked'), ('nothing', 'unknown')) t(gene, error)")
+@query(f"with {GENE_SQL} select gene, error from x where error is not null")
 def gene_errors(spark, sf_dir):
-    return _genes(spark)[2]
+    return _genes(spark, sf_dir)[2]
 
 
-@query("select * from (values ('priming_alpha', 0.5::double, 1.5::double), ('priming_window_min', 60.0::double, 120.0::double)) t(gene, old_value, new_value)")
+@query(f"with {GENE_SQL} select gene, old_value, coalesce(value, wild) as new_value from x where error is null")
 def gene_changes(spark, sf_dir):
-    return _genes(spark)[1].select("gene", "old_value", "new_value")
+    return _genes(spark, sf_dir)[1].select("gene", "old_value", "new_value")
 
 
-def _genes(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    values = spark.createDataFrame([("priming_window_min", 60.0)], "gene string, value double")
+def _genes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    p = fx.table(spark, sf_dir, "part")
+    m = p.groupBy((F.col("p_partkey") % len(ASKED_GENES)).cast("int").alias("k")).agg(F.max("p_partkey").alias("m"))
+    asked = m.select(F.array(*map(F.lit, ASKED_GENES))[F.col("k")].alias("gene"), F.when(F.col("m") % 5 != 0, (F.col("m") % 40) / 10.0).alias("value"), F.lit("try").alias("cause"))
+    values = p.where("p_partkey <= 20").groupBy(F.when(F.col("p_partkey") % 2 == 1, "priming_alpha").otherwise("priming_window_min").alias("gene")).agg(F.max("p_size").cast("double").alias("value"))
     log = spark.createDataFrame([], "gene string, old_value double, new_value double, cause string, ts long")
-    return state.set_genes(values, log, state.genes(spark, GENES), spark.createDataFrame(GENE_SETS, "gene string, value double, cause string"), NOW)
+    return state.set_genes(values, log, state.genes(spark, GENES), asked, NOW)
 
 
 # -- enrichment
