@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import policy, text
 from ..functions.policy import Tunables, rounded
 from . import activity, enrichment, graph, indexing, mining, mutations, relational, retrieval, state
+from .graph import held
 
 QUERY_CHARS = 200
 
@@ -33,6 +34,72 @@ def search_effects(hits: DataFrame, expanded: DataFrame, usage: DataFrame, entit
     return {"usage": used, "entities": seen, "edges": graph.rebirth(wired, boosted, t.rebirth_search_boost), "events": event}
 
 
+#: Searches of one stretch of ids, which are folded into one change of an edge.
+FOLDED = 65_536
+
+
+def _after(f: Column, g: Column) -> Column:
+    """The change g after f. A change is w -> least(cap, a * w + b) with a of 1 or more and b of 0 or more, and two of them are one of the same
+    form. Beyond 1e150 a factor takes any weight to the cap, and more would overflow."""
+    cap = F.least(g["cap"], g["a"] * f["cap"] + g["b"])
+    return F.struct(F.least(g["a"] * f["a"], F.lit(1e150)).alias("a"), F.least(g["a"] * f["b"] + g["b"], cap).alias("b"), cap.alias("cap"))
+
+
+def _folded(changes: Column) -> Column:
+    """The changes of a sorted array of structs with f(a, b, cap), one after another."""
+    none = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(float("inf")).alias("cap"))
+    return F.aggregate(changes, none, lambda f, x: _after(f, x["f"]))
+
+
+def edges_after(edges: DataFrame, log: DataFrame, t: Tunables | None = None, cap: float = 1.0, stretch: int = FOLDED) -> DataFrame:
+    """edges(src, dst, kind, weight) after the searches of log(id, hit_ids, expand_ids), one after another by id, as search_effects() changes them
+    for one: notes are ranked as they are shown, one that is shown twice by its first place; 2 to 8 notes are wired (cooccur, by a step up to
+    cap); then learned edges with both ends among them grow by the larger end's factor, never down, up to cap. Null and empty ids, arrays
+    that are null and searches that show one note change nothing.
+
+    Steps and factors don't commute below the cap, so that the order counts; but they can be put together: each edge's changes are folded in
+    stretches of ids, and then stretch by stretch, so that no group grows with the log. Searches of more notes than are wired don't make
+    pairs: the edges that they touch are joined from those that are there or come to be."""
+    t = t or Tunables()
+    shown = F.filter(F.concat(F.coalesce("hit_ids", F.array().cast("array<string>")), F.coalesce("expand_ids", F.array().cast("array<string>"))), lambda x: x.isNotNull() & (x != ""))
+    asked = held(log.select("id", shown.alias("shown")).withColumn("notes", F.array_distinct("shown")).where(F.size("notes") >= 2))
+    factor = lambda x: 1 + t.rebirth_search_boost / F.array_position("shown", x)  # noqa: E731  places from 1
+    few = asked.where(F.size("notes") <= 8).withColumn("notes", F.array_sort("notes"))
+    both = F.flatten(F.transform("notes", lambda a, i: F.transform(F.slice("notes", i + 2, F.size("notes")), lambda b: F.struct(a.alias("src"), b.alias("dst"), F.greatest(factor(a), factor(b)).alias("grows")))))
+    pairs = few.select("id", F.explode(both).alias("p")).select("id", "p.*")
+    learned = edges.where(F.col("kind").isin(*graph.LEARNED) & F.col("weight").isNotNull())
+    known = learned.select("src", "dst", "kind")
+    wired = pairs.select("src", "dst").distinct().withColumn("kind", F.lit("cooccur"))
+    there = held(known.unionByName(wired).distinct())
+    wide = asked.where(F.size("notes") > 8).select("id", F.explode(F.transform("notes", lambda x: F.struct(x.alias("note"), factor(x).alias("grows")))).alias("n")).select("id", "n.*")
+    from_ = there.join(wide.withColumnRenamed("note", "src"), "src")
+    reached = from_.join(wide.select("id", F.col("note").alias("dst"), F.col("grows").alias("grows_")), ["id", "dst"])
+    change = lambda a, b: F.struct(a.cast("double").alias("a"), b.cast("double").alias("b"), F.lit(cap).cast("double").alias("cap"))
+    row = lambda df, n, f: df.select("src", "dst", "kind", "id", F.lit(n).alias("n"), f.alias("f"))
+    grows, same = change(F.col("grows"), F.lit(0.0)), F.lit(1.0)
+    # an edge of any kind that is learned grows in either direction that it is stored in
+    ends = there.withColumns({"low": F.least("src", "dst"), "high": F.greatest("src", "dst")}).where("low <> high")
+    met = ends.join(pairs.select("id", F.col("src").alias("low"), F.col("dst").alias("high"), "grows"), ["low", "high"])
+    changes = row(pairs.withColumn("kind", F.lit("cooccur")), 0, change(same, F.lit(t.strengthen_step)))
+    changes = changes.unionByName(row(met, 1, grows))
+    changes = changes.unionByName(row(reached.withColumn("grows", F.greatest("grows", "grows_")), 1, grows))
+    keys = ["src", "dst", "kind"]
+    some = changes.groupBy(*keys, F.floor(F.col("id") / stretch).alias("part")).agg(_folded(F.array_sort(F.collect_list(F.struct("id", "n", "f")))).alias("f"))
+    whole = some.groupBy(*keys).agg(_folded(F.array_sort(F.collect_list(F.struct("part", "f")))).alias("f"))
+    out = edges.select(*keys, "weight").join(whole, keys, "full")
+    # one that stands above the cap is left there by growth alone, and set to the cap by a step, as search by search
+    new = F.least(F.col("f.cap"), F.col("f.a") * F.coalesce("weight", F.lit(0.0)) + F.col("f.b"))
+    above = (F.col("weight") > cap) & (F.col("f.b") == 0)
+    return out.select(*keys, F.when(F.col("f").isNull() | above, F.col("weight")).otherwise(new).alias("weight"))
+
+
+def effects_after(log: DataFrame, usage: DataFrame, entities: DataFrame, edges: DataFrame, t: Tunables | None = None) -> dict[str, DataFrame]:
+    """What the searches of log(id, ts, hit_ids, expand_ids) leave behind in usage, entities and edges, as search_effects() for each, in order of id."""
+    shown = log.select("id", "ts", F.explode(F.concat(F.coalesce("hit_ids", F.array().cast("array<string>")), F.coalesce("expand_ids", F.array().cast("array<string>")))).alias("note_id"))
+    used, seen = state.activated(usage, entities, shown.distinct().select("note_id", "ts"))
+    return {"usage": used, "entities": seen, "edges": edges_after(edges, log, t)}
+
+
 def related(notes: DataFrame, tags: DataFrame, entities: DataFrame, edges: DataFrame, vectors: DataFrame, texts: DataFrame, keywords: list[str], hints: list[str], t: Tunables | None = None, kind: str | None = None) -> dict[str, DataFrame]:
     """The parts of an answer to a text: similar notes (by its keywords), linked ones, those near by vector that are neither, axes, top tags, tags
     that occur with those of similar notes, and notes of the entities it names. keywords and hints come from words_of()."""
@@ -105,13 +172,17 @@ def derived(events: DataFrame, watermark: int, open_: DataFrame | None = None, g
     """(windows(id, session_id, started_at, ended_at, queries), hits(window_id, ...), one row with the new watermark) of events beyond a watermark. open_(id,
     session_id, ended_at) holds each session's last window, which its next events may still join; the watermark passes malformed events, too."""
     new = events.where(F.col("id") > watermark)
-    found = activity.windows_of(new, gap, watermark, open_)
-    keys = ["session_id", "window"]
-    w = found.groupBy(*keys).agg(F.coalesce(F.min("window_id"), F.min("id")).alias("id"), F.min_by("ts", "id").alias("started_at"), F.max("ts").alias("ended_at"), F.count("*").alias("queries"), F.min("id").alias("first"))
+    windows, hits = gathered(activity.windows_of(new, gap, watermark, open_))
+    return windows, hits, new.agg(F.coalesce(F.max("id"), F.lit(watermark)).cast("long").alias("watermark"))
+
+
+def gathered(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(windows, hits) as derived() has them, of events with their windows."""
+    w = found.groupBy("session_id", "window").agg(F.coalesce(F.min("window_id"), F.min("id")).alias("id"), F.min_by("ts", "id").alias("started_at"), F.max("ts").alias("ended_at"), F.count("*").alias("queries"))
     h = activity.hits(found)
     named = w.select(F.col("session_id").alias("s_"), F.col("window").alias("w_"), F.col("id").alias("window_id"))
     h = h.join(named, h.session_id.eqNullSafe(named.s_) & (h.window == named.w_)).drop("s_", "w_", "window")
-    return w.select("id", "session_id", "started_at", "ended_at", "queries"), h, new.agg(F.coalesce(F.max("id"), F.lit(watermark)).cast("long").alias("watermark"))
+    return w.select("id", "session_id", "started_at", "ended_at", "queries"), h
 
 
 def integrate(tables: dict[str, DataFrame], now: int, watermark: int = -1, t: Tunables | None = None) -> dict[str, DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from ..functions import policy, text
 from ..functions.policy import GENES, Tunables
 from ..operators import activity, enrichment, indexing, jobs, lint, mining, neighbors, oplog, retrieval, state
 from ..sources.corpus import ensure_checkpoints
+from ..streaming.log import WindowLog
 from . import fixtures as fx
 from .fixtures import DOC_EDGES, EDGES, ENTITIES, FLAGS, HEADS, LOG, META, NOTES, PASSAGES, TAGS, TERMS
 from .queries import NOW, R6, conversations_as_markdown, query
@@ -414,6 +416,19 @@ def incremental_windows(spark, sf_dir):
     return parts
 
 
+@query(f"with {LOG} select min(id) as id, session_id, min_by(ts, id) as started_at, max(ts) as ended_at, count(*) as queries from windowed group by session_id, win")
+def stored_windows(spark, sf_dir):
+    """The log in four batches, each of which goes on from the stored version that the one before it left."""
+    events = fx.events(spark, sf_dir)
+    cuts = events.agg(F.expr("percentile(id, array(0.25, 0.5, 0.75, 1.0))").alias("at")).first().at or []
+    ensure_checkpoints(spark)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    log = WindowLog(spark, f"{root}/windows-{uuid.uuid4().hex}", parts=8)
+    for cut in cuts:
+        log.advance(events.where(F.col("id") <= cut))
+    return log.windows()
+
+
 @query(f"""with {EDGES}, {NOTES} select 'axis' as part, axis as name, count(*) as n from notes group by axis union all select 'kind', kind, count(*) from edges group by kind union all select 'weight', cast(case when weight < 0.3 then 0 when weight < 0.6 then 1 when weight < 0.9 then 2 else 3 end as varchar), count(*) from edges group by 2
 union all select * from (select 'degree', id, count(*) as n from sym group by id order by n desc, id limit 5)""")
 def structure(spark, sf_dir):
@@ -542,6 +557,23 @@ def search_leaves(spark, sf_dir):
     return jobs.search_effects(hits, hits.limit(0), usage, entities, fx.doc_edges(spark, sf_dir), NOW, "clown keit")["usage"]
 
 
+@query(f"""with {LOG}, ev as (select id, hit as src, expand as dst from log where cmd = 'search' and expand is not null),
+start as (select 'doc-' || lpad(cast(vec_id as varchar), 6, '0') as src, 'doc-' || lpad(cast(vec_id + 1 as varchar), 6, '0') as dst, 'assoc' as kind, (vec_id % 10) / 10.0::double as weight from embeddings),
+ops as (select src, dst, 'cooccur' as kind, flatten(list([-0.04::double, 1.03::double] order by id)) as ops from ev group by src, dst
+    union all select src, dst, 'assoc', list(1.03::double order by id) from ev semi join start using (src, dst) group by src, dst),
+folded as (select src, dst, kind, weight, list_reduce(list_prepend(coalesce(weight, 0.0::double), coalesce(ops, []::double[])),
+    lambda w, x: case when x < 0 then least(1.0::double, w - x) else greatest(w, least(1.0::double, w * x)) end) as w from start full join ops using (src, dst, kind))
+select src, dst, kind, floor(w * 10000000 + 0.5) / 10000000 as weight from folded""")
+def searches_leave(spark, sf_dir):
+    """Proposed links and what all logged searches make of them, one search after another: each adds to the edge between its two notes and
+    then lets the learned ones grow, so that SQL has to go through the searches of an edge in order."""
+    key = lambda c: fx.doc_key(c).alias(c)
+    start = fx.assoc(spark, sf_dir).select(key("src"), key("dst"), "kind", "weight")
+    log = activity.parsed(fx.events(spark, sf_dir)).where("cmd = 'search'")
+    out = jobs.edges_after(start, log, Tunables(strengthen_step=0.04, rebirth_search_boost=0.03))
+    return out.withColumn("weight", policy.rounded(F.col("weight"), 7))
+
+
 #: Events as batches of one operation each: what is done to which note; the first of those that set a row stays, adding ones all do.
 OPLOG = f"""{NOTES}, e as (select event_id as batch, event_type as t, user_id, 'doc-' || lpad(cast(cast(props->>'$.k' as bigint) as varchar), 6, '0') as id from events),
     o as (select e.*, case t when 'view' then 'mark_used' when 'click' then 'flag' when 'purchase' then 'set_note_meta' when 'signup' then 'set_frontmatter' else 'invalidate' end as op, n.id is not null as here, n.locked from e left join notes n using (id)),

@@ -96,18 +96,49 @@ class Versions:
             new[name] = {"schema": schema, "key": key, "parts": parts, "files": {p: [[0, f]] for p, f in files.items()}}
         return self.commit(state["version"], new, state["numbers"])
 
-    def change(self, state: dict, changes: dict[str, tuple[DataFrame, DataFrame]]) -> dict:
+    def change(self, state: dict, changes: dict[str, tuple[DataFrame, DataFrame]], more: dict[str, DataFrame] | None = None, numbers: dict | None = None) -> dict:
         """The version after state with rows in place of those of their keys, and without those of gone(key): changes are table: (rows,
-        gone). Partitions that hold no such key keep their files; all tables change together or none does."""
+        gone). Partitions that hold no such key keep their files. The rows of more, by table, are only added, as files beside those that
+        are there. numbers replace those of their names. All tables change together or none does."""
         new = dict(state["tables"])
         for name, (rows, gone) in changes.items():
             t = state["tables"][name]
             key = t["key"]
-            part = lambda df, t=t, key=key: df.withColumn("part_", F.pmod(F.xxhash64(key), F.lit(t["parts"])).cast("int"))
-            keys = part(rows.select(key).unionByName(gone.select(key)).distinct())
+            keys = self._part(rows.select(key).unionByName(gone.select(key)).distinct(), t)
             touched = {r.part_ for r in keys.select("part_").distinct().collect()}  # at most t["parts"]
             columns = StructType.fromJson(t["schema"]).names
-            left = part(self.read(state, name, touched).join(keys.select(key), key, "left_anti").select(columns))
-            _, files = self.write(left.unionByName(part(rows.select(columns))).repartition("part_"), "part_")
+            left = self._part(self.read(state, name, touched).join(keys.select(key), key, "left_anti").select(columns), t)
+            _, files = self.write(left.unionByName(self._part(rows.select(columns), t)).repartition("part_"), "part_")
             new[name] = t | {"files": {p: f for p, f in t["files"].items() if int(p) not in touched} | {p: [[0, f]] for p, f in files.items()}}
-        return self.commit(state["version"], new, state["numbers"])
+        for name, rows in (more or {}).items():
+            t = new[name]
+            _, files = self.write(self._part(rows.select(StructType.fromJson(t["schema"]).names), t).repartition("part_"), "part_")
+            new[name] = t | {"files": t["files"] | {p: [*t["files"].get(p, []), [0, f]] for p, f in files.items()}}
+        return self.commit(state["version"], new, state["numbers"] | (numbers or {}))
+
+    def compact(self, state: dict, table: str, most: int = 16) -> dict:
+        """The version after state with one file list anew for each partition of a table that has gathered more than `most` of them; the
+        state itself if none has."""
+        t = state["tables"][table]
+        many = {int(p) for p, f in t["files"].items() if len(f) > most}
+        if not many:
+            return state
+        _, files = self.write(self._part(self.read(state, table, many).drop("segment_"), t).repartition("part_"), "part_")
+        new = t | {"files": {p: f for p, f in t["files"].items() if int(p) not in many} | {p: [[0, f]] for p, f in files.items()}}
+        return self.commit(state["version"], state["tables"] | {table: new}, state["numbers"])
+
+    def release(self, keep: int = 10) -> int:
+        """Removes all versions but the newest `keep`, and the files that only those had; how many files went. What another writer has written
+        and not committed yet is named by no version, and stays."""
+        at = sorted(int(m[1]) for n in self._names(self.root) if (m := re.fullmatch(r"v(\d+)\.json", n)))
+        named = lambda v: {folder for t in self.state(v)["tables"].values() for files in t["files"].values() for _, folder in files}
+        old, kept = at[:-keep], set().union(*map(named, at[-keep:]))
+        gone = set().union(*map(named, old)) - kept
+        for name in [*(f"v{v}.json" for v in old), *gone]:
+            path = self._path(f"{self.root}/{name}")
+            path.getFileSystem(self._conf).delete(path, True)
+        return len(gone)
+
+    @staticmethod
+    def _part(df: DataFrame, t: dict) -> DataFrame:
+        return df.withColumn("part_", F.pmod(F.xxhash64(t["key"]), F.lit(t["parts"])).cast("int"))
