@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .versions import Versions
 
 #: Frontmatter fields that are columns of their own; fixed values.
 FIELDS = ("id", "title", "summary", "priority", "template", "stale", "locked", "tags", "entities", "source")
@@ -83,18 +83,20 @@ def upsert(catalog: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
     return catalog.join(rows.select(key), key, "left_anti").select(catalog.columns).unionByName(rows.select(catalog.columns))
 
 
-def commit(tables: dict[str, DataFrame], root: str, version: int) -> None:
-    """Writes a state as root/v<version>/<table>, then points root/current at it: readers see the old
-    state or the new one whole. The pointer is written by Spark, so root may be in any store."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/v{version}/{name}")
-    spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(json.dumps({"version": version, "tables": sorted(tables)}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/current")
+def commit(tables: dict[str, DataFrame], root: str, version: int, keys: dict[str, str | list[str]] | None = None, parts: int = 64) -> None:
+    """Writes a state as a version: readers see the old state or the new one whole. Tables are dealt out to `parts` partitions by their key (by
+    default the first column), and partitions that are as they were in the version before share its files. Conflict, if another writer has
+    made this version, or if the one before it isn't the newest (the first may have any number)."""
+    files = Versions(next(iter(tables.values())).sparkSession, root)
+    before = files.state(version - 1) if files.latest() >= version - 1 >= 0 and files.has(version - 1) else files.state(-1)
+    files.replace(before | {"version": version - 1}, {name: (df, (keys or {}).get(name, df.columns[0])) for name, df in tables.items()}, parts)
 
 
-def load(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    found = json.loads(spark.read.text(f"{root}/current").first()[0])
-    return {name: spark.read.parquet(f"{root}/v{found['version']}/{name}") for name in found["tables"]}
+def load(spark: SparkSession, root: str, version: int | None = None) -> dict[str, DataFrame]:
+    """The tables of a version, or of the newest."""
+    files = Versions(spark, root)
+    state = files.state(version)
+    return {name: files.read(state, name).drop("segment_") for name in state["tables"]}
 
 
 def source_hashes(files: DataFrame) -> DataFrame:

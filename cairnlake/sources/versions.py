@@ -34,6 +34,9 @@ class Versions:
         """The newest version; -1 if there is none."""
         return max((int(m[1]) for n in self._names(self.root) if (m := re.fullmatch(r"v(\d+)\.json", n))), default=-1)
 
+    def has(self, version: int) -> bool:
+        return f"v{version}.json" in self._names(self.root)
+
     def state(self, version: int | None = None) -> dict:
         at = self.latest() if version is None else version
         if at < 0:
@@ -60,7 +63,7 @@ class Versions:
         return reduce(lambda a, b: a.unionByName(b), frames) if frames else self.spark.createDataFrame([], schema).withColumn("segment_", F.lit(0))
 
     def commit(self, parent: int, tables: dict, numbers: dict | None = None) -> dict:
-        """The new state, if parent is still the newest version; else Conflict. The manifest appears whole: it is written beside and renamed,
+        """The new state, if parent is still the newest version, or if there is none yet; else Conflict. The manifest appears whole: it is written beside and renamed,
         which fails where the name is taken."""
         state = {"version": parent + 1, "tables": tables, "numbers": numbers or {}}
         beside, final = self._path(f"{self.root}/.{uuid.uuid4().hex}"), self._path(f"{self.root}/v{parent + 1}.json")
@@ -70,7 +73,7 @@ class Versions:
         out.close()
         jvm = self.spark._jvm
         # file systems of old, local ones too, would replace the file, so that what is asked first tells most conflicts and rename the rest
-        taken = fs.exists(final) or self.latest() != parent
+        taken = fs.exists(final) or self.latest() not in (-1, parent)
         try:
             if not taken:
                 none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
@@ -110,12 +113,35 @@ class Versions:
             left = self._part(self.read(state, name, touched).join(keys.select(key), key, "left_anti").select(columns), t)
             _, files = self.write(left.unionByName(self._part(rows.select(columns), t)).repartition("part_"), "part_")
             new[name] = t | {"files": {p: f for p, f in t["files"].items() if int(p) not in touched} | {p: [[0, f]] for p, f in files.items()}}
+            new[name]["digests"] = {p: d for p, d in t.get("digests", {}).items() if int(p) not in touched}
         for name, rows in (more or {}).items():
             t = new[name]
             _, files = self.write(self._part(rows.select(StructType.fromJson(t["schema"]).names), t).repartition("part_"), "part_")
             new[name] = t | {"files": t["files"] | {p: [*t["files"].get(p, []), [0, f]] for p, f in files.items()}}
+            new[name]["digests"] = {p: d for p, d in t.get("digests", {}).items() if p not in files}
         return self.commit(state["version"], new, state["numbers"] | (numbers or {}))
 
+    def replace(self, state: dict, tables: dict[str, tuple[DataFrame, str | list[str]]], parts: int = 64) -> dict:
+        """The version after state that holds exactly these tables(rows, key), whole. Partitions whose rows are those of state keep their files:
+        each partition has a digest (its number of rows and two sums of their hashes), so that a table is read once for the digests and only
+        what differs is written. Rows must come out alike each time that they are computed. Rows of one key stand in one partition, so a key
+        of several columns deals out what one column would heap up; `parts` holds for tables that are new or have another schema or key."""
+        new = {}
+        for name, (rows, key) in tables.items():
+            t = state["tables"].get(name)
+            same = t is not None and t["key"] == key and StructType.fromJson(t["schema"]).simpleString() == rows.schema.simpleString()
+            held = {"key": key, "parts": t["parts"] if same else parts}
+            placed, old = self._part(rows, held), t.get("digests", {}) if same else {}
+            text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"})
+            sums = [F.sum(h.cast("decimal(38,0)")).cast("string") for h in (F.xxhash64(text), F.xxhash64(F.lit(1), text))]
+            found = placed.groupBy("part_").agg(F.concat_ws(":", F.count("*").cast("string"), *sums).alias("digest")).collect()  # at most t["parts"] rows
+            digests = {str(r.part_): r.digest for r in found}
+            differ = [int(p) for p, d in digests.items() if old.get(p) != d]
+            schema, files = self.write(placed.where(F.col("part_").isin(differ)).repartition("part_"), "part_")
+            kept = {p: t["files"][p] for p, d in digests.items() if old.get(p) == d}
+            new[name] = held | {"schema": schema, "digests": digests, "files": kept | {p: [[0, f]] for p, f in files.items()}}
+        return self.commit(state["version"], new, state["numbers"])
+
     def compact(self, state: dict, table: str, most: int = 16) -> dict:
         """The version after state with one file list anew for each partition of a table that has gathered more than `most` of them; the
         state itself if none has."""
@@ -141,4 +167,4 @@ class Versions:
 
     @staticmethod
     def _part(df: DataFrame, t: dict) -> DataFrame:
-        return df.withColumn("part_", F.pmod(F.xxhash64(t["key"]), F.lit(t["parts"])).cast("int"))
+        return df.withColumn("part_", F.pmod(F.xxhash64(*([t["key"]] if isinstance(t["key"], str) else t["key"])), F.lit(t["parts"])).cast("int"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairnlake.operators import retrieval
 from cairnlake.operators.postings import Index
+from cairnlake.sources import corpus
 from cairnlake.sources.versions import Conflict, Versions
 
 WORDS = [f"w{k}" for k in range(60)] + ["déjà", "under_score", "Ünder"]
@@ -141,3 +142,30 @@ def test_versions_share_files_and_refuse_a_second_writer(spark, tmp_path):
     assert 0 < sum(a.get(p) != f for p, f in b.items()) <= 3 and sum(a.get(p) == f for p, f in b.items()) >= len(a) - 3
     # what a refused writer wrote is in no manifest
     assert rows(v.state(), "a")["k3"] == 3
+
+
+def test_commits_share_partitions_that_are_as_before(spark, tmp_path):
+    root = str(tmp_path / "corpus")
+    rows = lambda edit: spark.range(400).selectExpr("id", f"case when id in ({edit}) then 'new' else 'text ' || id end as body", "map('k', id) as extra", "if(id % 3 = 0, null, id) as n")
+    links = spark.createDataFrame([("a", "b", 1.0), ("a", "c", 2.0), (None, "c", 2.0)], "src string, dst string, weight double")
+    keys = {"links": ["src", "dst"]}
+    corpus.commit({"notes": rows("-1"), "links": links}, root, 1, keys, parts=32)
+    corpus.commit({"notes": rows("7"), "links": links}, root, 2, keys)
+    one, two = (Versions(spark, root).state(v)["tables"] for v in (1, 2))
+    differ = [p for p, f in one["notes"]["files"].items() if two["notes"]["files"][p] != f]
+    assert len(differ) == 1 and len(one["notes"]["files"]) == 32 and one["links"]["files"] == two["links"]["files"]
+    read = lambda v, t: sorted(map(repr, corpus.load(spark, root, v)[t].collect()))
+    assert read(1, "notes") == sorted(map(repr, rows("-1").collect())) and read(2, "notes") == sorted(map(repr, rows("7").collect()))
+    assert read(2, "links") == sorted(map(repr, links.collect()))
+    with pytest.raises(Conflict):  # a second writer on version 1
+        corpus.commit({"notes": rows("9"), "links": links}, root, 2, keys)
+    with pytest.raises(Conflict):  # one that has never seen version 2
+        corpus.commit({"notes": rows("9"), "links": links}, root, 5, keys)
+    # rows that go, a table that empties, another schema; what was changed by key counts as changed
+    files = Versions(spark, root)
+    files.change(files.state(), {"notes": (rows("11").where("id = 11"), rows("1").where("id = 12").select("id"))})
+    assert len(read(3, "notes")) == 399
+    corpus.commit({"notes": rows("7").where("id <> 3"), "links": links.limit(0)}, root, 4, keys)
+    assert read(4, "notes") == sorted(map(repr, rows("7").where("id <> 3").collect())) and read(4, "links") == []
+    corpus.commit({"notes": rows("7").drop("n")}, root, 5)
+    assert corpus.load(spark, root)["notes"].columns == ["id", "body", "extra"] and set(corpus.load(spark, root)) == {"notes"}
