@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import policy, rulesets, templates, text
 from .functions.policy import GENES, Tunables
-from .operators import activity, bodies, enrichment, graph, indexing, jobs, lint, mining, neighbors, oplog, relational, retrieval, rules, state
+from .operators import activity, bodies, enrichment, graph, indexing, jobs, lint, mining, neighbors, oplog, relational, retrieval, rules, spectral, state
 from .operators.nearest import nearest_vectors
 from .operators.postings import Index
 from .operators.sections import sections, within
@@ -210,7 +210,7 @@ class Library:
 
     def vector(self, dim: int = 48) -> DataFrame:
         m = neighbors.weight_matrix(self["edges"], self["tags"])
-        return graph.truncated_svd(graph.ppmi(m.select(F.col("i").alias("src"), F.col("j").alias("dst"), F.lit("m").alias("kind"), F.col("m").alias("weight"))), dim)
+        return spectral.symmetric_svd(graph.ppmi(m.select(F.col("i").alias("src"), F.col("j").alias("dst"), F.lit("m").alias("kind"), F.col("m").alias("weight"))), dim)
 
     def verify_integrity(self, files: DataFrame, level: int = 3) -> DataFrame:
         shape = {k: set(v.columns) for k, v in self.tables.items()}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import policy, text
 from ..functions.policy import Tunables
-from ..operators import activity, bodies, graph, lint, mining, mutations, nearest, relational, retrieval, rules
+from ..operators import activity, bodies, graph, lint, mining, mutations, nearest, relational, retrieval, rules, spectral
 from ..operators.postings import Index
 from ..sources.corpus import ensure_checkpoints, source_hashes
 from ..streaming.windows import session_windows
@@ -622,7 +622,7 @@ def lint_tag_alias(spark, sf_dir):
 
 def graph_vectors(spark, sf_dir):
     ensure_checkpoints(spark)
-    return graph.truncated_svd(graph.ppmi(fx.edges(spark, sf_dir)))
+    return spectral.symmetric_svd(graph.ppmi(fx.edges(spark, sf_dir)))
 
 
 _found["graph_vectors"] = graph_vectors  # unique up to signs only, so no SQL

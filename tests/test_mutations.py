@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from cairnlake.functions import rulesets
-from cairnlake.operators import graph, mutations
+from cairnlake.operators import graph, mutations, spectral
+from cairnlake.plans import fixtures, queries
 from cairnlake.sources.corpus import ensure_checkpoints
 
 MOVES = [("b", "a"), ("c", "a")]
@@ -75,3 +76,43 @@ def test_truncated_svd_keeps_the_gram_matrix(spark):
     u, s, _ = np.linalg.svd(a)
     want = u[:, :3] * s[:3]
     assert got.shape == (4, 3) and np.allclose(got @ got.T, want @ want.T, atol=1e-6)
+
+
+def dense_rows(cells, dim):
+    names = sorted({c[0] for c in cells} | {c[1] for c in cells})
+    a = np.zeros((len(names), len(names)))
+    for i, j, x in cells:
+        a[names.index(i), names.index(j)] = x
+    u, s, _ = np.linalg.svd(a)
+    return names, (u * s)[:, : min(dim, len(names) - 1)]
+
+
+def cosines(m):
+    size = np.linalg.norm(m, axis=1)
+    return (m @ m.T) / np.maximum(np.outer(size, size), 1e-300)
+
+
+def test_symmetric_svd_against_a_dense_one(spark):
+    ensure_checkpoints(spark)
+    rng = np.random.default_rng(3)
+    # a wide spectrum in more rows than the blocks hold, negative values, a row of its own, and rank 2
+    q = np.linalg.qr(rng.normal(size=(90, 90)))[0]
+    full = (q * (np.array([1, -1])[np.arange(90) % 2] * 0.6 ** np.arange(90))) @ q.T
+    cells = [(f"n{i:02d}", f"n{j:02d}", float(full[i, j])) for i in range(90) for j in range(90)] + [("solo", "solo", 2.0)]
+    for given, dim, extra, steps in ((cells, 5, 3, 4), ([("a", "b", 2.0), ("b", "a", 2.0), ("c", "c", 0.0), ("d", "d", 0.0)], 3, 10, 6)):
+        got = spectral.symmetric_svd(frame(spark, given, "i string, j string, value double"), dim, extra, steps).orderBy("id").collect()
+        names, want = dense_rows(given, dim)
+        m = np.array([r.vec for r in got])
+        assert [r.id for r in got] == names and m.shape == want.shape
+        assert np.allclose(m @ m.T, want @ want.T, atol=1e-7) and np.allclose(np.linalg.norm(m, axis=0), np.linalg.norm(want, axis=0), atol=1e-7)
+    assert [tuple(r) for r in spectral.symmetric_svd(frame(spark, [("a", "a", 1.0)], "i string, j string, value double")).collect()] == [("a", [])]
+    assert spectral.symmetric_svd(frame(spark, [], "i string, j string, value double")).count() == 0
+
+
+def test_graph_vectors_of_a_table(spark):
+    """Cosines as those of a dense decomposition, to 1e-6."""
+    sf = "/root/testdata/sf0.001"
+    got = {r.id: r.vec for r in queries.graph_vectors(spark, sf).collect()}
+    names, want = dense_rows([tuple(r) for r in graph.ppmi(fixtures.edges(spark, sf)).collect()], 48)
+    assert sorted(got) == names and len(names) > 100
+    assert np.abs(cosines(np.array([got[x] for x in names])) - cosines(want)).max() < 1e-6
