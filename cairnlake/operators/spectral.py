@@ -71,14 +71,32 @@ def _freed(s: np.ndarray, scale: float) -> np.ndarray:
     return v[:, keep] / np.sqrt(e[keep])
 
 
-def symmetric_svd(matrix: DataFrame, dim: int = 48, extra: int = 10, steps: int = 6) -> DataFrame:
+def _largest(small: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k eigenvalues of largest size, and their vectors, of a symmetric matrix by its upper half."""
+    value, vector = np.linalg.eigh(np.triu(small) + np.triu(small, 1).T)
+    order = np.argsort(-np.abs(value), kind="stable")[:k]
+    return value[order], vector[:, order]
+
+
+def _settled(small: np.ndarray, left: np.ndarray, k: int, tol: float) -> bool:
+    """Whether the k largest stay as they are: left is the gram matrix of what the newest block's product holds beyond the space."""
+    value, vector = _largest(small, k)
+    if len(value) < k:
+        return False
+    w = vector[-len(left) :]
+    residual = np.sqrt(np.maximum(np.einsum("ik,ij,jk->k", w, left, w), 0))
+    return bool(residual.max() <= tol * np.abs(value[0]))
+
+
+def symmetric_svd(matrix: DataFrame, dim: int = 48, extra: int = 10, steps: int = 20, tol: float = 1e-6) -> DataFrame:
     """id, vec: rows of U·S of the symmetric matrix(i, j, value), with min(dim, n - 1) components by descending size; those beyond its rank
     are 0. Signs, and rotations among equal singular values, are free.
 
-    Block Krylov method: from dim + extra columns of hashed ids, each of `steps` steps multiplies the newest block by the matrix (one join
-    and one sum), frees it twice from all blocks before and writes it beside them; the matrix within that space, known from the same sums,
-    is solved on the driver: at most (steps * (dim + extra))² numbers. The number of jobs depends on steps only. Exact where the
-    blocks fill the space (n up to steps * (dim + extra)); beyond that the leading components converge first and more steps bring the rest."""
+    Block Krylov method: from dim + extra columns of hashed ids, each step multiplies the newest block by the matrix (one join and one sum),
+    frees it twice from all blocks before and writes it beside them; the matrix within that space, known from the same sums, is solved on
+    the driver: at most (steps * (dim + extra))² numbers. It ends once all components asked for leave a residual of at most tol times
+    the largest, or after `steps` steps, so that the number of jobs is bounded whatever the matrix. Exact where the blocks fill the
+    space (n up to steps * (dim + extra)); in larger matrices components near the cut whose sizes lie close together come last."""
     cells = held(matrix.where("value <> 0").select(F.col("i").cast("string").alias("i"), F.col("j").cast("string").alias("j"), F.col("value").cast("double").alias("value")))
     ids = held(matrix.select(F.col("i").cast("string").alias("id")).union(matrix.select(F.col("j").cast("string"))).distinct())
     n = ids.count()
@@ -94,8 +112,8 @@ def symmetric_svd(matrix: DataFrame, dim: int = 48, extra: int = 10, steps: int
         c1, s = gram(rows, known, width)
         if known:  # Y is the matrix times the newest block
             small[:, known - newest :] = c1
-        if step == steps:
-            break
+            if step == steps or _settled(small, s - c1.T @ c1, k, tol):
+                break
         by = _freed(s - c1.T @ c1, max(np.linalg.eigvalsh(s)[-1], np.finfo(float).tiny))
         if not by.shape[1]:  # the blocks hold all that the matrix can reach
             break
@@ -109,11 +127,9 @@ def symmetric_svd(matrix: DataFrame, dim: int = 48, extra: int = 10, steps: int
         y = product(cells, grown.select("id", "q"), width)
         zero = F.array(*[F.lit(0.0)] * width)
         rows = grown.select("id", "k").join(y, "id", "left").select("id", "k", F.coalesce("y", zero).alias("y"))
-    small = np.triu(small) + np.triu(small, 1).T
-    value, vector = np.linalg.eigh(small)
-    order = np.argsort(-np.abs(value), kind="stable")[:k]
+    value, vector = _largest(small, k)
     to = np.zeros((known, k))
-    to[:, : len(order)] = vector[:, order] * np.abs(value[order])
+    to[:, : len(value)] = vector * np.abs(value)
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
