@@ -503,3 +503,28 @@ def test_similar_paragraphs_are_joined_exactly(spark):
 def test_bands_are_tuned(similarity):
     r, b = substring_dedup.tuned(similarity)
     assert 1 - (1 - similarity**r) ** b >= 0.995
+
+
+def test_regions_compare_items_where_they_lie(spark):
+    """Candidates of a region with many items are those that brute force finds, and no join makes a row for each pair that isn't one."""
+    import random
+
+    from cairnlake.llm import regions
+    from cairnlake.llm.shingles import bitmap
+
+    r = random.Random(5)
+    sets = {i: np.array(sorted({k for k in range(60) if r.random() < 0.9} | {1000 * i + k for k in range(r.randrange(12))}), np.uint64) * np.uint64(0x9E3779B97F4A7C15) for i in range(1500)}
+    before = {i: None if i % 3 == 0 else 2**62 + i % 2 for i in sets}
+    live = spark.createDataFrame([(7, i, len(s), i % 4, before[i], i % 40) for i, s in sets.items()], "region long, item long, n long, pos int, prev long, root long")
+    items = spark.createDataFrame([(i, len(s), bitmap(s)) for i, s in sets.items()], "item long, n long, bits binary")
+    found = regions.met(live, 12, items, 75)
+    bits = {i: int.from_bytes(bitmap(s), "little") for i, s in sets.items()}
+    wanted = set()
+    for p in sorted(sets, key=lambda i: (len(sets[i]), i))[:12]:
+        for i in sets:
+            n, m = len(sets[i]), len(sets[p])
+            if i % 40 != p % 40 and (m, p) < (n, i) and min(n - i % 4, m - p % 4) * 175 >= 75 * (n + m) and (before[i] is None or before[i] != before[p]) and regions.may_link(n, bits[i], 8 * len(bitmap(sets[i])), m, bits[p], 8 * len(bitmap(sets[p])), 75):
+                wanted.add((i, p))
+    assert wanted and {tuple(x) for x in found.collect()} == wanted
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and not any("(a#" in x or "(b#" in x for x in plan.splitlines() if "Join" in x)
