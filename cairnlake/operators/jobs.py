@@ -100,14 +100,15 @@ def effects_after(log: DataFrame, usage: DataFrame, entities: DataFrame, edges:
     return {"usage": used, "entities": seen, "edges": edges_after(edges, log, t)}
 
 
-def related(notes: DataFrame, tags: DataFrame, entities: DataFrame, edges: DataFrame, vectors: DataFrame, texts: DataFrame, keywords: list[str], hints: list[str], t: Tunables | None = None, kind: str | None = None) -> dict[str, DataFrame]:
+def related(notes: DataFrame, tags: DataFrame, entities: DataFrame, edges: DataFrame, vectors: DataFrame, texts: DataFrame, keywords: list[str], hints: list[str], t: Tunables | None = None, kind: str | None = None, groups: DataFrame | None = None) -> dict[str, DataFrame]:
     """The parts of an answer to a text: similar notes (by its keywords), linked ones, those near by vector that are neither, axes, top tags, tags
     that occur with those of similar notes, and notes of the entities it names. keywords and hints come from words_of()."""
     t = t or Tunables()
     similar = retrieval.search(notes, keywords, t.similar_limit, rows=texts)
     seeds = [r.id for r in similar.select("id").collect()]  # at most similar_limit
     e = edges if kind is None else edges.where(F.col("kind") == kind)
-    linked = graph.expand(e, similar.select("id"), max(1, t.expand_hops), 10, t) if t.expand_hops else similar.select("id", F.lit(0).alias("hop"), F.lit(0.0).alias("rank_weight")).limit(0)
+    g = groups if groups is None or kind is None else groups.where(F.col("kind") == kind)
+    linked = graph.expand(e, similar.select("id"), max(1, t.expand_hops), 10, t, g) if t.expand_hops else similar.select("id", F.lit(0).alias("hop"), F.lit(0.0).alias("rank_weight")).limit(0)
     already = [r.id for r in linked.select("id").collect()]  # at most ten
     near = mining.vector_expand(vectors.join(notes.where(policy.fresh()).select("id"), "id", "left_semi"), seeds, t.similar_limit, already) if seeds else vectors.select("id", F.lit(0.0).alias("score")).limit(0)
     own = tags.join(similar.select("id"), "id", "left_semi").select("tag").distinct()
