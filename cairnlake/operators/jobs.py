@@ -126,15 +126,24 @@ def words_of(spark, said: str, limit: int = 15) -> tuple[list[str], list[str]]:
     return words, one.select(text.entity_hints(F.col("text"))).first()[0]
 
 
-def structure(notes: DataFrame, edges: DataFrame, axis: str | None = None) -> DataFrame:
-    """part, name, n: notes by axis, edges by kind, edges by weight, the notes with most edges."""
+def structure(notes: DataFrame, edges: DataFrame, axis: str | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """part, name, n: notes by axis, edges by kind, edges by weight, the notes with most edges. Any two items of one of
+    groups(key, item, kind, weight) have an edge, too, counted by sizes without making it; groups are for all axes only."""
+    if groups is not None and axis is not None:
+        raise ValueError("groups are counted over all axes only")
     n = notes if axis is None else notes.where(F.col("axis") == axis)
     e = edges
     if axis is not None:
         ids = n.select("id")
         e = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").unionByName(edges.join(ids.withColumnRenamed("id", "src"), "src", "left_anti").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"))
     row = lambda df, part, name, c: df.select(F.lit(part).alias("part"), F.col(name).cast("string").alias("name"), F.col(c).cast("long").alias("n"))
-    parts = [row(n.groupBy("axis").agg(F.count("*").alias("n")), "axis", "axis", "n"), row(graph.distribution(e), "kind", "kind", "n"), row(graph.histogram(e), "weight", "bucket", "n"), row(graph.top_degree(e), "degree", "id", "degree")]
+    kinds, weights, degrees = graph.distribution(e).select("kind", "n"), graph.histogram(e), graph.top_degree(e)
+    if groups is not None:
+        pairs, ends = graph.counted(groups)
+        sums = lambda a, b, by: a.unionByName(b).groupBy(by).agg(F.sum("n").alias("n"))
+        kinds, weights = sums(kinds, pairs.select("kind", "n"), "kind"), sums(weights, pairs.select(graph.bucket().alias("bucket"), "n"), "bucket")
+        degrees = sums(e.select(F.explode(F.array("src", "dst")).alias("id"), F.lit(1).cast("long").alias("n")), ends, "id").orderBy(F.desc("n"), "id").limit(5).withColumnRenamed("n", "degree")
+    parts = [row(n.groupBy("axis").agg(F.count("*").alias("n")), "axis", "axis", "n"), row(kinds, "kind", "kind", "n"), row(weights, "weight", "bucket", "n"), row(degrees, "degree", "id", "degree")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
