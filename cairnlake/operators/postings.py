@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.policy import rounded
 from ..sources.versions import Versions
-from .retrieval import B, IDF_FLOOR, K1, leaves, parsed
+from .retrieval import B, IDF_FLOOR, K1, condition, leaves, named, parsed
 
-#: Buckets of terms, and of ids; and files in which a bucket's rows are written, so that frequent terms are several tasks' work.
+#: Buckets of terms, and of ids; and files, at least, in which a bucket's rows are written, so that frequent terms are several tasks' work.
 BUCKETS, SPLITS = 64, 4
+#: Tokens of a task that sorts postings: few enough to be sorted in memory.
+TASK = 500_000
 
 
 def _bucket(x: str, n: int) -> Column:
@@ -27,6 +29,14 @@ def tokens(columns: list[str]) -> Column:
     return reduce(lambda a, b: F.concat(a, gap, b), parts)
 
 
+def places(tokens: Column) -> Column:
+    """term, at (its places) of a row's tokens, gathered where the row is."""
+    told = F.filter(F.transform(tokens, lambda x, i: F.struct(x.alias("term"), i.alias("at"))), lambda x: x["term"].isNotNull())
+    starts = lambda s: F.filter(F.transform(s, lambda x, i: i), lambda i: (i == 0) | (F.get(s, i)["term"] != F.get(s, i - 1)["term"]))
+    at = lambda s, r, i, k: F.transform(F.slice(s, i + 1, F.coalesce(F.get(r, k + 1), F.size(s)) - i), lambda y: y["at"])
+    return named(F.sort_array(told), lambda s: named(starts(s), lambda r: F.transform(r, lambda i, k: F.struct(F.get(s, i)["term"].alias("term"), at(s, r, i, k).alias("at")))))
+
+
 class Index:
     """A stored index below a folder that all executors share.
 
@@ -48,13 +58,13 @@ class Index:
         t = rows.select("id", "section", tokens(named).alias("tokens")).withColumn("size", F.size("tokens") - (len(named) - 1))
         forward = t.select("id", "section", "size", F.array_compact(F.array_distinct("tokens")).alias("terms"), _bucket("id", self.buckets).alias("bucket"))
         found = {"rows": self.files.write(forward.repartition("bucket"), "bucket")}
-        p = t.select("id", "section", "size", F.posexplode("tokens").alias("pos", "term")).where("term is not null")
-        p = p.withColumn("bucket", _bucket("term", self.buckets)).withColumn("split_", _bucket("id", SPLITS)).repartition("bucket", "split_")
-        # grouped where they are: a bucket's split is one task's
-        p = p.groupBy("bucket", "split_", "term", "id", "section", "size").agg(F.sort_array(F.collect_list("pos")).alias("at"))
-        found["postings"] = self.files.write(p.select("bucket", "term", "id", "section", "size", "at").sortWithinPartitions("bucket", "term", "id"), "bucket")
         held = self._rows(found["rows"])
         n, total = held.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+        # a posting moves once, with its places, to one of so many tasks that each sorts its share in memory
+        splits = max(SPLITS, -(-total // (TASK * self.buckets)))
+        p = t.select("id", "section", "size", F.explode(places(F.col("tokens"))).alias("p")).select("p.term", "id", "section", "size", "p.at", _bucket("p.term", self.buckets).alias("bucket"))
+        p = p.repartition(max(1, min(self.buckets * splits, -(-total // TASK))), "bucket", _bucket("id", splits))
+        found["postings"] = self.files.write(p.select("bucket", "term", "id", "section", "size", "at").sortWithinPartitions("bucket", "term", "id"), "bucket")
         return found, n, total
 
     def _rows(self, files: tuple[dict, dict[str, str]]) -> DataFrame:
@@ -184,12 +194,3 @@ class Index:
         scored = rows.join(F.broadcast(df), "leaf").groupBy("id", "section").agg(F.collect_set("leaf").alias("held"), F.sum(self._part(F.col("tf"), F.col("df"))).alias("s"))
         fits = condition(tree, lambda leaf: F.array_contains("held", asked.index(leaf)))
         return scored.where(fits).select("id", "section", rounded(-F.col("s")).alias("score"))
-
-
-def condition(tree: tuple, leaf) -> Column:
-    """A parsed() expression over what leaf says of each word, phrase or prefix."""
-    kind, *rest = tree
-    if kind == "leaf":
-        return leaf((rest[0], rest[1]))
-    a, b = (condition(x, leaf) for x in rest)
-    return a & b if kind == "and" else a | b if kind == "or" else a & ~b
