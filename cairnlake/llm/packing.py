@@ -6,12 +6,16 @@ import bisect
 import math
 import os
 import re
+import string
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +29,25 @@ END = b"\0\0\0\0"
 _CONTROL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 
 
+#: Signs that close a word; an apostrophe may begin a pre-token with letters.
+SIGNS = "".join(x for x in string.punctuation if x != "'")
+#: Words of a line that goes to the tokenizer, and texts and characters of a slice.
+LINE, TEXTS, CHARACTERS = 50, 1000, 4_000_000
+
+
+def slices(texts: list[str]) -> Iterator[list[str]]:
+    """Texts in order, up to TEXTS at a time and, but for a longer one alone, CHARACTERS."""
+    some, size = [], 0
+    for text in texts:
+        if some and (len(some) == TEXTS or size + len(text) > CHARACTERS):
+            yield some
+            some, size = [], 0
+        some.append(text)
+        size += len(text)
+    if some:
+        yield some
+
+
 def _slow(text: str) -> bool:
     """Whether text holds separators at which only Python splits, or a control string."""
     return "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text or ("<|" in text and bool(_CONTROL.search(text)))
@@ -32,8 +55,8 @@ def _slow(text: str) -> bool:
 
 class WordTokenizer:
     """ids of a tokenizer that lower-cases and whose pre-tokens are runs of letters, or of signs, that
-    never span white space: each run of other characters is encoded once and kept, and words that
-    differ by case or one closing sign share their letters' ids. Texts where that could differ go
+    never span white space: Arrow splits texts and numbers a slice's words, each word is encoded once and kept,
+    and words that differ by case or closing signs share their letters' ids. Texts where that could differ go
     to the tokenizer whole."""
 
     def __init__(self, path: str, most: int = 2_000_000) -> None:
@@ -42,52 +65,94 @@ class WordTokenizer:
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.whole = not self._fits()
-        self.ids = [np.uint32(i).tobytes() for i in range(self.tokenizer.get_vocab_size())]
-        self.signs = dict(zip(",.;:!?", self._plain(list(",.;:!?")), strict=True))
-        self.kept: dict[str, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)  # by id: whether it ends a pre-token
+        self.ends[[i for word, i in self.tokenizer.get_vocab().items() if suffix and word.endswith(suffix)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        """Word k's ids are flat[begin[k]:begin[k + 1]]; kept has each word's k. Word 0 is the empty one."""
+        self.kept: dict[str, int] = {"": 0}
+        self.flat, self.begin, self.words, self.used = np.zeros(1 << 16, "<u4"), np.zeros(1 << 12, np.int64), 1, 0
 
     def _fits(self) -> bool:
         """Whether the vocabulary treats words as encode() does; else every text goes to the tokenizer whole."""
-        tests = ["Hello, World. It's we'll NA\u00cfVE co-op 42nd  a\tb\nc", "...!? x,y;z: \u00c9t\u00e9s (done)", "snake_case don't 3.14 a+b"]
+        tests = ["Hello, World. It's we'll NA\u00cfVE co-op 42nd  a\tb\nc", "...!? x,y;z: \u00c9t\u00e9s (done)", "snake_case don't 3.14 a+b", f"end.*** Done!! \u00dcber&&& x{SIGNS}"]
         alone = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
-        return all(alone(t) == [i for w in t.split() for i in alone(w)] and alone(t) == alone(t.lower()) and all(alone(w[:-1]) + alone(w[-1]) == alone(w) for w in t.split() if w[-1] in ",.;:!?" and w[:-1].isalpha()) for t in tests)
+        parts = lambda w: (w.rstrip(SIGNS), w[len(w.rstrip(SIGNS)) :])
+        return all(alone(t) == [i for w in t.split() for i in alone(w)] and alone(t) == alone(t.lower()) and all(alone(stem) + alone(sign) == alone(stem + sign) for stem, sign in map(parts, t.split()) if stem.isalpha()) for t in tests)
+
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, one after another; number of ids of each)."""
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), "<u4", int(sizes.sum())), sizes
+
+    def _runs(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As _plain, of words that are one pre-token each: many go to the tokenizer as a line, in which the
+        ids that end a pre-token tell words apart."""
+        ids, _ = self._plain([" ".join(words[at : at + LINE]) for at in range(0, len(words), LINE)])
+        upto = np.flatnonzero(self.ends[ids]) + 1
+        if len(upto) != len(words) or (len(ids) and upto[-1] != len(ids)):  # a vocabulary without such ids
+            return self._plain(words)
+        return ids, np.diff(upto, prepend=0)
+
+    def _keep(self, words: Iterable[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = self.words + len(sizes), self.used + len(ids)
+        if m > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(2 * m - self.used, "<u4")])
+        if n >= len(self.begin):
+            self.begin = np.concatenate([self.begin[: self.words + 1], np.zeros(2 * n - self.words, np.int64)])
+        self.flat[self.used : m] = ids
+        self.begin[self.words + 1 : n + 1] = self.used + np.cumsum(sizes)
+        self.kept.update(zip(words, range(self.words, n), strict=True))
+        self.words, self.used = n, m
 
-    def _plain(self, words: list[str]) -> list[bytes]:
-        of = self.ids.__getitem__
-        return [b"".join(map(of, found.ids)) for found in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of kept words, one after another; where each word's begin, and their end)."""
+        first = self.begin[at]
+        upto = np.concatenate([[0], np.cumsum(self.begin[at + 1] - first)])
+        return self.flat[np.repeat(first - upto[:-1], np.diff(upto)) + np.arange(upto[-1])], upto
 
-    def _learn(self, new: set[str]) -> None:
-        derived, plain = [], set()
+    def _learn(self, new: list[str]) -> None:
+        derived, runs, plain = [], {}, []
         for word in new:
-            sign = word[-1] if word[-1] in self.signs else ""
-            stem = word[:-1] if sign else word
+            stem = word.rstrip(SIGNS)
             low = stem.lower()
             if stem.isalpha() and (stem.isascii() or (max(stem) < "\u0250" and len(low) == len(stem))):
-                derived.append((word, low, sign))
-                if low not in self.kept:
-                    plain.add(low)
+                sign = word[len(stem) :]
+                runs[low] = runs[sign] = None
+                if sign or low != word:
+                    derived.append((word, low, sign))
+            elif not stem:
+                runs[word] = None
             else:
-                plain.add(word)
-        words = list(plain)
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            self.kept.update(zip(part, self._plain(part), strict=True))
-        for word, low, sign in derived:
-            self.kept[word] = self.kept[low] + self.signs.get(sign, b"")
+                plain.append(word)
+        for words, encode in (([x for x in runs if x not in self.kept], self._runs), (plain, self._plain)):
+            for at in range(0, len(words), 20_000):
+                part = words[at : at + 20_000]
+                self._keep(part, *encode(part))
+        derived = [x for x in derived if x[0] not in self.kept]
+        ids, upto = self._ids(np.fromiter((self.kept[x] for _, low, sign in derived for x in (low, sign)), np.int64, 2 * len(derived)))
+        self._keep([word for word, _, _ in derived], ids, np.diff(upto[::2]))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        for begin in range(0, len(texts), 256):
-            some = texts[begin : begin + 256]
-            split = [None if self.whole or _slow(x) else (x.lower() if x.isascii() else x).split() for x in some]
+        for some in slices(texts):
             if len(self.kept) > self.most:
-                self.kept.clear()
-            self._learn(set().union(*(x for x in split if x)) - self.kept.keys())
-            for text, words in zip(some, split, strict=True):
-                if words is None:
-                    yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-                else:
-                    yield b"".join(map(self.kept.__getitem__, words))
+                self._forget()
+            whole = [self.whole or _slow(x) for x in some]
+            split = pc.utf8_split_whitespace(pa.array(["" if own else x for x, own in zip(some, whole, strict=True)], pa.large_string()))
+            coded = split.flatten().dictionary_encode()
+            words = coded.dictionary.to_numpy(zero_copy_only=False)
+            at = np.fromiter(map(self.kept.get, words, repeat(-1)), np.int64, len(words))
+            new = words[at < 0].tolist()
+            self._learn(new)
+            at[at < 0] = np.fromiter(map(self.kept.__getitem__, new), np.int64, len(new))
+            ids, upto = self._ids(at[coded.indices.to_numpy()])
+            ends = upto[split.offsets.to_numpy()].tolist()
+            for text, own, begin, end in zip(some, whole, ends, ends[1:], strict=False):
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if own else ids[begin:end].tobytes()
 
 
 @lru_cache

@@ -135,6 +135,36 @@ def test_packing_places_every_piece(spark):
     assert packing.pack_documents(docs_of(spark, []), tokenizer_path()).count() == 0
 
 
+@pytest.mark.parametrize("ends", [True, False])
+def test_packing_encodes_letters_once(ends):
+    """Words that differ by case and closing signs cost their letters once, many to a line; the ids are encode()'s,
+    also where no ids tell words of a line apart, and after words were forgotten."""
+    import string
+
+    tk, plain = packing.WordTokenizer(tokenizer_path()), packing._tokenizer(tokenizer_path()).tokenizer
+    assert not tk.whole
+
+    class Counting:
+        told: list[str] = []
+
+        def encode_batch_fast(self, words, **other):
+            self.told = self.told + words
+            return plain.encode_batch_fast(words, **other)
+
+    tk.tokenizer = counting = Counting()
+    rng = random.Random(4)
+    stems = ["".join(rng.choice(string.ascii_lowercase + "\u00e9\u00df") for _ in range(9)) for _ in range(400)]
+    texts = [" ".join(f"{w}{sign}" for w in case) for sign in ("", "***", ".%%%", "!!", ",&&&", ")") for case in (stems, [w.title() for w in stems])]
+    if not ends:
+        tk.ends[:] = False
+    want = [np.array(plain.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert list(tk.encode(texts)) == want
+    if ends:
+        assert sum(map(len, counting.told)) < 1.5 * sum(map(len, stems)) and len(counting.told) < len(stems) / 10
+    tk.most = 1
+    assert [x for t in texts for x in tk.encode([t])] == want
+
+
 @given(st.lists(st.integers(1, 40), max_size=80))
 @settings(max_examples=60, deadline=None)
 def test_sum_of_squares_rule(sizes):
