@@ -116,3 +116,17 @@ def test_graph_vectors_of_a_table(spark):
     names, want = dense_rows([tuple(r) for r in graph.ppmi(fixtures.edges(spark, sf)).collect()], 48)
     assert sorted(got) == names and len(names) > 100
     assert np.abs(cosines(np.array([got[x] for x in names])) - cosines(want)).max() < 1e-6
+
+
+def test_symmetric_svd_writes_its_blocks_once(spark):
+    from pathlib import Path
+
+    ensure_checkpoints(spark)
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    written = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    rng = np.random.default_rng(5)
+    cells = [(f"n{i:03d}", f"n{(i + d) % 400:03d}", float(x)) for i in range(400) for d, x in zip((1, 7, 90), rng.normal(size=3), strict=True)]
+    both = frame(spark, cells + [(j, i, x) for i, j, x in cells], "i string, j string, value double")
+    before = written()
+    assert spectral.symmetric_svd(both, 20, 0, 8, 0.0).count() == 400
+    assert written() - before < 3_000_000  # all blocks anew each step, twice, are 4.6 MB; once, they are 0.5 MB and the products as much
